@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import bytetext
 
@@ -190,5 +191,4 @@ def score(docs: DataFrame, model: Trees) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*rest, pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
 
     rest = docs.drop("score", "predicted")
-    fields = rest.schema.add("score", "double").add("predicted", "integer")
-    return rest.mapInArrow(add, fields)
+    return rest.mapInArrow(add, T.StructType([*rest.schema, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
