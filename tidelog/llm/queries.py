@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact, mixing, quality, sharding, tokens
+from . import decontam, exact, jaccard, mixing, quality, sharding, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.round_trip(_table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_shard": op5_shard,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_token_ids": op7_token_ids,
     "op8_quality": op8_quality,
 }
@@ -107,4 +112,22 @@ WITH n AS (
 SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
        doc_id IS NOT DISTINCT FROM first_value(doc_id) OVER w AND len = first_value(len) OVER w AS kept, sha256(norm) AS text_sha256
 FROM n WINDOW w AS (PARTITION BY norm ORDER BY len DESC, doc_id NULLS LAST)""",
+    "op6_jaccard_join": r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []::VARCHAR[]) AS w
+  FROM documents),
+places AS (SELECT r, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE len(w) > 0),
+grams AS (SELECT DISTINCT r, array_to_string(w[i:i + 4], ' ') AS g FROM places),
+sizes AS (SELECT r, count(*) AS n FROM grams GROUP BY r),
+pairs AS (SELECT a.r AS x, b.r AS y, count(*) AS s FROM grams a JOIN grams b ON a.g = b.g AND a.r < b.r GROUP BY a.r, b.r),
+links AS (
+  SELECT x, y FROM pairs JOIN sizes p ON p.r = x JOIN sizes q ON q.r = y WHERE 100 * s >= 80 * (p.n + q.n - s)),
+both_ways AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reach AS (
+  SELECT r AS x, r AS y FROM w
+  UNION SELECT reach.x, b.y FROM reach JOIN both_ways b ON reach.y = b.x)
+SELECT w.doc_id, coalesce(sizes.n, 0)::BIGINT AS n_shingles, c.component_id
+FROM w LEFT JOIN sizes USING (r)
+JOIN (SELECT reach.x AS r, min(v.doc_id) AS component_id FROM reach JOIN w v ON v.r = reach.y GROUP BY reach.x) c USING (r)""",
 }
