@@ -53,8 +53,11 @@ def batches(column: pa.Array, limit: int = 8 << 20) -> Iterator[tuple[int, int,
         row = end
 
 
-def word_spans(mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the runs of True, none across texts, and for each text the number of words before it."""
+def word_spans(mask: np.ndarray, offsets: np.ndarray, kinds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of True, none across texts, and for each text the number of words before it.
+
+    kinds: runs are also parted where a byte of kind 1 and one of kind 2 meet.
+    """
     n = len(mask)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
@@ -66,6 +69,10 @@ def word_spans(mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     after = np.empty(n, dtype=bool)
     after[-1], after[:-1] = False, mask[1:]
     after[edge - 1] = False
+    if kinds is not None:
+        part = (kinds[1:] ^ kinds[:-1]) == 3
+        before[1:] &= ~part
+        after[:-1] &= ~part
     starts, ends = np.flatnonzero(mask & ~before), np.flatnonzero(mask & ~after) + 1
     return starts, ends, np.searchsorted(starts, offsets)
 
