@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact, jaccard, mixing, quality, sharding, tokens
+from . import chat, decontam, exact, jaccard, lines, mixing, quality, sharding, substrings, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,13 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.scan(docs, _table(spark, sf_dir, "benchmark")))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document, with the text that is left; spans as "start-end", joined by commas."""
+    out = substrings.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.array_join(F.transform("removed", lambda x: F.concat(x["start"], F.lit("-"), x["end"])), ",")
+    return out.select("doc_id", "n_bytes", "removed_bytes", spans.alias("removed"), "first_ids", "text")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact.dedup(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -45,14 +52,34 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document, with the text that is left; numbers of deleted lines joined by commas."""
+    out = lines.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_deleted", F.array_join(F.transform("deleted", lambda x: x.cast("string")), ",").alias("deleted"), "text")
+
+
+def op10_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations 2 k (chosen) and 2 k + 1 (rejected), masks as "start-end", joined by commas."""
+    chats = _table(spark, sf_dir, "conversations")
+    out = chat.preferences(chats, chat.adjacent_pairs(chats))
+
+    def spans(name: str):
+        return F.array_join(F.transform(name, lambda x: F.concat(x["start"], F.lit("-"), x["end"])), ",").alias(name)
+
+    return out.select("pair_id", "chosen_id", "rejected_id", "n_prompt", "prompt", "chosen", "rejected", spans("chosen_mask"), spans("rejected_mask"))
+
+
 QUERIES = {
     "op1_mix": op1_mix,
     "op2_decontaminate": op2_decontaminate,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_shard": op5_shard,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_token_ids": op7_token_ids,
     "op8_quality": op8_quality,
+    "op9_line_dedup": op9_line_dedup,
+    "op10_preferences": op10_preferences,
 }
 
 ORACLE_SQL = {
@@ -130,4 +157,55 @@ reach AS (
 SELECT w.doc_id, coalesce(sizes.n, 0)::BIGINT AS n_shingles, c.component_id
 FROM w LEFT JOIN sizes USING (r)
 JOIN (SELECT reach.x AS r, min(v.doc_id) AS component_id FROM reach JOIN w v ON v.r = reach.y GROUP BY reach.x) c USING (r)""",
+    "op9_line_dedup": r"""
+WITH whole AS (SELECT row_number() OVER () AS r, doc_id, text, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+raw AS (SELECT r, doc_id, text, unnest(parts) AS x, unnest(range(0, len(parts))) AS line FROM whole),
+l AS (
+  SELECT r, doc_id, coalesce(text, '') AS text, line, trim(regexp_replace(x, '[\x09\x0B-\x0D]', ' ', 'g'), ' ') AS x FROM raw),
+seq AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY line) AS i FROM l WHERE x <> ''),
+runs AS (
+  SELECT a.doc_id, a.text, a.r, a.i, a.x || chr(10) || b.x || chr(10) || c.x AS g
+  FROM seq a JOIN seq b ON b.r = a.r AND b.i = a.i + 1 JOIN seq c ON c.r = a.r AND c.i = a.i + 2),
+first AS (SELECT g, min((doc_id IS NULL, doc_id, i)) AS f FROM runs GROUP BY g),
+gone AS (
+  SELECT DISTINCT r, unnest([i, i + 1, i + 2]) AS i FROM runs JOIN first USING (g) WHERE (doc_id IS NULL, doc_id, i) > f),
+marked AS (
+  SELECT seq.r, count(*) AS n_deleted, string_agg(line, ',' ORDER BY line) AS deleted, list(line) AS gone_lines
+  FROM seq JOIN gone USING (r, i) GROUP BY seq.r),
+left_over AS (
+  SELECT raw.r, string_agg(x, chr(10) ORDER BY line) AS text FROM raw JOIN marked USING (r)
+  WHERE NOT list_contains(gone_lines, line) GROUP BY raw.r),
+counts AS (SELECT r, count(*) AS n FROM seq GROUP BY r)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_lines, coalesce(n_deleted, 0)::BIGINT AS n_deleted, coalesce(deleted, '') AS deleted,
+       CASE WHEN n_deleted > 0 THEN coalesce(left_over.text, '') ELSE whole.text END AS text
+FROM whole LEFT JOIN counts USING (r) LEFT JOIN marked USING (r) LEFT JOIN left_over USING (r)""",
+    "op10_preferences": r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, coalesce(role, ''), coalesce(text, '')) AS at_
+  FROM conversations WHERE conv_id IS NOT NULL),
+p AS (
+  SELECT floor(conv_id / 2)::BIGINT AS pair_id, max(CASE WHEN conv_id % 2 = 0 THEN conv_id END) AS chosen_id,
+         max(CASE WHEN conv_id % 2 <> 0 THEN conv_id END) AS rejected_id
+  FROM (SELECT DISTINCT conv_id FROM t) GROUP BY 1),
+d AS (
+  SELECT pair_id, 'c' AS side, at_, role, text FROM p JOIN t ON t.conv_id = p.chosen_id
+  UNION ALL SELECT pair_id, 'r', at_, role, text FROM p JOIN t ON t.conv_id = p.rejected_id),
+pos AS (SELECT pair_id, at_, count(*) = 2 AND min(role) = max(role) AND min(text) = max(text) AS same FROM d GROUP BY 1, 2),
+pre AS (
+  SELECT pair_id, coalesce(min(CASE WHEN NOT same THEN at_ END) - 1, max(at_)) AS n_prompt FROM pos GROUP BY 1),
+x AS (
+  SELECT pair_id, side, at_, n_prompt, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS x,
+         length(role) + 5 AS head, role = 'assistant' AS learn FROM d JOIN pre USING (pair_id)),
+y AS (
+  SELECT *, (sum(length(x)) OVER (PARTITION BY pair_id, side ORDER BY at_))::BIGINT AS upto FROM x),
+s AS (
+  SELECT pair_id, side, any_value(n_prompt) AS n_prompt,
+         coalesce(string_agg(x, '' ORDER BY at_) FILTER (WHERE at_ <= n_prompt), '') AS prompt,
+         coalesce(string_agg(x, '' ORDER BY at_) FILTER (WHERE at_ > n_prompt), '') AS rest,
+         coalesce(string_agg((upto - length(x) + head)::VARCHAR || '-' || upto::VARCHAR, ',' ORDER BY at_) FILTER (WHERE at_ > n_prompt AND learn), '') AS mask
+  FROM y GROUP BY pair_id, side)
+SELECT p.pair_id, chosen_id, rejected_id, coalesce(c.n_prompt, r.n_prompt, 0)::INTEGER AS n_prompt, coalesce(c.prompt, r.prompt, '') AS prompt,
+       coalesce(c.rest, '') AS chosen, coalesce(r.rest, '') AS rejected, coalesce(c.mask, '') AS chosen_mask, coalesce(r.mask, '') AS rejected_mask
+FROM p LEFT JOIN s c ON c.pair_id = p.pair_id AND c.side = 'c' LEFT JOIN s r ON r.pair_id = p.pair_id AND r.side = 'r'""",
 }

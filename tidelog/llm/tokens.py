@@ -35,9 +35,9 @@ SEGMENT = 1 << 20
 #: Ids in a range, as expected, once there are more than four ranges for each partition.
 RANGE_IDS = 1 << 24
 #: A worker's table of known words: slots, and ids after which it starts anew.
-SLOTS, POOL = 1 << 21, 1 << 23
+SLOTS, POOL = 1 << 20, 1 << 23
 #: Bytes of text (or one text) and words that are looked up at once.
-PIECE, WORDS_AT_ONCE = 1 << 22, 1 << 20
+PIECE, WORDS_AT_ONCE = 1 << 20, 1 << 18
 #: 1: a-z; 2: ASCII signs but the apostrophe. Such tokenizers always part a letter and a sign.
 _KIND = np.zeros(256, dtype=np.int8)
 _KIND[ord("a") : ord("z") + 1] = 1
