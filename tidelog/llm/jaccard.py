@@ -377,4 +377,5 @@ def join(docs: DataFrame, *, words: int = WORDS, group: int = GROUP) -> DataFram
 def representatives(docs: DataFrame, **options) -> DataFrame:
     """docs with one document of each component, the one with the least doc_id; of rows with that doc_id, each stays."""
     found = join(docs, **options).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_semi")
+    found = common.saved(found)
+    return docs.join(common.maybe_broadcast(found), docs["doc_id"].eqNullSafe(found["doc_id"]), "left_semi")
