@@ -11,14 +11,14 @@ of all their lines, and of each key the first place stays.
 Groups shrink to a count and a least place before the shuffle, and keys that many rows share are joined back by a bounded
 broadcast (common.hot_join). A line is keyed by 64 bits of its text, a run by 64 bits of its lines' keys and lengths.
 
-Defined results: null and empty texts have no lines; rows with equal doc_id and text are at one place, and none is earlier;
+Defined results: null and empty texts have no lines; rows with equal doc_id are at one place, and none is earlier;
 a text with fewer than RUN lines loses none; an empty table gives an empty one. Columns of the input with the name of a
 result are replaced.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -27,52 +27,55 @@ RUN, GRAM = 3, 2
 _RESULT = ("n_lines", "n_deleted", "deleted")
 
 
-def _lines(text: Column) -> Column:
-    """Array of structs (line: number in the text, key) of the lines that aren't blank."""
-    parts = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("line"), F.trim(F.regexp_replace(x, r"[\x09\x0B-\x0D]", " ")).alias("x")))
-    return F.transform(F.filter(parts, lambda p: p["x"] != ""), lambda p: F.struct(p["line"].alias("line"), F.xxhash64(p["x"], F.length(p["x"])).alias("key")))
+#: White space in a line that counts as a blank.
+BLANKS = ("\t", "\x0b", "\x0c", "\r")
+
+
+def _each(n: str, least: int, span: int, value: str) -> Column:
+    """An array of value for each start i (from 1) of span items out of n; empty below least items."""
+    return F.expr(f"if({n} < {least}, array(), transform(sequence(1, greatest(1, {n} - {span - 1})), i -> {value}))")
+
+
+def _hash_of(array: str, items: int) -> str:
+    return f"xxhash64({', '.join(f'element_at({array}, i + {j})' for j in range(items))})"
+
+
+def sequences(docs: DataFrame, run: int, gram: int) -> DataFrame:
+    """docs with _n lines that aren't blank, their numbers _line, and for each start of run lines its fingerprint and key."""
+    text = common.text_of()
+    for blank in BLANKS:
+        text = F.replace(text, F.lit(blank), F.lit(" "))
+    lines = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("line"), F.trim(x).alias("x")))
+    out = docs.withColumn("_s", F.filter(lines, lambda p: p["x"] != ""))
+    out = out.withColumns({"_n": F.size("_s"), "_line": F.col("_s.line"), "_k": F.transform("_s", lambda p: F.xxhash64(p["x"], F.length(p["x"])))})
+    out = out.withColumn("_g", _each("_n", run, gram, _hash_of("_k", gram)))
+    window = ", ".join(f"element_at(_g, i + {j})" for j in range(run - gram + 1))
+    out = out.withColumn("_print", _each("_n", run, run, f"least({window}, {window.split(', element')[0]})")).withColumn("_run", _each("_n", run, run, _hash_of("_k", run)))
+    return out.drop("_s", "_k", "_g")
 
 
 def dedup(docs: DataFrame, *, run: int = RUN, gram: int = GRAM) -> DataFrame:
     """docs with the text left, n_lines (not blank, before), n_deleted, deleted (numbers of lines in the text, from 0)."""
     if not 1 <= gram <= run:
         raise ValueError("gram must be from 1 to run")
-    window = run - gram + 1
     rest = docs.drop(*_RESULT)
-    source = rest.withColumn("_key", F.xxhash64("doc_id", common.text_of()))
-    sequences = common.saved(source.select("doc_id", "_key", _lines(common.text_of()).alias("s")).withColumn("_n", F.size("s")).dropDuplicates(["doc_id", "_key"]))
-
-    def each(last: int, value: str) -> Column:
-        """value for each start i of so many lines."""
-        return F.expr(f"if(_n < {run}, array(), transform(sequence(1, greatest(1, _n - {last - 1})), i -> {value}))")
-
-    # Hashes of grams and, of each window, the least.
-    grams = sequences.withColumn("g", each(gram, f"xxhash64(transform(slice(s, i, {gram}), p -> p.key))"))
-    picks = grams.withColumn("w", each(run, f"array_min(slice(g, i, {window}))"))
-    rows = picks.select("doc_id", "_key", F.posexplode("w").alias("at", "print"), "s")
-    rows = rows.select("doc_id", "_key", "at", "print", F.expr(f"xxhash64(transform(slice(s, at + 1, {run}), p -> p.key))").alias("run_key"))
+    table = common.saved(sequences(rest.withColumn("_row", F.monotonically_increasing_id()), run, gram))
+    total = table.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
     # Join positions: only fingerprints that two windows or more select.
-    prints = common.saved(picks.select(F.explode("w").alias("print")).groupBy("print").count().filter("count > 1"))
-    total = sequences.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
-    live = common.hot_join(rows, prints, "print", "count", total).drop("count")
-    place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("_key").alias("k"), F.col("at").alias("at"))
-    live = live.withColumn("_place", place)
-    first = common.saved(live.groupBy("run_key").agg(F.min("_place").alias("_first"), F.count("*").alias("_n")).filter("_n > 1"))
-    repeated = common.hot_join(live.select("run_key", "_place"), first, "run_key", "_n", total).filter("_place > _first")
+    prints = common.saved(table.select(F.explode("_print").alias("print")).groupBy("print").count().filter("count > 1"))
+    starts = table.select("_row", "doc_id", F.posexplode(F.arrays_zip(F.col("_print").alias("print"), F.col("_run").alias("run"))).alias("at", "x")).select("_row", "doc_id", "at", "x.print", "x.run")
+    place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("at").alias("at"))
+    live = common.saved(common.hot_join(starts, prints, "print", "count", total).select("_row", "run", place.alias("_place")))
+    first = common.saved(live.groupBy("run").agg(F.min("_place").alias("_first"), F.count("*").alias("_times")).filter("_times > 1"))
+    repeated = common.hot_join(live, first, "run", "_times", total).filter("_place > _first")
     # Overlapping runs are joined by taking each line once.
-    gone = repeated.select(F.col("_place.d").alias("doc_id"), F.col("_place.k").alias("_key"), F.explode(F.expr(f"sequence(_place.at + 1, _place.at + {run})")).alias("i"))
-    gone = gone.groupBy("doc_id", "_key").agg(F.collect_set("i").alias("_gone"))
-    marked = sequences.join(gone, sequences["doc_id"].eqNullSafe(gone["doc_id"]) & (sequences["_key"] == gone["_key"]), "left").select(
-        sequences["doc_id"], sequences["_key"], "_n", F.expr("array_sort(transform(coalesce(_gone, array()), i -> s[i - 1].line))").alias("_lines")
-    )
-    found = common.saved(marked.select("doc_id", "_key", "_lines").filter("size(_lines) > 0"))
-    text = common.text_of()
-    out = source.join(common.maybe_broadcast(found.select(F.col("doc_id").alias("_d"), F.col("_key").alias("_k"), "_lines")), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left")
-    deleted = F.coalesce(F.col("_lines"), F.array().cast("array<int>"))
-    out = out.withColumn("_lines", deleted)
-    left = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(F.col("_lines"), i)), "\n")
-    n_lines = F.size(F.filter(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, r"[\x09\x0B-\x0D]", " ")) != "")).cast("long")
+    gone = repeated.select("_row", F.explode(F.expr(f"sequence(_place.at + 1, _place.at + {run})")).alias("i")).groupBy("_row").agg(F.collect_set("i").alias("_gone"))
+    gone = common.saved(gone)
+    few = common.maybe_broadcast(gone)
+    lines = F.expr("array_sort(transform(coalesce(_gone, array()), i -> element_at(_line, i)))")
+    out = table.drop("_print", "_run").join(few, "_row", "left").withColumn("_lines", lines)
+    left = F.array_join(F.filter(F.split(common.text_of(), "\n"), lambda x, i: ~F.array_contains(F.col("_lines"), i)), "\n")
     names = [c for c in rest.columns if c != "text"]
     return out.select(
-        *names, F.when(F.size("_lines") > 0, left).otherwise(F.col("text")).alias("text"), n_lines.alias("n_lines"), F.size("_lines").cast("long").alias("n_deleted"), F.col("_lines").alias("deleted")
+        *names, F.when(F.size("_lines") > 0, left).otherwise(F.col("text")).alias("text"), F.col("_n").cast("long").alias("n_lines"), F.size("_lines").cast("long").alias("n_deleted"), F.col("_lines").alias("deleted")
     )
