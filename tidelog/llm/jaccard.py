@@ -14,8 +14,14 @@ are only probed by binary search for what may still reach the required overlap.
 0.6: by the triangle inequality of the Jaccard distance, a class x near the searched q, with no class in the ring
 between them, can have no link outside, so it is never searched itself. Large groups of near copies take one search.
 
-Components beyond GROUP shingles are cut into blocks, and each pair of blocks is searched; their links meet in a
-distributed search for components.
+Hot keys never meet in one task. Hashes that at least one in HOT_PARTS classes sends are found by counts that each batch
+takes of its frequent ones; they are at most HOT_PARTS times the mean number sent, are broadcast, count as the most frequent,
+and need not meet. Classes of as many copies, at most HOT_PARTS, send from one batch only. Where classes are gathered,
+a task links those that share a hash and sends on one of them for each hash.
+
+Components beyond GROUP shingles are first reduced in rounds: their shingles are compared with a few leaders each, and what
+the triangle inequality closes around a leader is linked to it and leaves. What then is still beyond GROUP is cut into
+blocks, and each pair of blocks is searched. Links meet in a distributed search for components.
 
 Defined results: null and wordless texts have size 0 and no link, component_id is their own doc_id; texts with fewer than
 five words are one shingle; equal rows are linked (their sets are equal); null doc_ids are never a component_id unless all
@@ -28,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bytetext, common
@@ -37,6 +43,10 @@ from .components import Forest, connected_components
 WORDS = 5
 #: Shingles of a candidate component that one task searches at once.
 GROUP = 1 << 22
+#: Classes that a hash or copies that a class must have, at least, to be hot.
+HOT = 64
+#: Rounds that reduce large components, components in a round, leaders of each, and shingles that a leader may have.
+ROUNDS, LARGEST, LEADERS, LEADER_SIZE = 8, 64, 4, 1 << 16
 #: Weight of a binary search against a merge step, in DivideSkip.
 MU = 0.0085
 
@@ -94,48 +104,112 @@ def targets(spark: SparkSession, parts: int) -> list[int]:
     return [found[p] for p in range(parts)]
 
 
-def _batch(names: list[str], types: list[pa.DataType], *values) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names)
+def _batch(schema: str, *values) -> pa.RecordBatch:
+    """One row in a schema of longs and binaries."""
+    fields = [c.split() for c in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([v], pa.int64() if t == "long" else pa.binary()) for v, (_, t) in zip(values, fields, strict=True)], [n for n, _ in fields])
+
+
+_FIRST = "doc_id long, n long, cid long, batch long, target long, cids binary, ns binary, counts binary, hashes binary"
+#: Targets of rows that aren't packs of hashes.
+_DOCUMENTS, _FREQUENT = -2, -1
+
+
+def _unpack(raw: bytes | np.ndarray) -> np.ndarray:
+    """Hashes of 48 bits, which are enough to filter."""
+    flat = np.frombuffer(raw, np.uint8)
+    wide = np.zeros((len(flat) // 6, 8), np.uint8)
+    wide[:, :6] = flat.reshape(-1, 6)
+    return wide.view("<u8").ravel().astype(np.uint64)
+
+
+def _packed(hashes: np.ndarray) -> bytes:
+    return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
 
-_FIRST = "doc_id long, n long, cid long, target long, cids binary, ns binary, counts binary, hashes binary"
+def _packs(goals: list[int], batch: int, hashes: np.ndarray, owner: np.ndarray, known: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row for each target: its hashes, in the order of their classes."""
+    goal = (hashes % np.uint64(len(goals))).astype(np.uint16 if len(goals) < 1 << 16 else np.uint32)
+    order = np.argsort(goal, kind="stable")
+    cuts = np.searchsorted(goal[order], np.arange(len(goals) + 1))
+    for g in np.flatnonzero(np.diff(cuts)):
+        rows = order[cuts[g] : cuts[g + 1]]
+        who, count = np.unique(owner[rows], return_counts=True)
+        yield _batch(_FIRST, None, None, None, batch, goals[g], known[who].tobytes(), sizes[who].astype("<u4").tobytes(), count.astype("<u4").tobytes(), _packed(hashes[rows]))
 
 
 def _sign(goals: list[int], words: int):
-    """A row for each document, and for each batch and target one with packed hashes of its classes."""
-    types = [pa.int64()] * 4 + [pa.binary()] * 4
+    """A row for each document; for each batch and target packed hashes of its classes, and its frequent hashes."""
     names = [c.split()[0] for c in _FIRST.split(", ")]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("doc_id"))
-            ns, cids, sent, owner, seen = [], [], [], [], {}
+            if not len(ids):
+                continue
+            number = batch.column(batch.schema.get_field_index("_row"))[0].as_py()
+            ns, cids, sent, seen = [], [], [], {}
             for found in shingle_sets(batch.column(batch.schema.get_field_index("text")), words):
                 n, cid = len(found), class_id(found)
                 ns.append(n)
                 cids.append(cid)
                 if n and cid not in seen:
                     seen[cid] = n
-                    sent.append(found[: int(_sent(np.int64(n)))].copy())
-            nothing = [pa.nulls(len(ids), t) for t in types[3:]]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(ns, pa.int64()), pa.array(cids, pa.int64()), *nothing], names)
+                    sent.append(found[: int(_sent(np.int64(n)))] >> np.uint64(16))
+            fixed = [pa.array(np.full(len(ids), x), pa.int64()) for x in (number, _DOCUMENTS)]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(ns, pa.int64()), pa.array(cids, pa.int64()), *fixed, *(pa.nulls(len(ids), pa.binary()) for _ in range(4))], names)
             if not sent:
                 continue
-            hashes = np.concatenate(sent) >> np.uint64(16)
-            owner = np.repeat(np.arange(len(sent), dtype=np.uint32), [len(s) for s in sent])
+            hashes, owner = np.concatenate(sent), np.repeat(np.arange(len(sent), dtype=np.uint32), [len(x) for x in sent])
             known, sizes = np.fromiter(seen, np.int64, len(seen)), np.fromiter(seen.values(), np.int64, len(seen))
-            goal = (hashes % np.uint64(len(goals))).astype(np.uint16 if len(goals) < 1 << 16 else np.uint32)
-            order = np.argsort(goal, kind="stable")
-            cuts = np.searchsorted(goal[order], np.arange(len(goals) + 1))
-            for g in np.flatnonzero(np.diff(cuts)):
-                rows = order[cuts[g] : cuts[g + 1]]
-                who, count = np.unique(owner[rows], return_counts=True)
-                raw = hashes[rows].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]  # 48 bits are enough to filter
-                yield _batch(names, types, None, None, None, goals[g], known[who].tobytes(), sizes[who].astype("<u4").tobytes(), count.astype("<u4").tobytes(), raw.tobytes())
+            yield from _packs(goals, number, hashes, owner, known, sizes)
+            # What one in HOT_PARTS of all classes sends, so does one in HOT_PARTS of some batch's.
+            once = np.sort(hashes)
+            at = np.flatnonzero(np.concatenate([[True], once[1:] != once[:-1]]))
+            times = np.diff(np.append(at, len(once)))
+            often = times >= max(2, len(sent) // common.HOT_PARTS)
+            if often.any():
+                yield _batch(_FIRST, None, None, None, number, _FREQUENT, None, None, times[often].astype("<u4").tobytes(), once[at[often]].tobytes())
 
     return sign
 
 
+def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes, times = _gather(batches, {"hashes": np.int64, "counts": np.uint32})
+    found, which = np.unique(hashes, return_inverse=True)
+    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.bincount(which, times, len(found)).astype(np.int64))], ["h", "n"])
+
+
+def _route(shared, goals: list[int], hot: bool):
+    """Packs without hot hashes, and without hot classes but from the batch that sends them; or (hot) the hot hashes alone."""
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, classes, senders = shared.value
+        for batch in batches:
+            for number, target, cids, ns, counts, raw in zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("batch", "target", "cids", "ns", "counts", "hashes")), strict=True):
+                known, sizes, count, hashes = np.frombuffer(cids, np.int64), np.frombuffer(ns, np.uint32), np.frombuffer(counts, np.uint32), _unpack(raw)
+                sends = np.ones(len(known), dtype=bool)
+                if len(classes):
+                    place = np.minimum(np.searchsorted(classes, known), len(classes) - 1)
+                    sends = (classes[place] != known) | (senders[place] == number)
+                owner = np.repeat(np.arange(len(known)), count)
+                often = np.zeros(len(hashes), dtype=bool)
+                if len(frequent):
+                    often = frequent[np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)] == hashes
+                rows = np.flatnonzero((often == hot) & sends[owner])
+                if not len(rows):
+                    continue
+                if hot:
+                    yield from _send(goals, known[owner[rows]], sizes[owner[rows]], hashes[rows], np.full(len(rows), 0xFFFFFFFF, np.uint32), known[owner[rows]])
+                elif len(rows) == len(hashes):
+                    yield _batch(_FIRST, None, None, None, number, target, cids, ns, counts, raw)
+                else:
+                    who, left = np.unique(owner[rows], return_counts=True)
+                    yield _batch(_FIRST, None, None, None, number, target, known[who].tobytes(), sizes[who].tobytes(), left.astype("<u4").tobytes(), _packed(hashes[rows]))
+
+    return route
+
+
 _MEET = "target long, cids binary, ns binary, hashes binary, dfs binary"
 
 
@@ -147,10 +221,9 @@ def _send(goals: list[int], cids, ns, hashes, dfs, by) -> Iterator[pa.RecordBatc
     goal = (by.astype(np.uint64) % np.uint64(len(goals))).astype(np.int64)
     order = np.argsort(goal, kind="stable")
     cuts = np.searchsorted(goal[order], np.arange(len(goals) + 1))
-    names, types = [c.split()[0] for c in _MEET.split(", ")], [pa.int64()] + [pa.binary()] * 4
     for g in np.flatnonzero(np.diff(cuts)):
         rows = order[cuts[g] : cuts[g + 1]]
-        yield _batch(names, types, goals[g], cids[rows].tobytes(), ns[rows].tobytes(), hashes[rows].tobytes(), dfs[rows].tobytes())
+        yield _batch(_MEET, goals[g], cids[rows].tobytes(), ns[rows].tobytes(), hashes[rows].tobytes(), dfs[rows].tobytes())
 
 
 def _gather(batches: Iterator[pa.RecordBatch], kinds: dict[str, type]) -> list[np.ndarray]:
@@ -168,9 +241,7 @@ def _meet(goals: list[int]):
         cids, ns, counts, raw = _gather(batches, {"cids": np.int64, "ns": np.uint32, "counts": np.uint32, "hashes": np.uint8})
         if not len(cids):
             return
-        wide = np.zeros((len(raw) // 6, 8), np.uint8)
-        wide[:, :6] = raw.reshape(-1, 6)
-        hashes = wide.view("<u8").ravel()
+        hashes = _unpack(raw)
         cids, ns = np.repeat(cids, counts), np.repeat(ns, counts)
         order = np.lexsort((cids, hashes))
         h, c, n = hashes[order], cids[order], ns[order]
@@ -182,41 +253,68 @@ def _meet(goals: list[int]):
         df = np.repeat(df, df)
         keep = df > 1
         yield from _send(goals, c[keep], n[keep], h[keep], df[keep].astype(np.uint32), c[keep])
+        bytetext.release()
 
     return meet
 
 
+_NONE = np.zeros(0, np.int64)
+_LINKED = "target long, a binary, b binary, cids binary, hashes binary"
+
+
 def _prefix(goals: list[int]):
-    """Filters 2 and 3, where a class is gathered: its rarest shared hashes go back to where hashes meet."""
+    """Filters 2 and 3, where a class is gathered. Classes of the task that share one of their rarest hashes are linked
+    here; for each hash one of them goes to where hashes meet."""
 
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cids, ns, hashes, dfs = _gather(batches, {"cids": np.int64, "ns": np.uint32, "hashes": np.uint64, "dfs": np.uint32})
         order = np.lexsort((hashes, dfs, cids))
-        c, n, h, d = cids[order], ns[order].astype(np.int64), hashes[order], dfs[order]
+        c, n, h = cids[order], ns[order].astype(np.int64), hashes[order]
         if not len(c):
             return
+        new = np.ones(len(c), dtype=bool)
+        new[1:] = (c[1:] != c[:-1]) | (h[1:] != h[:-1])  # hot hashes come from each batch that has the class
+        c, n, h = c[new], n[new], h[new]
         start = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
         count = np.diff(np.append(start, len(c)))
         rank = np.arange(len(c)) - np.repeat(start, count)
-        keep = rank < np.repeat(count, count) - _needed(n) + 1
-        keep &= np.repeat(count, count) >= _needed(n)
-        yield from _send(goals, c[keep], n[keep].astype(np.uint32), h[keep], d[keep], h[keep])
+        count = np.repeat(count, count)
+        keep = (rank < count - _needed(n) + 1) & (count >= _needed(n))
+        links, (who, what) = _forest(c[keep], h[keep])
+        yield _batch(_LINKED, goals[int(cids[0]) % len(goals)], links[0].tobytes(), links[1].tobytes(), b"", b"")
+        goal = (what % np.uint64(len(goals))).astype(np.int64)
+        order = np.argsort(goal, kind="stable")
+        cuts = np.searchsorted(goal[order], np.arange(len(goals) + 1))
+        for g in np.flatnonzero(np.diff(cuts)):
+            rows = order[cuts[g] : cuts[g + 1]]
+            yield _batch(_LINKED, goals[g], b"", b"", who[rows].tobytes(), what[rows].tobytes())
+        bytetext.release()
 
     return prefix
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A spanning forest of "share one of these hashes" of a partition."""
-    cids, hashes = _gather(batches, {"cids": np.int64, "hashes": np.uint64})
-    nodes, at = np.unique(cids, return_inverse=True)
-    order = np.argsort(hashes, kind="stable")
-    h, a = hashes[order], at[order]
+def _forest(cids: np.ndarray, hashes: np.ndarray, a: np.ndarray = _NONE, b: np.ndarray = _NONE) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Links of a spanning forest of "share a hash" and of links (a, b); and for each hash one of its classes."""
+    nodes, at = np.unique(np.concatenate([cids, a, b]), return_inverse=True)
     forest = Forest(len(nodes))
-    for i in np.flatnonzero(h[1:] == h[:-1]).tolist():
-        forest.union(int(a[i]), int(a[i + 1]))
+    order = np.argsort(hashes, kind="stable")
+    h, x = hashes[order], at[: len(cids)][order]
+    same = np.flatnonzero(h[1:] == h[:-1])
+    for i, j in np.unique(np.column_stack([x[same], x[same + 1]]), axis=0).tolist():
+        forest.union(i, j)
+    for i, j in zip(at[len(cids) : len(cids) + len(a)].tolist(), at[len(cids) + len(a) :].tolist(), strict=True):
+        forest.union(i, j)
     roots = forest.roots()
     other = np.flatnonzero(roots != np.arange(len(nodes)))
-    yield pa.RecordBatch.from_arrays([pa.array(nodes[other]), pa.array(nodes[roots[other]])], ["a", "b"])
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+    return (nodes[other], nodes[roots[other]]), (cids[order][first], h[first])
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What is linked in a partition, as a spanning forest."""
+    cids, hashes, a, b = _gather(batches, {"cids": np.int64, "hashes": np.uint64, "a": np.int64, "b": np.int64})
+    links, _ = _forest(cids, hashes, a, b)
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in links], ["a", "b"])
 
 
 class Index:
@@ -326,50 +424,121 @@ def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 size += len(raw) // 8
     if rows:
         yield finish(rows)
+    bytetext.release()
+
 
+def _against(shared):
+    """Rows (comp, cid, hashes) against their component's leaders: those with similarity 0.6 or more."""
 
-def join(docs: DataFrame, *, words: int = WORDS, group: int = GROUP) -> DataFrame:
+    def against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for comp, cid, raw in zip(_column(batch, "comp"), _column(batch, "cid"), _column(batch, "hashes"), strict=True):
+                mine = np.frombuffer(raw, np.uint64)
+                for leader, other in shared.value.get(comp, ()):
+                    common_ = len(np.intersect1d(mine, other, assume_unique=True))
+                    either = len(mine) + len(other) - common_
+                    if 10 * common_ >= 6 * either:
+                        out.append((cid, leader, 5 * common_ >= 4 * either, common_ / either))
+            types = (pa.int64(), pa.int64(), pa.bool_(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], ["cid", "leader", "near", "alike"])
+
+    return against
+
+
+def _sizes(sets: DataFrame) -> DataFrame:
+    return sets.groupBy("comp").agg(F.sum("n").alias("_size"), F.count("*").alias("_rows"))
+
+
+def _reduce(large: DataFrame, group: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Take from large components (comp, cid, n, hashes) what leaders close, in rounds; the rest, and links (a, b) found."""
+    links: list[DataFrame] = []
+    spark = large.sparkSession
+    for turn in range(ROUNDS):
+        top = _sizes(large).filter(F.col("_size") > group).orderBy(F.col("_size").desc()).limit(LARGEST).collect()
+        if not top:
+            break
+        chosen = spark.createDataFrame([(r["comp"],) for r in top], "comp long")
+        mine = large.join(F.broadcast(chosen), "comp")
+        order = Window.partitionBy("comp").orderBy(F.xxhash64("cid", F.lit(turn)), "cid")
+        leaders: dict[int, list] = {}
+        picked = mine.filter(F.col("n") <= LEADER_SIZE).withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= LEADERS)
+        for r in picked.select("comp", "cid", "hashes").collect():  # at most LARGEST x LEADERS sets of bounded size
+            leaders.setdefault(r["comp"], []).append((r["cid"], np.frombuffer(bytes(r["hashes"]), np.uint64)))
+        found = mine.select("comp", "cid", "hashes").mapInArrow(_against(spark.sparkContext.broadcast(leaders)), "cid long, leader long, near boolean, alike double")
+        found = common.saved(found)
+        ring = found.groupBy("leader").agg(F.coalesce(F.max(F.when(~F.col("near"), F.col("alike"))), F.lit(0.0)).alias("ring"))
+        near = found.filter("near").join(F.broadcast(ring), "leader")  # a row a leader
+        links.append(common.saved(near.select(F.col("cid").alias("a"), F.col("leader").alias("b"))))
+        closed = common.saved(near.filter("alike - 0.2 > ring + 1e-9").select("cid").distinct())
+        gone = closed.count()
+        large = common.saved(large.join(closed, "cid", "left_anti").select("comp", "cid", "n", "hashes"))
+        if 10 * gone < sum(r["_rows"] for r in top):
+            break
+    return large, links
+
+
+def join(docs: DataFrame, *, words: int = WORDS, group: int = GROUP, hot: int = HOT) -> DataFrame:
     """One row per document: doc_id, n_shingles, class_id (of its set), component_id."""
     spark = docs.sparkSession
+    common.small_batches(spark)
     parts = common.parallelism(spark)
     goals = targets(spark, parts)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text"))
-    signed = common.saved(rows.mapInArrow(_sign(goals, words), _FIRST))
-    members = signed.filter("n IS NOT NULL").select("doc_id", "n", "cid")
-    packed = signed.filter("n IS NULL").select("target", "cids", "ns", "counts", "hashes")
-    met = packed.repartition(parts, "target").mapInArrow(_meet(goals), _MEET)
-    first = met.repartition(parts, "target").mapInArrow(_prefix(goals), _MEET)
+    signed = common.saved(rows.withColumn("_row", F.monotonically_increasing_id()).mapInArrow(_sign(goals, words), _FIRST))
+    members = signed.filter(F.col("target") == _DOCUMENTS).select("doc_id", "n", "cid", "batch")
+    classes = common.saved(members.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.min("batch").alias("batch")))
+    total, n_classes = classes.agg(F.coalesce(F.sum("copies"), F.lit(0)), F.count("*")).first()
+
+    counts = signed.filter(F.col("target") == _FREQUENT).select("hashes", "counts").mapInArrow(_frequent, "h long, n long")
+    frequent = counts.groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(hot, n_classes // common.HOT_PARTS)).select("h").collect()
+    copied = classes.filter((F.col("copies") >= max(hot, total // common.HOT_PARTS)) & (F.col("n") > 0)).select("cid", "batch").orderBy("cid").collect()
+    routes = spark.sparkContext.broadcast(
+        (np.sort(np.array([r["h"] for r in frequent], dtype=np.int64)).astype(np.uint64), *(np.array([r[k] for r in copied], dtype=np.int64) for k in ("cid", "batch")))
+    )
+    packed = signed.filter("target >= 0")
+    cold = packed.mapInArrow(_route(routes, goals, False), _FIRST).select("target", "cids", "ns", "counts", "hashes")
+    met = cold.repartition(parts, "target").mapInArrow(_meet(goals), _MEET)
+    if frequent:
+        met = met.unionByName(packed.mapInArrow(_route(routes, goals, True), _MEET))
+    first = met.repartition(parts, "target").mapInArrow(_prefix(goals), _LINKED)
     edges = first.repartition(parts, "target").mapInArrow(_stars, "a long, b long")
     candidates = connected_components(edges)
 
-    classes = common.saved(members.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n")))
     maybe = common.saved(classes.join(candidates, classes["cid"] == candidates["node"]).select("cid", "rep", "n", F.col("root").alias("comp")))
-    sizes = maybe.groupBy("comp").agg(F.sum("n").alias("_size"))
     n_maybe = maybe.count()
     wanted = rows.join(common.maybe_broadcast(maybe.select(F.col("rep").alias("doc_id")).distinct(), n_maybe), "doc_id", "left_semi")
     sets = wanted.unionByName(rows.filter("doc_id IS NULL")).mapInArrow(_sets(words), _SETS)
-    placed = sets.drop("n").join(common.maybe_broadcast(maybe.select("cid", "comp"), n_maybe), "cid")
-    large = common.saved(sizes.filter(F.col("_size") > group).withColumn("blocks", F.ceil(F.col("_size") * 2 / group).cast("int")))
+    placed = sets.join(common.maybe_broadcast(maybe.select("cid", "comp"), n_maybe), "cid")
+    large = common.saved(_sizes(maybe).filter(F.col("_size") > group).select("comp"))
     n_large = large.count()
+    found: list[DataFrame] = []
     if n_large:
+        placed = common.saved(placed.dropDuplicates(["cid"]))
+        own = common.maybe_broadcast(large, n_large)
+        rest, found = _reduce(common.saved(placed.join(own, "comp").select("comp", "cid", "n", "hashes")), group)
+        blocks = _sizes(rest).select("comp", F.ceil(F.col("_size") * 2 / group).cast("int").alias("blocks")).withColumn("blocks", F.when(F.col("blocks") > 2, F.col("blocks")).otherwise(1))
+        rest = rest.join(common.maybe_broadcast(blocks), "comp")
         # A class goes to every pair of blocks that has its own: blocks copies of it.
-        placed = placed.join(common.maybe_broadcast(large, n_large), "comp", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        own = F.pmod(F.xxhash64("cid"), F.col("blocks"))
-        placed = placed.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        placed = placed.withColumn("block", F.xxhash64("comp", F.least("_own", F.col("_other").cast("long")), F.greatest("_own", F.col("_other").cast("long"))))
+        rest = rest.withColumn("_own", F.pmod(F.xxhash64("cid"), F.col("blocks"))).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
+        rest = rest.withColumn("block", F.when(F.col("blocks") == 1, F.col("comp")).otherwise(F.xxhash64("comp", F.least("_own", "_other"), F.greatest("_own", "_other"))))
+        placed = placed.join(own, "comp", "left_anti").select(F.col("comp").alias("block"), "cid", "hashes").unionByName(rest.select("block", "cid", "hashes"))
     else:
-        placed = placed.withColumn("block", F.col("comp"))
-    links = placed.select("block", "cid", "hashes").repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_solve, "a long, b long")
+        placed = placed.select(F.col("comp").alias("block"), "cid", "hashes")
+    links = common.saved(placed.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_solve, "a long, b long"))
     if n_large:
-        found = connected_components(links)
-        solved = common.saved(links.select(F.col("a").alias("node")).distinct().join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
+        every = links
+        for x in found:
+            every = every.unionByName(x)
+        roots = connected_components(every)
+        solved = common.saved(every.select(F.col("a").alias("node")).union(every.select("b")).distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
     else:
-        solved = common.saved(links.select(F.col("a").alias("node"), F.col("b").alias("root")))
+        solved = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
     named = solved.join(maybe.select(F.col("cid").alias("node"), "rep"), "node")
     least = named.groupBy("root").agg(F.min("rep").alias("least"))
     named = named.join(least, "root").select(F.col("node").alias("cid"), "least")
     groups = common.saved(classes.join(named, "cid", "left").select("cid", "copies", F.coalesce("least", "rep").alias("component_id")))
-    out = common.hot_join(members, groups, "cid", "copies", classes.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0])
+    out = common.hot_join(members, groups, "cid", "copies", total)
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("cid").alias("class_id"), component.alias("component_id"))
 
