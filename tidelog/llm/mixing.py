@@ -55,11 +55,14 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
 def mix(
     docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: str = "mix", carry: tuple[str, ...] = ()
 ) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken (words, repeats counted), and carry's columns."""
+    """One row per document: doc_id, source, size, source_size, target, taken (words, repeats counted).
+
+    carry: columns of docs that come along, as fields of the struct _own.
+    """
     parts = common.parallelism(docs.sparkSession)
     bins = 4 * parts
-    carry = tuple(c for c in carry if c not in ("doc_id", "source"))
-    rows = docs.select("doc_id", "source", *(F.col(c).alias(f"_c_{c}") for c in carry), words(F.col("text")).alias("size"), mix_key(F.col("doc_id"), seed).alias("_key"))
+    own = [F.struct(*(F.col(c) for c in carry)).alias("_own")] if carry else []
+    rows = docs.select("doc_id", "source", *own, words(F.col("text")).alias("size"), mix_key(F.col("doc_id"), seed).alias("_key"))
     rows = rows.withColumn("_bin", F.shiftright(F.shiftright("_key", 29) * bins, 31))
     # At most 4 x partitions bins a source: what a hot source is cut into.
     binned = common.saved(rows.groupBy("source", "_bin").agg(F.sum("size").alias("_words")))
@@ -75,7 +78,7 @@ def mix(
     left = F.when(F.col("source_size") > 0, budget % F.col("source_size")).otherwise(F.lit(0))
     part = F.greatest(F.lit(0), F.least(F.col("size"), left - F.col("_before")))
     return out.select(
-        "doc_id", "source", "size", "source_size", "target", (full * F.col("size") + part).cast("long").alias("taken"), *(F.col(f"_c_{c}").alias(c) for c in carry)
+        "doc_id", "source", "size", "source_size", "target", (full * F.col("size") + part).cast("long").alias("taken"), *(["_own"] if carry else [])
     )
 
 
@@ -91,11 +94,11 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     rows = plan.withColumn("_n", times).filter("_n > 0").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n"))))
     left = F.col("taken") - (F.col("_i") - 1) * F.col("size")
     whole = (F.col("size") == 0) | (left >= F.col("size"))
-    text = F.when(whole, F.col("text")).otherwise(_first_words(F.col("text"), left))
-    out = rows.withColumn("text", text)
+    own = {c: F.col("_own").getField(c) for c in names}
+    fresh = {"text": F.when(whole, own["text"]).otherwise(_first_words(own["text"], left))}
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*names)
+        fresh["n_chars"] = F.when(whole, own["n_chars"]).otherwise(F.length(fresh["text"])).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*(fresh.get(c, own[c]).alias(c) for c in names))
 
 
 def _first_words(text: Column, n: Column) -> Column:
