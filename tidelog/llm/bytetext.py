@@ -6,6 +6,7 @@ bytes find the same words as classes of characters.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,10 +22,11 @@ BLANK = np.zeros(256, dtype=bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
 #: Texts are worked on in slices of so many bytes, so that tables stay in the cache.
-SLICE = 1 << 20
+SLICE = 1 << 17
 #: Longer words are hashed one by one.
 LONG_WORD = 4096
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _PRIME = 0x9E3779B97F4A7C15 | 1
 
 
@@ -38,7 +40,7 @@ _POWER = _powers(_PRIME, SLICE + 2 * LONG_WORD)
 _INVERSE = _powers(pow(_PRIME, -1, 1 << 64), SLICE + 2 * LONG_WORD)
 
 
-def batches(column: pa.Array, limit: int = 8 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def batches(column: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, bytes, offsets) of pieces of a text column; a piece has limit bytes, or one text."""
     if column.null_count:
         column = column.fill_null("")
@@ -51,6 +53,14 @@ def batches(column: pa.Array, limit: int = 8 << 20) -> Iterator[tuple[int, int,
         end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + limit, "right")) - 1)
         yield row, end, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         row = end
+    release()
+
+
+def release() -> None:
+    """Give freed memory back: workers live on after a task, and their heaps would keep what large batches took."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 def word_spans(mask: np.ndarray, offsets: np.ndarray, kinds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -14,6 +14,9 @@ BROADCAST_ROWS = 1_000_000
 #: A key is hot if it holds at least one of so many parts of all rows; so at most this many keys are hot.
 HOT_PARTS = 1000
 
+#: Bytes of an Arrow batch, but for a single longer row.
+BATCH_BYTES = 8 << 20
+
 _own: dict[str, str] = {}
 
 
@@ -55,6 +58,14 @@ def saved(df: DataFrame, *, partition_by: tuple[str, ...] = (), options: dict[st
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let a batch of rows for Python hold BATCH_BYTES, if the session allows more: texts may be long, and workers small."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, "64m").rstrip("bB")
+    if not now.isdigit() or int(now) <= 0 or int(now) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

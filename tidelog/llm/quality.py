@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import bytetext
+from . import bytetext, common
 
 #: Labelled documents that the trees are fitted on, as expected.
 TRAIN_ROWS = 20_000
@@ -158,7 +158,7 @@ def held_out(doc_id: Column) -> Column:
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         text = batch.column(batch.schema.get_field_index("text"))
-        for a, b, data, offsets in bytetext.batches(text, 4 << 20):
+        for a, b, data, offsets in bytetext.batches(text):
             x = statistics(data, offsets)
             flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32()))
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("label")).slice(a, b - a), flat], ["label", "x"])
@@ -166,6 +166,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", rows: int = TRAIN_ROWS) -> Trees:
     """Fit on labelled documents that aren't held out; about rows of them if there are more."""
+    common.small_batches(docs.sparkSession)
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.min(F.col(label).cast("int")).alias("label"))
     n = known.count()
@@ -180,12 +181,13 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", rows: i
 
 def score(docs: DataFrame, model: Trees) -> DataFrame:
     """docs with score (0 to 1) and predicted (1 if score >= 0.5)."""
+    common.small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = batch.column(batch.schema.get_field_index("text"))
-            for a, b, data, offsets in bytetext.batches(text, 4 << 20):
+            for a, b, data, offsets in bytetext.batches(text):
                 p = shared.value.score(statistics(data, offsets))
                 rest = [batch.column(i).slice(a, b - a) for i in range(batch.num_columns)]
                 yield pa.RecordBatch.from_arrays([*rest, pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*batch.schema.names, "score", "predicted"])

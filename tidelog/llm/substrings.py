@@ -72,7 +72,7 @@ def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def _chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         text = batch.column(batch.schema.get_field_index("text"))
-        for a, b, data, offsets in bytetext.batches(text, 2 << 20):
+        for a, b, data, offsets in bytetext.batches(text):
             starts, ends, owner = chunks(data, offsets)
             digests = bytetext.word_hashes(data, starts, ends).astype(np.int64)
             begins = bytetext.word_spans(~bytetext.BLANK[data], offsets)[0]
@@ -108,6 +108,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def dedup(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with the text left, n_bytes (before), removed_bytes, removed (spans of bytes), first_ids (documents that keep them)."""
+    common.small_batches(docs.sparkSession)
     rest = docs.drop(*_RESULT)
     rows = rest.withColumn("text", common.text_of()).withColumn("_row", F.monotonically_increasing_id())
     longs = T.ArrayType(T.LongType())

@@ -240,6 +240,7 @@ def _count(kind: str, vocabulary: int):
                 offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
                 data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
                 total += np.bincount(np.frombuffer(data.tobytes(), kind), minlength=vocabulary)
+        bytetext.release()
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
 
@@ -260,6 +261,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             head = np.column_stack([part.column(at[n]).to_numpy() for n in ("_key", "_id", "size")]).astype("<i8").tobytes()
             rows.append((int(where[rows_of[0]]), len(rows_of), press.compress(head + b"".join(part.column(at["ids"]).to_pylist()))))
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["range", "rows", "pack"])
+    bytetext.release()
 
 
 SEGMENTS = "range long, segment long, first long, n_ids long, doc_ids array<long>, lengths array<long>, payload binary"
@@ -292,6 +294,7 @@ def _code(kind: str, shared, segment: int):
                 values = [number, count, first, len(ids), docs, sizes[row:last].tolist(), rans.encode(ids, shared.value)]
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names)
                 first, count, row = first + len(ids), count + 1, last
+            bytetext.release()
 
         now, packs = None, []
         for batch in batches:
@@ -310,6 +313,7 @@ def _code(kind: str, shared, segment: int):
 def write(docs: DataFrame, config: str, path: str, *, end_id: int = END_ID, segment: int = SEGMENT) -> None:
     """Encode docs (doc_id, text) with the tokenizer of that JSON and write the container at path."""
     spark = docs.sparkSession
+    common.small_batches(spark)
     encoder = Encoder(config, slots=1)
     kind, vocabulary = encoder.kind.str, max(end_id + 1, encoder.tokenizer.get_vocab_size(with_added_tokens=True))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("_key"), F.monotonically_increasing_id().alias("_id"), "text")
@@ -326,8 +330,13 @@ def write(docs: DataFrame, config: str, path: str, *, end_id: int = END_ID, segm
     chance = F.shiftrightunsigned(F.xxhash64("_key", "_id"), 11) / F.lit(float(1 << 53))
     sample = encoded.filter(chance < F.col("size") / F.lit(step)).select("_key", "_id", F.greatest(F.col("size").cast("double"), F.lit(step)))
     splitters = _splitters(sample.collect(), ranges)  # 16 a range are drawn
-    dealt = encoded.mapInArrow(_assign(splitters), "_key long, _id long, size long, ids binary, _range long")
-    packs = dealt.mapInArrow(_pack, "range long, rows long, pack binary").repartition(parts, "range").sortWithinPartitions("range")
+    assign = _assign(splitters)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Both steps in one worker."""
+        yield from _pack(assign(batches))
+
+    packs = encoded.mapInArrow(deal, "range long, rows long, pack binary").repartition(parts, "range").sortWithinPartitions("range")
     coded = packs.mapInArrow(_code(kind, spark.sparkContext.broadcast(table), segment), SEGMENTS)
     coded.write.option("compression", "uncompressed").parquet(f"{path}/segments")
     known = [(int(i), int(table.freq[i])) for i in np.flatnonzero(table.freq)]
@@ -357,6 +366,7 @@ def _decode(shared, with_ids: bool):
                     columns.append(pa.array([p.astype(np.int64) for p in parts], pa.list_(pa.int64())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
+            bytetext.release()
 
     return decode
 
