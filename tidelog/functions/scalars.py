@@ -26,7 +26,7 @@ def compare(a: Column, b: Column) -> Column:
 
 def text(x: Column) -> Column:
     """UTF-8 text of bytes; bytes that aren't become U+FFFD."""
-    return F.decode(x.cast("binary"), "UTF-8")
+    return F.make_valid_utf8(x.cast("binary").cast("string"))
 
 
 def parse_integer(x: Column) -> Column:

@@ -53,7 +53,7 @@ def create(keys: DataFrame, bits_per_key: int, key: str = "user_key", n: int | N
 def packed(bits: DataFrame, n: int) -> bytes:
     """Filter bytes, the last being k's place left 0; for filters whose size is a chosen parameter."""
     out = bytearray(n // 8)
-    for row in bits.groupBy(F.expr("bit div 8").alias("at")).agg(F.bit_or(F.shiftleft(F.lit(1), (F.col("bit") % 8).cast("int"))).alias("x")).collect():
+    for row in bits.groupBy(F.expr("bit div 8").alias("at")).agg(F.bit_or(F.expr("shiftleft(1, cast(bit % 8 AS INT))")).alias("x")).collect():
         out[row["at"]] = row["x"]
     return bytes(out)
 

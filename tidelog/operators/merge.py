@@ -74,15 +74,15 @@ class StringAppendMerge(ExpressionMerge):
         return F.array_join(F.transform(F.array_sort(rows), lambda r: r["v"]), self.delimiter)
 
     def full(self) -> Column:
-        row = F.struct("seq", F.decode(F.col("value").cast("binary"), "UTF-8").alias("v"))
+        row = F.struct("seq", F.make_valid_utf8(F.col("value").cast("binary").cast("string")).alias("v"))
         operands = F.collect_list(F.when(F.col("op") == MERGE, row))
-        base = F.max(F.when(F.col("op") != MERGE, F.decode(F.col("value").cast("binary"), "UTF-8")))
+        base = F.max(F.when(F.col("op") != MERGE, F.make_valid_utf8(F.col("value").cast("binary").cast("string"))))
         joined = self._joined(operands)
         none = F.size(operands) == 0
         return F.when(none, base).when(F.coalesce(base, F.lit("")) == "", joined).otherwise(F.concat(base, F.lit(self.delimiter), joined))
 
     def partial(self) -> Column:
-        row = F.struct("seq", F.decode(F.col("value").cast("binary"), "UTF-8").alias("v"))
+        row = F.struct("seq", F.make_valid_utf8(F.col("value").cast("binary").cast("string")).alias("v"))
         return F.when(F.count("*") > 0, self._joined(F.collect_list(row)))
 
 

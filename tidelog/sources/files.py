@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
@@ -41,7 +43,7 @@ class Files:
             stream.close()
 
     def create(self, path: str, text: str) -> bool:
-        """Write a file that isn't there yet: whole under another name, then put in place. False if there is one."""
+        """Put a whole file where there is none yet, as one step that only one writer can win. False if there is one."""
         fs, p = self._at(path)
         if fs.exists(p):
             return False
@@ -53,13 +55,27 @@ class Files:
                 stream.write(bytearray(text.encode()))
             finally:
                 stream.close()
-            claim = fs.createNewFile(self._at(f"{path}.claim")[1])  # the one that makes it may rename
-            done = bool(claim) and not fs.exists(p) and fs.rename(q, p)
+            if fs.getUri().getScheme() == "file":  # its rename would replace a file; a hard link does not
+                return self._link(q, p)
+            context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self._conf)
+            none = self._jvm.org.apache.hadoop.fs.Options.Rename.NONE
+            options = self._jvm.java.lang.reflect.Array.newInstance(none.getClass(), 1)
+            options[0] = none
+            context.rename(q, p, options)
+            return True
         except Py4JJavaError as e:
+            if fs.exists(p):
+                return False
             raise IOFailure(str(e.java_exception)) from e
         finally:
             fs.delete(q, False)
-        return done
+
+    def _link(self, source, target) -> bool:
+        try:
+            os.link(source.toUri().getPath(), target.toUri().getPath())
+            return True
+        except FileExistsError:
+            return False
 
     def delete(self, path: str) -> None:
         fs, p = self._at(path)

@@ -319,7 +319,7 @@ class Store:
         path = f"{self.path}/runs/cf_id={cf_id}/level={level}/{uuid.uuid4().hex}"
         writer = rows.drop("cf_id").sortWithinPartitions("user_key", F.col("seq").desc()).write.option("compression", CODECS[self.options.compression])
         if self.options.filter_bits_per_key:
-            writer = writer.option("parquet.bloom.filter.enabled#user_key", "true")
+            writer = writer.option("parquet.bloom.filter.enabled#user_key", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
         writer.parquet(path)
         meta = compaction.run_metadata(self.spark.read.parquet(path).withColumn("run_id", F.lit(0)))
         found = meta.first()

@@ -48,6 +48,7 @@ _STATE = "seq bigint, op int, value string"
 def latest_with_ttl(stream: DataFrame, ttl_ms: int) -> DataFrame:
     """As latest(), only rows that change something; a deleted key's state goes after ttl_ms without news.
 
+    Time-outs keep such a query at work, so it takes a trigger by time; availableNow would not end.
     A version older than a deletion that has been forgotten would count as new; ttl_ms is to be longer than files are late.
     """
 
