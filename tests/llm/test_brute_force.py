@@ -240,7 +240,14 @@ def test_sharding(spark, ranges):
         slots[r["shard"]].append(r["slot"])
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     biggest = max(r["size"] for r in out)
-    assert all(abs(sizes[s] - sum(sizes.values()) / 7) <= biggest for s in range(7))
+    due = sum(sizes.values()) / 7
+    assert all(abs(sizes[s] - due) <= biggest + sharding.WHOLE_GROUP * due for s in range(7))
+    groups = defaultdict(list)
+    for r in out:
+        groups[r["size"], r["text_crc32"]].append(r)
+    for rows in groups.values():
+        if sum(r["size"] for r in rows) <= sharding.WHOLE_GROUP * due:
+            assert len({r["shard"] for r in rows}) == 1
 
 
 def test_rans_round_trip():
@@ -472,3 +479,14 @@ def test_quality_ignores_held_out_labels(spark):
     turned = labels.withColumn("quality", F.when(quality.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
     a, b = (quality.train(docs, x) for x in (labels, turned))
     assert a.base == b.base and (a.leaf == b.leaf).all() and (a.threshold == b.threshold).all()
+
+
+@pytest.mark.parametrize("ranges", [None, 3])
+def test_sharding_of_a_hot_text(spark, ranges):
+    rows = [(i, "the same text" if i % 3 == 0 else data.words(6, i), "en", "s", 1) for i in range(1500)]
+    out = rows_of(sharding.shard(data.table(spark, rows), 5, ranges=ranges))
+    sizes = Counter()
+    for r in out:
+        sizes[r["shard"]] += r["size"]
+    due = sum(sizes.values()) / 5
+    assert len(out) == 1500 and all(abs(sizes[s] - due) <= 100 + sharding.WHOLE_GROUP * due for s in range(5))

@@ -3,10 +3,11 @@
 A sample drawn with a chance in proportion to a record's size gives quantile boundaries; they cut the records into many
 more ranges than shards. Ranges that turn out to hold more than twice their due are sampled again, on their own, and
 subdivided until no divisible one is left. Prefix sums over the ranges, then within each range, place every record in the
-global order; a shard takes the records whose middle byte falls into its equal part of all bytes, so sizes of shards
-differ by less than one record on either side.
+global order; a shard takes the records whose middle byte falls into its equal part of all bytes.
 
-Equal texts have equal hashes: they lie side by side, and only a boundary between shards parts them.
+Equal texts have equal hashes: they lie side by side. A group of at most WHOLE_GROUP of a shard goes where its middle lies,
+as a whole; larger ones may be parted by a boundary between shards. So a shard's size differs from its due by at most
+half such a group, or half a record, at either end.
 
 Defined results: a null text has no bytes and the checksum 0; a size is at least 16, so empty texts count; rows that agree
 in text and doc_id are interchangeable and never parted by a range; an empty table gives an empty one.
@@ -27,6 +28,9 @@ SHARDS = 40
 OVERHEAD = 16
 #: Sampled keys a range, as expected; the driver holds so many times ranges.
 OVERSAMPLE = 16
+#: Equal texts of at most this share of a shard stay in one.
+WHOLE_GROUP = 0.02
+_FIRST = -(1 << 63)
 #: A range is overfull above so many times its due.
 OVERFULL = 2.0
 
@@ -56,7 +60,9 @@ def _splitters(sample: list, parts: int) -> list[tuple[int, int]]:
         return []
     weights = np.cumsum([r[2] for r in sample])
     at = np.searchsorted(weights, weights[-1] * np.arange(1, parts) / parts)
-    return [sample[i][:2] for i in np.unique(np.minimum(at, len(sample) - 1))]
+    out = [sample[i][:2] for i in np.unique(np.minimum(at, len(sample) - 1))]
+    # A range begins with the first record of a hash, unless that hash alone spans several quantiles.
+    return [(k, i) if n and out[n - 1][0] == k else (k, _FIRST) for n, (k, i) in enumerate(out)]
 
 
 def _ranged(rows: DataFrame, total: int, ranges: int) -> tuple[DataFrame, list]:
@@ -94,7 +100,7 @@ def shard(docs: DataFrame, n_shards: int = SHARDS, *, ranges: int | None = None)
     common.small_batches(spark)
     raw = F.encode(common.text_of(), "utf-8")
     rows = docs.select(
-        "doc_id", (F.length(raw) + OVERHEAD).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.xxhash64(common.text_of()).alias("_key"), F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).cast("long").alias("_id")
+        "doc_id", (F.length(raw) + OVERHEAD).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.xxhash64(common.text_of()).alias("_key"), F.coalesce(F.col("doc_id"), F.lit(_FIRST)).cast("long").alias("_id")
     )
     rows = common.saved(rows)
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
@@ -109,7 +115,10 @@ def shard(docs: DataFrame, n_shards: int = SHARDS, *, ranges: int | None = None)
     placed = ranged.join(F.broadcast(starts), "_range")
     placed = placed.withColumn("_at", F.col("_bytes") + before).withColumn("_row", F.col("_rows") + F.row_number().over(order) - 1)
     due = total / n_shards if total else 1.0
-    middle = (F.col("_at") + F.col("size") / 2) / F.lit(due)
+    group = Window.partitionBy("_range", "_key")
+    together = F.sum("size").over(group)
+    small = together <= WHOLE_GROUP * due
+    middle = F.when(small, F.min("_at").over(group) + together / 2).otherwise(F.col("_at") + F.col("size") / 2) / F.lit(due)
     placed = placed.withColumn("shard", F.least(F.floor(middle), F.lit(n_shards - 1)).cast("int"))
     placed = common.saved(placed.select("doc_id", "size", "text_crc32", "shard", "_row"))
     first = placed.groupBy("shard").agg(F.min("_row").alias("_first"))  # one row a shard
