@@ -10,7 +10,7 @@ from abc import ABC, abstractmethod
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import DELETE, MERGE, PUT
@@ -87,15 +87,20 @@ class StringAppendMerge(ExpressionMerge):
 
 
 def since_base(log: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
-    """Of each key the rows that count: its base, if that is a put, and its operands."""
-    base = F.coalesce(F.max(F.when(F.col("op") != MERGE, F.col("seq"))).over(Window.partitionBy(*key)), F.lit(-1))
-    return log.withColumn("_base", base).filter(F.col("seq") >= F.col("_base")).filter(F.col("op") != DELETE).drop("_base")
+    """Of each key the rows that count: its base, if that is a put, and its operands.
+
+    Bases are an aggregate that tasks begin on their own rows, joined back: a key with very many versions makes a skewed
+    join, which AQE splits, and no window of one task.
+    """
+    base = log.filter(F.col("op") != MERGE).groupBy(*key).agg(F.max("seq").alias("_base"))
+    found = log.join(base, list(key), "left").filter(F.col("seq") >= F.coalesce("_base", F.lit(-1)))
+    return found.filter(F.col("op") != DELETE).select(*log.columns)
 
 
 def fold(
     log: DataFrame, operator: MergeOperator | ExpressionMerge | None = None, *, snapshot: int | Column | None = None, key: Sequence[str] = KEY
 ) -> DataFrame:
-    """Live keys: key columns, seq of the newest version, value. The window and the aggregate share one shuffle."""
+    """Live keys: key columns, seq of the newest version, value. The join with bases and the aggregate share the log's shuffle."""
     if operator is None:
         return latest_wins(log, snapshot=snapshot, key=key).select(*key, "seq", "value")
     rows = since_base(as_of(log, snapshot), key)
