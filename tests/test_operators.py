@@ -6,7 +6,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from tidelog.functions import scalars
+from tidelog.functions import fixtures, scalars
 from tidelog.operators import batch, bloom, compaction, cursor, manifest, merge, resolve
 
 LOG = "cf_id int, user_key binary, seq long, op int, value binary"
@@ -179,6 +179,18 @@ def test_bloom(spark):
     assert [bloom.n_probes(x) for x in (1, 10, 20, 100)] == [1, 6, 13, 30] and bloom.n_bits(1, 10) == 64
 
 
+def test_generated_values(spark):
+    def model(seed, size):
+        out, x = bytearray(), seed
+        for _ in range(size):
+            x = (x * 1103515245 + 12345) % (1 << 64)
+            out.append(x >> 16 & 255)
+        return bytes(out)
+
+    got = spark.range(5).select("id", fixtures.lcg_bytes(F.col("id"), 40).alias("v")).collect()
+    assert all(bytes(r["v"]) == model(r["id"], 40) for r in got)
+
+
 def test_batches_and_locks(spark):
     log = make(spark, [(1, b"a", b"1"), (1, b"b", b"1"), (1, b"c", b"1")])
     ops = [(1, 0, bytearray(b"a"), 1, bytearray(b"x")), (2, 0, bytearray(b"a"), 0, None), (3, 0, bytearray(b"a"), 1, bytearray(b"2")), (4, 0, bytearray(b"b"), 0, None)]

@@ -83,6 +83,16 @@ def test_random_operations_equal_a_dict(spark, path):
     assert contents(s) == model == contents(Store.open(spark, path))
 
 
+def test_cache(spark, path):
+    s = Store.open(spark, path)
+    s.put("a", "1")
+    s.cache()
+    assert contents(s) == {b"a": b"1"} and s.cache_stats()["hits"] == 1
+    s.put("a", "2")
+    assert contents(s) == {b"a": b"2"} and s.cache_stats() == {"reads": 2, "hits": 1, "hit_rate": 0.5}
+    assert contents(s) == {b"a": b"2"} and s.cache_stats()["reads"] == 2
+
+
 def test_column_families(spark, path):
     s = Store.open(spark, path, families=["one"])
     one, two = s.column_family("one"), s.create_column_family("two")

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import scalars
+from ..functions import fixtures, scalars
 from ..operators import batch as batches
 from ..operators import bloom, compaction, cursor, manifest, merge, resolve
 from .views import CHANGELOG_SQL, FILES_SQL, ORDERS_SQL, changelog, orders_rows, run_files, table
@@ -543,3 +543,10 @@ def key_codecs(spark, sf_dir):
     return log.select(
         "seq", F.hex(scalars.internal_key(F.col("user_key"), F.col("seq"), F.col("op"))).alias("internal_key"), F.hex(scalars.varint(F.col("seq"))).alias("varint"), scalars.from_varint(scalars.varint(F.col("seq"))).alias("back"), scalars.checksum(F.col("user_key")).alias("crc")
     )
+
+
+@query()
+def generated_values(spark, sf_dir):
+    """Fixture values of 100 bytes for each customer, checked in tests against a model."""
+    keys = table(spark, sf_dir, "customer").select(F.concat(F.lit("key"), F.lpad(F.col("c_custkey").cast("string"), 8, "0")).alias("user_key"), F.col("c_custkey").alias("seed"))
+    return keys.select("user_key", fixtures.lcg_bytes(F.col("seed"), 100).alias("value"))

@@ -15,6 +15,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -163,6 +164,7 @@ class Store:
         self.files, self.statistics = Files(spark), Statistics()
         self._lock = threading.RLock()
         self._state = _State()
+        self._cached: dict[int, tuple[int, DataFrame]] = {}
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, options: StoreOptions | None = None, families: Iterable[str] = ()) -> Store:
@@ -383,9 +385,32 @@ class Store:
 
     def resolved(self, cf: ColumnFamily | None = None, *, snapshot: Snapshot | None = None, smallest: bytes | None = None, largest: bytes | None = None) -> DataFrame:
         """Live rows (cf_id, user_key, seq, value), merges folded by the store's operator."""
+        if snapshot is None and self._cf(cf) in self._cached:
+            commit, rows = self._cached[self._cf(cf)]
+            self.statistics.add(blocks_loaded=1, blocks_cached=int(commit == self._state.commit))
+            if commit == self._state.commit:
+                return rows
+            self.uncache(cf)
         log = self.changelog(cf, smallest=smallest, largest=largest)
         return merge.fold(log, self.options.merge_operator, snapshot=None if snapshot is None else snapshot.seq(self._cf(cf)))
 
+    def cache(self, cf: ColumnFamily | None = None) -> DataFrame:
+        """Keep live rows in the executors' memory (and disk) until the next commit or uncache()."""
+        self.uncache(cf)
+        rows = self.resolved(cf).persist(StorageLevel.MEMORY_AND_DISK)
+        self._cached[self._cf(cf)] = (self._state.commit, rows)
+        return rows
+
+    def uncache(self, cf: ColumnFamily | None = None) -> None:
+        found = self._cached.pop(self._cf(cf), None)
+        if found:
+            found[1].unpersist()
+
+    def cache_stats(self) -> dict[str, float]:
+        """Reads of cached column families, how many found the rows, and their share."""
+        loads, hits = self.statistics.blocks_loaded, self.statistics.blocks_cached
+        return {"reads": loads, "hits": hits, "hit_rate": hits / loads if loads else 0.0}
+
     def get(self, key: bytes | str, cf: ColumnFamily | None = None, *, snapshot: Snapshot | None = None) -> bytes | None:
         raw = _bytes(key)
         log = self.changelog(cf, smallest=raw, largest=raw).filter(F.col("user_key") == F.lit(bytearray(raw)))
