@@ -432,7 +432,7 @@ def bloom_hash(spark, sf_dir):
 
 def _bloom_sql(tail: str) -> str:
     return f"""
-WITH ks AS (SELECT DISTINCT user_key FROM cl WHERE run_id = 0),
+WITH ks AS (SELECT DISTINCT user_key FROM cl),
 m AS (SELECT greatest(64, count(*) * 10) AS want FROM ks),
 nb AS (SELECT ((want + 7) // 8) * 8 AS n FROM m),
 hashed AS (SELECT user_key, CAST({_HASH.replace('3164544308', str(bloom.SEED))} AS HUGEINT) AS h FROM (SELECT user_key FROM ks UNION SELECT concat('u', lpad(CAST(c_custkey AS VARCHAR), 6, '0')) FROM customer)),
@@ -444,7 +444,7 @@ probed AS (SELECT user_key, bool_and(bit IN (SELECT bit FROM filter_bits)) AS ma
 
 
 def _bloom(spark: SparkSession, sf_dir: str):
-    keys = changelog(spark, sf_dir).filter("run_id = 0").select("user_key").distinct()
+    keys = changelog(spark, sf_dir).select("user_key").distinct()
     n = keys.count()
     return keys, bloom.create(keys, 10, n=n), bloom.n_bits(n, 10)
 
@@ -472,16 +472,16 @@ def bloom_fp_rate(spark, sf_dir):
 # Batches and transactions
 
 _BATCH = """batch AS (
-  SELECT row_number() OVER (ORDER BY event_id) AS ordinal, CAST(0 AS INTEGER) AS cf_id, concat('u', lpad(CAST((user_id * 3) % 200 AS VARCHAR), 6, '0')) AS user_key,
-         CAST(CASE WHEN event_id % 5 = 0 THEN 0 ELSE 1 END AS INTEGER) AS op, CASE WHEN event_id % 5 <> 0 THEN concat('b', CAST(event_id AS VARCHAR)) END AS value
-  FROM events WHERE event_id < 300)"""
+  SELECT c_custkey + 1 AS ordinal, CAST(0 AS INTEGER) AS cf_id, concat('u', lpad(CAST((c_custkey * 3) % 200 AS VARCHAR), 6, '0')) AS user_key,
+         CAST(CASE WHEN c_nationkey % 5 = 0 THEN 0 ELSE 1 END AS INTEGER) AS op, CASE WHEN c_nationkey % 5 <> 0 THEN concat(c_mktsegment, CAST(c_custkey AS VARCHAR)) END AS value
+  FROM customer)"""
 
 
 def _batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").filter("event_id < 300")  # the batch that is applied, not a part of one
-    op = F.when(F.col("event_id") % 5 == 0, 0).otherwise(1).cast("int")
-    return events.select(
-        (F.col("event_id") + 1).alias("ordinal"), F.lit(0).alias("cf_id"), F.concat(F.lit("u"), F.lpad(((F.col("user_id") * 3) % 200).cast("string"), 6, "0")).alias("user_key"), op.alias("op"), F.when(op != 0, F.concat(F.lit("b"), F.col("event_id").cast("string"))).alias("value")
+    """customer as one batch: a customer's number is its place."""
+    op = F.when(F.col("c_nationkey") % 5 == 0, 0).otherwise(1).cast("int")
+    return table(spark, sf_dir, "customer").select(
+        (F.col("c_custkey") + 1).alias("ordinal"), F.lit(0).alias("cf_id"), F.concat(F.lit("u"), F.lpad(((F.col("c_custkey") * 3) % 200).cast("string"), 6, "0")).alias("user_key"), op.alias("op"), F.when(op != 0, F.concat("c_mktsegment", F.col("c_custkey").cast("string"))).alias("value")
     )
 
 
@@ -512,16 +512,16 @@ def read_your_writes(spark, sf_dir):
     return batches.applied(changelog(spark, sf_dir), _batch(spark, sf_dir)).select("user_key", "value", "own")
 
 
-@query(f"WITH {_BATCH} SELECT user_key, max(seq) AS last_seq FROM cl WHERE seq > 9000 AND user_key IN (SELECT user_key FROM batch) GROUP BY user_key")
+@query(f"WITH {_BATCH} SELECT user_key, max(seq) AS last_seq FROM cl WHERE seq > 900 AND user_key IN (SELECT user_key FROM batch) GROUP BY user_key")
 def conflict_detect(spark, sf_dir):
-    return batches.conflicts(changelog(spark, sf_dir), _batch(spark, sf_dir), 9000).select("user_key", "last_seq")
+    return batches.conflicts(changelog(spark, sf_dir), _batch(spark, sf_dir), 900).select("user_key", "last_seq")
 
 
 @query("""
-WITH l AS (SELECT concat('u', CAST(user_id AS VARCHAR)) AS user_key, event_id % 40 AS txn_id, max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS w FROM events WHERE event_id < 400 GROUP BY ALL)
+WITH l AS (SELECT concat('u', CAST(user_id AS VARCHAR)) AS user_key, event_id % 40 AS txn_id, max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS w FROM events GROUP BY ALL)
 SELECT a.user_key, a.txn_id AS txn_a, b.txn_id AS txn_b FROM l a JOIN l b ON a.user_key = b.user_key AND a.txn_id < b.txn_id AND (a.w = 1 OR b.w = 1)""")
 def lock_compatibility(spark, sf_dir):
-    events = table(spark, sf_dir, "events").filter("event_id < 400")  # the lock table of 40 transactions
+    events = table(spark, sf_dir, "events")
     locks = events.select(F.lit(0).alias("cf_id"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("user_key"), (F.col("event_id") % 40).alias("txn_id"), F.when(F.col("event_type") == "purchase", "WRITE").otherwise("READ").alias("mode"))
     return batches.lock_conflicts(locks).select("user_key", "txn_a", "txn_b")
 
