@@ -4,8 +4,8 @@ Words are lower-cased in A-Z and are runs of letters, digits and non-ASCII chara
 an item; an item with fewer words, but not none, is one window. The windows' hashes are broadcast; each document's windows
 are looked up, every hit is verified word by word, and the words of verified windows are hit.
 
-The benchmark is broadcast in blocks of BLOCK_BYTES; a larger one makes several passes over the documents in one stage,
-each adding its hits to those before, so that no worker holds more than a block at a time for a pass.
+The benchmark is broadcast in blocks of BLOCK_BYTES; a larger one makes several passes over the documents, up to PASSES in
+one stage, each adding its hits to those before. No worker holds more than a block.
 
 Defined results: a null or wordless text has no words and no hits; null or wordless items have no windows; repeated items
 and rows are each reported; an empty benchmark hits nothing. Columns of the input with the name of a result are replaced.
@@ -27,6 +27,8 @@ from . import bytetext, common
 WINDOW = 10
 #: Bytes of benchmark text in one broadcast block.
 BLOCK_BYTES = 4 << 20
+#: Blocks that one stage passes; each has a worker of its own in a task. Then the documents are written with their hits so far.
+PASSES = 4
 #: Fixed values: [^\x00-\x2F\x3A-\x60\x7B-\x7F], after lower-casing.
 WORD_BYTE = np.zeros(256, dtype=bool)
 WORD_BYTE[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -126,6 +128,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, block_b
         rows = bench.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else bench
         block = WindowSet([(r["item_id"] or "", r["text"]) for r in rows.collect()], window)
         out = out.mapInArrow(_pass(spark.sparkContext.broadcast(block)), out.schema)
+        if (k + 1) % PASSES == 0 and k + 1 < blocks:
+            out = common.saved(out)
     return out
 
 

@@ -19,8 +19,8 @@ takes of its frequent ones; they are at most HOT_PARTS times the mean number sen
 and need not meet. Classes of as many copies, at most HOT_PARTS, send from one batch only. Where classes are gathered,
 a task links those that share a hash and sends on one of them for each hash.
 
-Components beyond GROUP shingles are first reduced in rounds: their shingles are compared with a few leaders each, and what
-the triangle inequality closes around a leader is linked to it and leaves. What then is still beyond GROUP is cut into
+Components beyond TIGHT shingles are first reduced in rounds: their shingles are compared with a few leaders each, and what
+the triangle inequality closes around a leader is linked to it and leaves. What then is beyond GROUP is cut into
 blocks, and each pair of blocks is searched. Links meet in a distributed search for components.
 
 Defined results: null and wordless texts have size 0 and no link, component_id is their own doc_id; texts with fewer than
@@ -43,6 +43,8 @@ from .components import Forest, connected_components
 WORDS = 5
 #: Shingles of a candidate component that one task searches at once.
 GROUP = 1 << 22
+#: Shingles of a candidate component from which on it is reduced first, all tasks working on it.
+TIGHT = 1 << 22
 #: Classes that a hash or copies that a class must have, at least, to be hot.
 HOT = 64
 #: Rounds that reduce large components, components in a round, leaders of each, and shingles that a leader may have.
@@ -450,12 +452,12 @@ def _sizes(sets: DataFrame) -> DataFrame:
     return sets.groupBy("comp").agg(F.sum("n").alias("_size"), F.count("*").alias("_rows"))
 
 
-def _reduce(large: DataFrame, group: int) -> tuple[DataFrame, list[DataFrame]]:
+def _reduce(large: DataFrame, tight: int) -> tuple[DataFrame, list[DataFrame]]:
     """Take from large components (comp, cid, n, hashes) what leaders close, in rounds; the rest, and links (a, b) found."""
     links: list[DataFrame] = []
     spark = large.sparkSession
     for turn in range(ROUNDS):
-        top = _sizes(large).filter(F.col("_size") > group).orderBy(F.col("_size").desc()).limit(LARGEST).collect()
+        top = _sizes(large).filter(F.col("_size") > tight).orderBy(F.col("_size").desc()).limit(LARGEST).collect()
         if not top:
             break
         chosen = spark.createDataFrame([(r["comp"],) for r in top], "comp long")
@@ -478,7 +480,7 @@ def _reduce(large: DataFrame, group: int) -> tuple[DataFrame, list[DataFrame]]:
     return large, links
 
 
-def join(docs: DataFrame, *, words: int = WORDS, group: int = GROUP, hot: int = HOT) -> DataFrame:
+def join(docs: DataFrame, *, words: int = WORDS, group: int = GROUP, tight: int = TIGHT, hot: int = HOT) -> DataFrame:
     """One row per document: doc_id, n_shingles, class_id (of its set), component_id."""
     spark = docs.sparkSession
     common.small_batches(spark)
@@ -510,13 +512,13 @@ def join(docs: DataFrame, *, words: int = WORDS, group: int = GROUP, hot: int =
     wanted = rows.join(common.maybe_broadcast(maybe.select(F.col("rep").alias("doc_id")).distinct(), n_maybe), "doc_id", "left_semi")
     sets = wanted.unionByName(rows.filter("doc_id IS NULL")).mapInArrow(_sets(words), _SETS)
     placed = sets.join(common.maybe_broadcast(maybe.select("cid", "comp"), n_maybe), "cid")
-    large = common.saved(_sizes(maybe).filter(F.col("_size") > group).select("comp"))
+    large = common.saved(_sizes(maybe).filter(F.col("_size") > tight).select("comp"))
     n_large = large.count()
     found: list[DataFrame] = []
     if n_large:
         placed = common.saved(placed.dropDuplicates(["cid"]))
         own = common.maybe_broadcast(large, n_large)
-        rest, found = _reduce(common.saved(placed.join(own, "comp").select("comp", "cid", "n", "hashes")), group)
+        rest, found = _reduce(common.saved(placed.join(own, "comp").select("comp", "cid", "n", "hashes")), tight)
         blocks = _sizes(rest).select("comp", F.ceil(F.col("_size") * 2 / group).cast("int").alias("blocks")).withColumn("blocks", F.when(F.col("blocks") > 2, F.col("blocks")).otherwise(1))
         rest = rest.join(common.maybe_broadcast(blocks), "comp")
         # A class goes to every pair of blocks that has its own: blocks copies of it.
