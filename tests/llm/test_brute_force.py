@@ -186,7 +186,7 @@ def brute_components(rows):
 def test_jaccard_join(spark, group, hot):
     """group 300 reduces candidate components and cuts them into blocks; hot 2 and 3 make hashes and classes hot."""
     docs = some_docs(spark, 120)
-    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows_of(jaccard.join(docs, group=group, hot=hot)))
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows_of(jaccard.join(docs, group=group, tight=min(group, jaccard.TIGHT), hot=hot)))
     assert got == brute_components(rows_of(docs))
 
 
