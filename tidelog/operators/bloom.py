@@ -36,18 +36,18 @@ def bloom_hash(key: Column) -> Column:
     return F.aggregate(bytes_, F.lit(SEED).cast("bigint"), step)
 
 
-def positions(key: Column, bits: int | Column, probes: int) -> Column:
-    """The bits of a key, as an array of longs."""
-    h = bloom_hash(key)
+def positions(h: Column, bits: int | Column, probes: int) -> Column:
+    """The bits of a key with hash h, a column of its own so that it is computed once, as an array of longs."""
     delta = (h * (1 << 15)) % WORD + F.shiftright(h, 17)
-    return F.transform(F.sequence(F.lit(0), F.lit(probes - 1)), lambda i: (h + i * delta) % WORD % bits)
+    return F.array(*((h + i * delta) % WORD % bits for i in range(probes)))
 
 
 def create(keys: DataFrame, bits_per_key: int, key: str = "user_key", n: int | None = None) -> DataFrame:
     """The set bits of a filter over distinct keys: bit. Duplicates are dropped by each task first."""
     distinct = keys.select(key).distinct()
     bits = n_bits(distinct.count() if n is None else n, bits_per_key)
-    return distinct.select(F.explode(positions(F.col(key), bits, n_probes(bits_per_key))).alias("bit")).distinct()
+    hashed = distinct.select(bloom_hash(F.col(key)).alias("_h"))
+    return hashed.select(F.explode(positions(F.col("_h"), bits, n_probes(bits_per_key))).alias("bit")).distinct()
 
 
 def packed(bits: DataFrame, n: int) -> bytes:
@@ -60,7 +60,8 @@ def packed(bits: DataFrame, n: int) -> bytes:
 
 def probe(keys: DataFrame, filter_bits: DataFrame, bits: int, probes: int, key: str = "user_key") -> DataFrame:
     """keys with may_contain: all of a key's bits are set. An empty filter contains nothing. A join on bits, no pairs of keys."""
-    want = keys.withColumn("_bits", F.array_distinct(positions(F.col(key), bits, probes)))
-    hit = want.select(F.col(key), F.explode("_bits").alias("bit"), F.size("_bits").alias("_need")).distinct().join(filter_bits, "bit")
+    hashed = keys.select(key).distinct().withColumn("_h", bloom_hash(F.col(key)))
+    want = hashed.withColumn("_bits", F.array_distinct(positions(F.col("_h"), bits, probes)))
+    hit = want.select(F.col(key), F.explode("_bits").alias("bit"), F.size("_bits").alias("_need")).join(filter_bits, "bit")
     full = hit.groupBy(key).agg(F.count("*").alias("_n"), F.first("_need").alias("_need")).select(F.col(key), (F.col("_n") == F.col("_need")).alias("may_contain"))
     return keys.join(full, key, "left").withColumn("may_contain", F.coalesce("may_contain", F.lit(False)))
