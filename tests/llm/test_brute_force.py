@@ -426,6 +426,46 @@ def test_line_dedup(spark, run, gram):
         assert x["n_deleted"] == len(x["deleted"])
 
 
+def brute_words(rows, min_words, run=3):
+    """Numbers of lines that go by runs of run lines, or of fewer lines and min_words words; a Counter as brute_lines has it."""
+    seqs = []
+    for r in rows:
+        parts = [(k, re.sub(r"[\x09\x0B-\x0D]", " ", x).strip(" ")) for k, x in enumerate((r["text"] or "").split("\n"))]
+        seqs.append((r["doc_id"], [(k, x) for k, x in parts if x]))
+    runs = [
+        (tuple(x for _, x in s[i : i + m]), (d is None, d or 0, i), n, [k for k, _ in s[i : i + m]])
+        for n, (d, s) in enumerate(seqs) for m in range(1, run + 1) for i in range(len(s) - m + 1)
+        if m == run or sum(len(BLANK.split(x)) for _, x in s[i : i + m]) >= min_words
+    ]
+    first = {}
+    for g, at, _, _ in runs:
+        first[g] = min(first.get(g, at), at)
+    gone = defaultdict(set)
+    for g, at, n, numbers in runs:
+        if first[g] < at:
+            gone[n] |= set(numbers)
+    return Counter((d, len(s), tuple(sorted(gone[n]))) for n, (d, s) in enumerate(seqs))
+
+
+@pytest.mark.parametrize("run,gram", [(3, 2), (2, 1), (1, 1)])
+def test_line_dedup_by_words(spark, run, gram):
+    r = random.Random(7)
+    pool = [data.words(r.choice((3, 9, 12, 25)), 40 + i) for i in range(20)]
+    docs = data.docs(spark, data.odd_texts() + ["\n".join(r.choice(pool) + r.choice(["", "\t", " \r"]) for _ in range(r.randint(0, 7))) for _ in range(40)])
+    out = rows_of(lines.dedup(docs, run=run, gram=gram, min_words=20))
+    assert Counter((x["doc_id"], x["n_lines"], tuple(x["deleted"])) for x in out) == brute_words(rows_of(docs), 20, run)
+
+
+def test_line_dedup_of_planted_passages(spark):
+    """A passage on one line between lines of the document's own, and copies of a document of one and of two lines."""
+    passage, two = data.words(60, 400), data.words(12, 401) + "\n" + data.words(12, 402)
+    texts = [*(f"{data.words(8, 410 + i)}\n{passage}\n{data.words(8, 420 + i)}" for i in range(3)), passage, two, two, "a short line", "a short line"]
+    docs = data.table(spark, [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)])
+    got = {x["doc_id"]: list(x["deleted"]) for x in rows_of(lines.dedup(docs, min_words=20))}
+    assert got == {0: [], 1: [1], 2: [1], 3: [0], 4: [], 5: [0, 1], 6: [], 7: []}
+    assert not any(x["deleted"] for x in rows_of(lines.dedup(docs)))
+
+
 def test_preferences(spark):
     turns = [(0, 0, "user", "hi"), (0, 1, "assistant", "yes"), (0, 2, "user", "more"), (0, 3, "assistant", "good"), (1, 0, "user", "hi"), (1, 1, "assistant", "yes"), (1, 5, "user", "more"), (1, 9, "assistant", "bad"), (1, 10, "user", None),
              (2, 0, None, None), (5, 0, "user", "alone"), (6, 0, "user", "q"), (6, 0, "user", "q"), (7, 0, "user", "q"), (None, 0, "user", "x"), (-2, 0, "assistant", "é😀"), (-1, None, "user", "z")]

@@ -2,6 +2,8 @@
 
 A text's lines, trimmed, blank ones left out, are a sequence. A run of RUN lines that occurs at an earlier place (in the order
 of doc_id, null last, then place) is repeated, and all its lines are deleted; overlapping repeated runs make longer ones.
+With min_words, so is each shorter run that holds that many words, down to a single line. The query op9_line_dedup and its
+SQL go by lines alone.
 
 Winnowing finds the runs without comparing all of them. Hashes of GRAM lines are winnowed: each window of RUN - GRAM + 1
 of them selects its least, so two equal runs select the same fingerprint. Fingerprints that occur once are dropped by a
@@ -12,7 +14,7 @@ Groups shrink to a count and a least place before the shuffle, and keys that man
 broadcast (common.hot_join). A line is keyed by 64 bits of its text, a run by 64 bits of its lines' keys and lengths.
 
 Defined results: null and empty texts have no lines; rows with equal doc_id are at one place, and none is earlier;
-a text with fewer than RUN lines loses none; an empty table gives an empty one. Columns of the input with the name of a
+a text with fewer than RUN lines loses none, but by min_words; an empty table gives an empty one. Columns of the input with the name of a
 result are replaced.
 """
 
@@ -40,8 +42,18 @@ def _hash_of(array: str, items: int) -> str:
     return f"xxhash64({', '.join(f'element_at({array}, i + {j})' for j in range(items))})"
 
 
-def sequences(docs: DataFrame, run: int, gram: int) -> DataFrame:
-    """docs with _n lines that aren't blank, their numbers _line, and for each start of run lines its fingerprint and key."""
+def _short(span: int, least: int) -> Column:
+    """The runs of span lines, out of keys _k, that hold at least so many of the words _w: place, lines and key."""
+    words = " + ".join(f"element_at(_w, i + {j})" for j in range(span))
+    starts = f"filter(if(_n < {span}, array(), sequence(1, greatest(1, _n - {span - 1}))), i -> {words} >= {least})"
+    return F.expr(f"transform({starts}, i -> struct(i - 1 AS at, {span} AS span, {_hash_of('_k', span)} AS run))")
+
+
+def sequences(docs: DataFrame, run: int, gram: int, min_words: int | None = None) -> DataFrame:
+    """docs with _n lines that aren't blank, their numbers _line, and for each start of run lines its fingerprint and key.
+
+    With min_words also _short, the shorter runs of as many words.
+    """
     text = common.text_of()
     for blank in BLANKS:
         text = F.replace(text, F.lit(blank), F.lit(" "))
@@ -51,29 +63,44 @@ def sequences(docs: DataFrame, run: int, gram: int) -> DataFrame:
     out = out.withColumn("_g", _each("_n", run, gram, _hash_of("_k", gram)))
     window = ", ".join(f"element_at(_g, i + {j})" for j in range(run - gram + 1))
     out = out.withColumn("_print", _each("_n", run, run, f"least({window}, {window.split(', element')[0]})")).withColumn("_run", _each("_n", run, run, _hash_of("_k", run)))
+    if min_words is not None:
+        out = out.withColumn("_w", F.transform("_s", lambda p: F.size(F.filter(F.split(p["x"], " "), lambda w: w != ""))))
+        none = F.expr("array()").cast("array<struct<at:int,span:int,run:bigint>>")
+        out = out.withColumn("_short", F.concat(none, *(_short(m, min_words) for m in range(1, run)))).drop("_w")
     return out.drop("_s", "_k", "_g")
 
 
-def dedup(docs: DataFrame, *, run: int = RUN, gram: int = GRAM) -> DataFrame:
-    """docs with the text left, n_lines (not blank, before), n_deleted, deleted (numbers of lines in the text, from 0)."""
+def dedup(docs: DataFrame, *, run: int = RUN, gram: int = GRAM, min_words: int | None = None) -> DataFrame:
+    """docs with the text left, n_lines (not blank, before), n_deleted, deleted (numbers of lines in the text, from 0).
+
+    Runs of fewer lines than run are deleted too if they hold min_words words; None leaves them.
+    """
     if not 1 <= gram <= run:
         raise ValueError("gram must be from 1 to run")
+    if min_words is not None and min_words < 1:
+        raise ValueError("min_words must be 1 or more")
     rest = docs.drop(*_RESULT)
-    table = common.saved(sequences(rest.withColumn("_row", F.monotonically_increasing_id()), run, gram))
+    table = common.saved(sequences(rest.withColumn("_row", F.monotonically_increasing_id()), run, gram, min_words))
     total = table.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
     # Join positions: only fingerprints that two windows or more select.
     prints = common.saved(table.select(F.explode("_print").alias("print")).groupBy("print").count().filter("count > 1"))
     starts = table.select("_row", "doc_id", F.posexplode(F.arrays_zip(F.col("_print").alias("print"), F.col("_run").alias("run"))).alias("at", "x")).select("_row", "doc_id", "at", "x.print", "x.run")
     place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("at").alias("at"))
-    live = common.saved(common.hot_join(starts, prints, "print", "count", total).select("_row", "run", place.alias("_place")))
+    live = common.hot_join(starts, prints, "print", "count", total).select("_row", "run", place.alias("_place"), F.lit(run).alias("_span"))
+    if min_words is not None:
+        # A line starts one run of each length.
+        total *= run
+        short = table.select("_row", "doc_id", F.inline("_short"))
+        live = live.unionByName(short.select("_row", "run", place.alias("_place"), F.col("span").alias("_span")))
+    live = common.saved(live)
     first = common.saved(live.groupBy("run").agg(F.min("_place").alias("_first"), F.count("*").alias("_times")).filter("_times > 1"))
     repeated = common.hot_join(live, first, "run", "_times", total).filter("_place > _first")
     # Overlapping runs are joined by taking each line once.
-    gone = repeated.select("_row", F.explode(F.expr(f"sequence(_place.at + 1, _place.at + {run})")).alias("i")).groupBy("_row").agg(F.collect_set("i").alias("_gone"))
+    gone = repeated.select("_row", F.explode(F.expr("sequence(_place.at + 1, _place.at + _span)")).alias("i")).groupBy("_row").agg(F.collect_set("i").alias("_gone"))
     gone = common.saved(gone)
     few = common.maybe_broadcast(gone)
     lines = F.expr("array_sort(transform(coalesce(_gone, array()), i -> element_at(_line, i)))")
-    out = table.drop("_print", "_run").join(few, "_row", "left").withColumn("_lines", lines)
+    out = table.drop("_print", "_run", "_short").join(few, "_row", "left").withColumn("_lines", lines)
     left = F.array_join(F.filter(F.split(common.text_of(), "\n"), lambda x, i: ~F.array_contains(F.col("_lines"), i)), "\n")
     names = [c for c in rest.columns if c != "text"]
     return out.select(
