@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql.functions import monotonically_increasing_id
 
 from tidelog.llm import bytetext, chat, common, decontam, exact, jaccard, lines, mixing, quality, rans, sharding, substrings, tokens
 
@@ -205,6 +206,31 @@ def test_jaccard_near_the_threshold(spark):
     assert got == brute_components(rows_of(docs))
 
 
+def test_representatives_of_null_and_repeated_ids(spark):
+    """Null ids whose texts are unique, empty or copies, and ids that repeat, with texts of their own and copies."""
+    a, b, c = (data.words(80, 600 + i) for i in range(3))
+    near = a.replace(a.split()[40], "changed")
+    rows = [(None, a), (1, a), (None, near), (None, b), (None, b), (None, ""), (2, c), (2, near), (3, c), (3, c), (4, data.words(80, 604)), (4, data.words(80, 605))]
+    docs = data.table(spark, [(i, t, "en", "s", len(t)) for i, t in rows]).repartition(3)
+    kept = Counter((r["doc_id"], r["text"]) for r in rows_of(jaccard.representatives(docs)))
+    assert kept == Counter([(1, a), (None, b), (None, ""), (2, c), *rows[-2:]])
+
+
+def test_representatives_equal_brute_components(spark):
+    """One row of each component, and none with a larger doc_id than another row of its own has."""
+    docs = common.saved(some_docs(spark).withColumn("source", monotonically_increasing_id().cast("string")))
+    rows = rows_of(docs)
+    by_row = brute_components([{"doc_id": i, "text": r["text"]} for i, r in enumerate(rows)])
+    assert sum(by_row.values()) == len(rows)
+    least = {}
+    for i, _, component in by_row:
+        best = (rows[i]["doc_id"] is None, rows[i]["doc_id"] or 0)
+        least[component] = min(least.get(component, best), best)
+    got = rows_of(jaccard.representatives(docs))
+    assert len({r["source"] for r in got}) == len(got) < len(rows)
+    assert Counter((r["doc_id"] is None, r["doc_id"] or 0) for r in got) == Counter(least.values())
+
+
 def test_link_with_large_groups():
     """Many near copies of one set, searched once, and sets in the ring around them."""
     r = np.random.default_rng(3)

@@ -546,7 +546,17 @@ def join(docs: DataFrame, *, words: int = WORDS, group: int = GROUP, tight: int
 
 
 def representatives(docs: DataFrame, **options) -> DataFrame:
-    """docs with one document of each component, the one with the least doc_id; of rows with that doc_id, each stays."""
-    found = join(docs, **options).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    found = common.saved(found)
-    return docs.join(common.maybe_broadcast(found), docs["doc_id"].eqNullSafe(found["doc_id"]), "left_semi")
+    """docs with one row of each component, the one with the least doc_id, null last; of rows with that doc_id, one."""
+    repeated = docs.groupBy(F.col("doc_id").alias("d")).count().filter("count > 1 OR d IS NULL")
+    if repeated.isEmpty():
+        found = join(docs, **options).filter(F.col("doc_id") == F.col("component_id")).select("doc_id")
+        found = common.saved(found)
+        return docs.join(common.maybe_broadcast(found), "doc_id", "left_semi").select(*docs.columns)
+    # Ranks stand in for doc_ids, which don't tell rows apart here.
+    table = common.saved(docs.withColumn("_row", F.monotonically_increasing_id()))
+    ranks = common.running_total(table.select("doc_id", "_row"), [F.col("doc_id").asc_nulls_last(), F.col("_row")], _rank=F.lit(1))
+    ranks = common.saved(ranks.select("_row", "_rank"))
+    ranked = table.select("_row", "text").join(ranks, "_row").select(F.col("_rank").alias("doc_id"), "text")
+    found = join(ranked, **options).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_rank"))
+    kept = common.saved(ranks.join(found, "_rank").select("_row"))
+    return table.join(common.maybe_broadcast(kept), "_row", "left_semi").select(*docs.columns)
