@@ -421,6 +421,30 @@ def test_substring_dedup_of_planted_passages(spark):
         assert passages[i % 30] not in got[i]["text"] and data.words(150, 8000 + i)[:600] in got[i]["text"]
 
 
+def test_substring_dedup_without_blanks(spark):
+    """Passages and copies in text without blanks go; a short address that texts share stays, and so does a ruler."""
+    r = random.Random(8)
+
+    def han(n):
+        return "".join(chr(0x4E00 + r.randrange(4000)) for _ in range(n))
+
+    def thai(n):
+        return "".join(chr(0x0E01 + r.randrange(46)) for _ in range(n))
+
+    code = "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(3000))
+    address = "https://example.org/" + code[:50]
+    shared, other = han(400), thai(400)
+    texts = [han(300) + shared + han(300), han(300) + shared + han(300), thai(300) + other, other + thai(300), code, code]
+    texts += [f"{data.words(40, 700 + i)} {address} {data.words(40, 710 + i)}" for i in range(2)] + [data.words(40, 720) + "\n" + "=" * 1000]
+    twice = han(300)
+    texts += [twice + han(100) + twice, "z" * 3000, "z" * 3000]
+    got = {x["doc_id"]: x for x in rows_of(substrings.dedup(data.table(spark, [(i, t, "zh", "s", len(t)) for i, t in enumerate(texts)])))}
+    for i, size in ((1, 1200), (3, 1200), (5, 3000), (9, 900), (11, 3000)):
+        assert size - 400 <= got[i]["removed_bytes"] <= size, i
+    assert got[5]["text"] == "" and got[11]["text"] == "" and got[5]["first_ids"] == [4]
+    assert sorted(i for i in got if not got[i]["removed"]) == [0, 2, 4, 6, 7, 8, 10]
+
+
 def brute_lines(rows, run=3):
     seqs = []
     for r in rows:

@@ -3,7 +3,9 @@
 A gear rolling hash over the last 16 bytes proposes cuts; a cut counts if the proposal before it is at least MIN bytes away,
 and chunks longer than MAX are cut evenly. Both rules look at nearby bytes only, so an insertion moves no cut far from
 it. Chunks are deduplicated by a 64-bit digest: the one in the document of least rank stays (in doc_id order, null last),
-within a document the first. What goes are runs of repeated chunks, side by side, of MIN_WORDS words or more; a passage
+within a document the first. What goes are runs of repeated chunks, side by side, of MIN_WORDS words or more, where
+longer stretches without a blank than LONG bytes (scripts that don't part words, base64, URLs) count a word for each UNIT
+bytes; but chunks that only repeat the one before them in their own text, as in a ruler, count by blanks alone. A passage
 that repeats loses all but a few words at its edges, and a phrase or a line that texts share by chance stays. A run
 must agree in several chunks, so a chance equality of two digests has no effect.
 
@@ -31,6 +33,8 @@ MIN, MAX = 12, 128
 #: One position in so many is proposed, as expected: the hash's upper bits are zero.
 SPACING_BITS = 4
 MIN_WORDS = 20
+#: Bytes without a blank that are one word at most, and bytes that count as a word in longer ones.
+LONG, UNIT = 32, 6
 
 #: 16 bits for each byte, by rule.
 GEAR = (bytetext.mix64(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(48)).astype(np.uint16)
@@ -69,15 +73,24 @@ def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
+def units(begins: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Where further words are counted in long words: each UNIT bytes after the begin."""
+    times = -(-(stops - begins) // UNIT) - 1
+    step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    return np.repeat(begins, times) + (step + 1) * UNIT
+
+
 def _chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         text = batch.column(batch.schema.get_field_index("text"))
         for a, b, data, offsets in bytetext.batches(text):
             starts, ends, owner = chunks(data, offsets)
             digests = bytetext.word_hashes(data, starts, ends).astype(np.int64)
-            begins = bytetext.word_spans(~bytetext.BLANK[data], offsets)[0]
-            words = np.diff(np.searchsorted(begins, np.append(starts, len(data))))
-            places = ((starts - offsets[owner]) << 16) | ((ends - starts) << 8) | np.minimum(words, 255)
+            begins, stops, _ = bytetext.word_spans(~bytetext.BLANK[data], offsets)
+            long = stops - begins > LONG
+            bounds = np.append(starts, len(data))
+            words, more = (np.diff(np.searchsorted(x, bounds)) for x in (begins, units(begins[long], stops[long])))
+            places = ((starts - offsets[owner]) << 24) | ((ends - starts) << 16) | (np.minimum(words, 255) << 8) | np.minimum(more, 255)
             cuts = pa.array(np.searchsorted(owner, np.arange(b - a + 1)).astype(np.int32))
             lists = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (digests, places.astype(np.int64))]
             yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), *lists], [*batch.schema.names, "_digests", "_places"])
@@ -128,9 +141,11 @@ def dedup(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
     groups = common.saved(groups)
     same = common.hot_join(chunk, groups, "digest", "_n", total)
     # In the document that keeps a chunk, its first place stays.
-    own = F.row_number().over(Window.partitionBy("_row", "digest").orderBy("place"))
-    start, size = F.shiftright("place", 16), F.shiftright("place", 8).bitwiseAND(255)
-    same = same.withColumn("_own", own).filter("_rank <> _first OR _own > 1").select("_row", "_first", start.alias("start"), (start + size).alias("end"), F.col("place").bitwiseAND(255).alias("words"))
+    places = Window.partitionBy("_row", "digest").orderBy("place")
+    start, size, words, more = F.shiftright("place", 24), *(F.shiftright("place", k).bitwiseAND(255) for k in (16, 8, 0))
+    same = same.select("*", F.row_number().over(places).alias("_own"), start.alias("start"), (start + size).alias("end"))
+    ruler = (F.col("_rank") == F.col("_first")) & F.lag("end").over(places).eqNullSafe(F.col("start"))
+    same = same.withColumn("words", words + F.when(ruler, 0).otherwise(more)).filter("_rank <> _first OR _own > 1").select("_row", "_first", "start", "end", "words")
     order = Window.partitionBy("_row").orderBy("start")
     runs = same.withColumn("_new", (F.lag("end").over(order).eqNullSafe(F.col("start"))).cast("int")).withColumn("_run", F.sum(1 - F.col("_new")).over(order))
     runs = runs.groupBy("_row", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"), F.min("_first").alias("_first"))
