@@ -7,8 +7,9 @@ SQL go by lines alone.
 
 Winnowing finds the runs without comparing all of them. Hashes of GRAM lines are winnowed: each window of RUN - GRAM + 1
 of them selects its least, so two equal runs select the same fingerprint. Fingerprints that occur once are dropped by a
-count. For what is left, matches are extended to both sides: the runs around a shared fingerprint are keyed by the hash
-of all their lines, and of each key the first place stays.
+count. Matches are not extended line by line from a shared fingerprint: each run that selected one is keyed by the hash of
+all its lines, of each key the first place stays, and longer matches arise as runs overlap. So no match of RUN lines or
+more is lost; shorter ones at a shared fingerprint are not looked at, but by min_words.
 
 Groups shrink to a count and a least place before the shuffle, and keys that many rows share are joined back by a bounded
 broadcast (common.hot_join). A line is keyed by 64 bits of its text, a run by 64 bits of its lines' keys and lengths.
