@@ -7,6 +7,9 @@ probe the index, and the hits, which are the rows whose digest occurs more than
 a digest, the least and the greatest normalised text must be the same string. If ever they are not, the rows of that
 digest are grouped by the text itself.
 
+Up to MEMTABLE_ROWS documents there is one memtable and one run, and compaction merges nothing. The probe is a join with
+the whole level: each document's digest is in it, so a Bloom filter could leave out none. Filters serve lookup() only.
+
 Everything is DataFrame operations. Hot digests shrink in the memtables and are joined back by a broadcast that the
 pigeonhole principle bounds; see common.hot_join.
 
