@@ -252,28 +252,63 @@ def test_link_with_large_groups():
     assert roots.tolist() == [find(i) for i in range(len(sets))]
 
 
+def brute_shards(rows, n):
+    """(doc_id, size, crc, shard, slot) by the rule of sharding's docstring."""
+    keyed = sorted(((hashlib.md5((r["text"] or "").encode()).hexdigest()[:30], r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or "") for r in rows))
+    groups = defaultdict(list)
+    for k, some, i, t in keyed:
+        groups[k].append((some, i, len(t.encode()) + 16, zlib.crc32(t.encode())))
+    total = sum(x[2] for g in groups.values() for x in g)
+    units, small = [], []
+    for k, g in groups.items():
+        size, each = g[0][2], max(1, total // (n * g[0][2]))
+        if size * len(g) * 100 * n > total:
+            units += [(-size * len(g[a : a + each]), k, a // each, g[a : a + each]) for a in range(0, len(g), each)]
+        else:
+            small.append((k, g))
+    load, out = [0] * n, [[] for _ in range(n)]
+    for i, (size, k, _, g) in enumerate(sorted(units, key=lambda u: u[:3])):
+        s = i % (2 * n) if i % (2 * n) < n else 2 * n - 1 - i % (2 * n)
+        load[s] -= size
+        out[s] += [(k, *x) for x in g]
+    rest, below = total - sum(load), np.cumsum(sorted(load))
+    level = min((rest + int(b)) // (j + 1) for j, b in enumerate(below))
+    ends, at = np.cumsum([max(0, level - x) for x in load]), 0
+    for k, g in small:
+        size = g[0][2] * len(g)
+        out[min(n - 1, sum(2 * e <= 2 * at + size for e in ends.tolist()))] += [(k, *x) for x in g]
+        at += size
+    return Counter((i if some else None, size, crc, s, slot) for s in range(n) for slot, (_, some, i, size, crc) in enumerate(sorted(out[s])))
+
+
+def shards_of(df):
+    return Counter((r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in rows_of(df))
+
+
 @pytest.mark.parametrize("ranges", [None, 2])
 def test_sharding(spark, ranges):
     """ranges 2: overfull ranges are subdivided."""
     docs = some_docs(spark, 300)
-    out = rows_of(sharding.shard(docs, 7, ranges=ranges))
-    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in out) == Counter(
-        (r["doc_id"], len((r["text"] or "").encode()) + 16, zlib.crc32((r["text"] or "").encode())) for r in rows_of(docs)
-    )
-    sizes, slots = defaultdict(int), defaultdict(list)
-    for r in out:
+    assert shards_of(sharding.shard(docs, 7, ranges=ranges)) == brute_shards(rows_of(docs), 7)
+
+
+@pytest.mark.parametrize("ranges", [None, 3])
+def test_sharding_of_groups(spark, ranges):
+    """Groups of 1, 4, 30 and 150 percent of a shard: only the last is parted, into as many pieces as it needs; sizes stay near."""
+    n, size = 8, 100
+    groups = {"a": 10, "b": 40, "c": 300, "d": 1500}
+    texts = [f"{c * 4} {c * (size - 16 - 5)}" for c, times in groups.items() for _ in range(times)]
+    texts += [f"{i:0{size - 16}d}" for i in range(n * 1000 - len(texts))]
+    random.Random(3).shuffle(texts)
+    docs = data.table(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)]).repartition(5)
+    out = common.saved(sharding.shard(docs, n, ranges=ranges))
+    assert shards_of(out) == brute_shards(rows_of(docs), n)
+    sizes, where = Counter(), defaultdict(Counter)
+    for r in rows_of(out):
         sizes[r["shard"]] += r["size"]
-        slots[r["shard"]].append(r["slot"])
-    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
-    biggest = max(r["size"] for r in out)
-    due = sum(sizes.values()) / 7
-    assert all(abs(sizes[s] - due) <= biggest + sharding.WHOLE_GROUP * due for s in range(7))
-    groups = defaultdict(list)
-    for r in out:
-        groups[r["size"], r["text_crc32"]].append(r)
-    for rows in groups.values():
-        if sum(r["size"] for r in rows) <= sharding.WHOLE_GROUP * due:
-            assert len({r["shard"] for r in rows}) == 1
+        where[texts[r["doc_id"]][0] if texts[r["doc_id"]][0] in groups else texts[r["doc_id"]]][r["shard"]] += 1
+    assert {len(w) for g, w in where.items() if g != "d"} == {1} and sorted(where["d"].values()) == [500, 1000]
+    assert all(abs(sizes[s] - 1000 * size) <= 1000 * size / sharding.LARGE for s in range(n))
 
 
 def test_rans_round_trip():
@@ -569,14 +604,3 @@ def test_quality_ignores_held_out_labels(spark):
     turned = labels.withColumn("quality", F.when(quality.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
     a, b = (quality.train(docs, x) for x in (labels, turned))
     assert a.base == b.base and (a.leaf == b.leaf).all() and (a.threshold == b.threshold).all()
-
-
-@pytest.mark.parametrize("ranges", [None, 3])
-def test_sharding_of_a_hot_text(spark, ranges):
-    rows = [(i, "the same text" if i % 3 == 0 else data.words(6, i), "en", "s", 1) for i in range(1500)]
-    out = rows_of(sharding.shard(data.table(spark, rows), 5, ranges=ranges))
-    sizes = Counter()
-    for r in out:
-        sizes[r["shard"]] += r["size"]
-    due = sum(sizes.values()) / 5
-    assert len(out) == 1500 and all(abs(sizes[s] - due) <= 100 + sharding.WHOLE_GROUP * due for s in range(5))

@@ -139,6 +139,38 @@ WITH n AS (
 SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
        doc_id IS NOT DISTINCT FROM first_value(doc_id) OVER w AND len = first_value(len) OVER w AS kept, sha256(norm) AS text_sha256
 FROM n WINDOW w AS (PARTITION BY norm ORDER BY len DESC, doc_id NULLS LAST)""",
+    "op5_shard": r"""
+WITH crc AS (
+  SELECT list(c ORDER BY b) AS t FROM (
+    SELECT b, list_reduce(list_prepend(b, range(8)), lambda h, k: xor(h >> 1, CASE WHEN h & 1 = 1 THEN 3988292384 ELSE 0 END)) AS c
+    FROM (SELECT unnest(range(256)) AS b))),
+d AS (
+  SELECT doc_id, (strlen(coalesce(text, '')) + 16)::BIGINT AS size, substr(md5(coalesce(text, '')), 1, 30) AS k,
+         list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes
+  FROM documents),
+g AS (SELECT k, min(size) AS s, count(*) AS n FROM d GROUP BY k),
+tot AS (SELECT coalesce(sum(s * n), 0)::BIGINT AS total FROM g),
+big AS (SELECT k, s, n, greatest(1, total // (40 * s)) AS e FROM g, tot WHERE s * n * 4000 > total),
+pieces AS (SELECT *, unnest(range(0, (n - 1) // e + 1)) AS piece FROM big),
+dealt AS (
+  SELECT *, least(e, n - piece * e) * s AS bytes, (row_number() OVER (ORDER BY least(e, n - piece * e) * s DESC, k, piece) - 1) % 80 AS i FROM pieces),
+units AS (SELECT k, piece, bytes, CASE WHEN i < 40 THEN i ELSE 79 - i END AS shard FROM dealt),
+load AS (SELECT r.range AS shard, coalesce(sum(bytes), 0)::BIGINT AS b FROM range(40) r LEFT JOIN units ON units.shard = r.range GROUP BY r.range),
+lvl AS (
+  SELECT min((small + below) // j) AS level FROM (
+    SELECT (sum(b) OVER (ORDER BY b, shard))::BIGINT AS below, row_number() OVER (ORDER BY b, shard) AS j, total - (sum(b) OVER ())::BIGINT AS small FROM load, tot)),
+ends AS (SELECT (sum(greatest(0, level - b)) OVER (ORDER BY shard))::BIGINT AS e FROM load, lvl),
+small AS (
+  SELECT k, s * n AS bytes, coalesce(sum(s * n) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS at_
+  FROM g WHERE k NOT IN (SELECT k FROM big)),
+placed AS (SELECT k, least(39, count(e)) AS shard FROM small LEFT JOIN ends ON 2 * e <= 2 * at_ + bytes GROUP BY k),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST) - 1 AS r FROM d),
+rows_ AS (
+  SELECT doc_id, size, bytes, k, shard FROM ranked JOIN placed USING (k)
+  UNION ALL SELECT doc_id, size, ranked.bytes, k, units.shard FROM ranked JOIN big USING (k) JOIN units ON units.k = ranked.k AND units.piece = r // e)
+SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295, bytes), lambda h, b: xor(h >> 8, t[1 + (xor(h, b) & 255)])), 4294967295)::BIGINT AS text_crc32,
+       'bytes' AS law, shard::INTEGER AS shard, row_number() OVER (PARTITION BY shard ORDER BY k, doc_id NULLS FIRST) - 1 AS slot, NULL::INTEGER AS grown_shard
+FROM rows_, crc""",
     "op6_jaccard_join": r"""
 WITH RECURSIVE w AS (
   SELECT row_number() OVER () AS r, doc_id,
