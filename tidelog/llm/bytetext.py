@@ -21,25 +21,13 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 BLANK = np.zeros(256, dtype=bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
-#: Texts are worked on in slices of so many bytes, so that tables stay in the cache.
-SLICE = 1 << 17
-#: Longer words are hashed one by one.
-LONG_WORD = 4096
+#: Longer spans are hashed one by one.
+LONG_SPAN = 4096
 
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _PRIME = 0x9E3779B97F4A7C15 | 1
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-_POWER = _powers(_PRIME, SLICE + 2 * LONG_WORD)
-_INVERSE = _powers(pow(_PRIME, -1, 1 << 64), SLICE + 2 * LONG_WORD)
-
-
 def batches(column: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, bytes, offsets) of pieces of a text column; a piece has limit bytes, or one text."""
     if column.null_count:
@@ -96,24 +84,49 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+#: What the k-th eight bytes of a span are mixed with, and which of the last ones belong to it.
+_PLACE = mix64(np.arange(1, LONG_SPAN // 8 + 1, dtype=np.uint64) * np.uint64(_PRIME))
+_LAST = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
+
+
+def _sums(mixed: np.ndarray, first: np.ndarray, single: bool) -> np.ndarray:
+    return mixed.copy() if single else np.add.reduceat(mixed, first)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, *, wide: bool = False) -> tuple[np.ndarray, ...]:
+    """64 bits for each span of data (not empty), and with wide 64 more; equal bytes have equal hashes, wherever they stand.
+
+    Each eight bytes are mixed with their place in the span, beyond any linear relation, before they are summed up.
+    """
+    length = ends - starts
+    if not len(starts):
+        return (np.zeros(0, np.uint64),) * (2 if wide else 1)
+    long = np.flatnonzero(length > LONG_SPAN)
+    # A long span's sums are replaced; its first eight bytes stand in for it.
+    short = length if not len(long) else np.where(length > LONG_SPAN, 8, length)
+    pieces = (short + 7) >> 3
+    first = np.cumsum(pieces) - pieces
+    single = len(starts) == first[-1] + pieces[-1]
+    place = np.arange(first[-1] + pieces[-1]) - (first if single else np.repeat(first, pieces))
+    at = starts if single else np.repeat(starts, pieces) + 8 * place
+    rest = short if single else np.repeat(short, pieces) - 8 * place
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    words = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))[at]
+    words &= _LAST[np.minimum(rest, 8)]
+    mixed = mix64(words ^ _PLACE[place])
+    out = [mix64(_sums(mixed, first, single) + length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))]
+    if wide:
+        out.append(mix64(_sums(mix64(mixed + np.uint64(0x5851F42D4C957F2D)), first, single)))
+    for i in long.tolist():
+        whole = xxhash.xxh3_128_intdigest(data[starts[i] : ends[i]].tobytes())
+        for k, column in enumerate(out):
+            column[i] = whole >> 64 * k & 0xFFFFFFFFFFFFFFFF
+    return tuple(out)
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of data; equal bytes have equal hashes, wherever they stand."""
-    out = np.empty(len(starts), dtype=np.uint64)
-    row = 0
-    while row < len(starts):
-        origin = int(starts[row])
-        last = int(np.searchsorted(starts, origin + SLICE))
-        piece = data[origin : min(origin + SLICE + LONG_WORD, len(data))]
-        sums = np.empty(len(piece) + 1, dtype=np.uint64)
-        sums[0] = 0
-        np.cumsum((piece.astype(np.uint64) + np.uint64(1)) * _POWER[: len(piece)], out=sums[1:])
-        a, b = starts[row:last] - origin, np.minimum(ends[row:last] - origin, len(piece))
-        out[row:last] = (sums[b] - sums[a]) * _INVERSE[a]
-        row = last
-    length = (ends - starts).astype(np.uint64)
-    for i in np.flatnonzero(length > LONG_WORD):
-        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
-    return mix64(out + length * np.uint64(0xD6E8FEB86659FD93))
+    """The first 64 bits of span_hashes."""
+    return span_hashes(data, starts, ends)[0]
 
 
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:
