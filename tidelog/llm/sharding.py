@@ -44,23 +44,26 @@ def _md5_bits(text: Column) -> list[Column]:
     return [F.conv(F.substring(F.md5(text), at, 15), 16, 10).cast("long").alias(n) for at, n in zip((1, 16), _ID, strict=True)]
 
 
-def _assign(splitters: list[tuple[int, int]]):
-    """Arrow batches with _range: the number of splitters at or before (_key, _tie)."""
+def _assign(splitters: list[tuple[int, int]], names: tuple[str, str] = _ID):
+    """Arrow batches with _range: the number of splitters at or before the two columns named."""
     keys, ties = (np.array([s[i] for s in splitters], dtype=np.int64) for i in (0, 1))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k, t = (batch.column(batch.schema.get_field_index(n)).to_numpy() for n in _ID)
-            low, at = np.searchsorted(keys, k, "left"), np.searchsorted(keys, k, "right")
-            for i in np.flatnonzero(at > low):  # a splitter's own group, or one that shares its first bits
-                at[i] = low[i] + np.searchsorted(ties[low[i] : at[i]], t[i], "right")
+            k, t = (batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in names)
+            low, high = np.searchsorted(keys, k, "left"), np.searchsorted(keys, k, "right")
+            at = high.copy()
+            tied = np.flatnonzero(high > low)  # a splitter has the same key: the second column decides
+            for a in np.unique(low[tied]):
+                rows = tied[low[tied] == a]
+                at[rows] = a + np.searchsorted(ties[a : high[rows[0]]], t[rows], "right")
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at.astype(np.int64))], [*batch.schema.names, "_range"])
 
     return assign
 
 
 def _splitters(sample: list, parts: int) -> list[tuple[int, int]]:
-    """Quantiles by weight of the sampled (_key, _tie, weight)."""
+    """Quantiles by weight of a sample of (key, second key, weight)."""
     sample = sorted((r[0], r[1], r[2]) for r in sample)
     if not sample or parts < 2:
         return []
@@ -124,7 +127,7 @@ def _fill(ends: list[int]):
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            middle = 2 * column["_at"].to_numpy() + column["_bytes"].to_numpy()
+            middle = 2 * column["_at"].to_numpy(zero_copy_only=False) + column["_bytes"].to_numpy(zero_copy_only=False)
             shard = np.minimum(np.searchsorted(2 * ends, middle, "right"), len(ends) - 1)
             yield pa.RecordBatch.from_arrays([column["_key"], column["_tie"], pa.array(shard.astype(np.int32))], [*_ID, "shard"])
 

@@ -252,13 +252,13 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     press = zstandard.ZstdCompressor(level=3)
     for batch in batches:
         at = {n: i for i, n in enumerate(batch.schema.names)}
-        where = batch.column(at["_range"]).to_numpy()
+        where = batch.column(at["_range"]).to_numpy(zero_copy_only=False)
         order = np.argsort(where, kind="stable")
         cuts = np.flatnonzero(np.diff(where[order])) + 1
         rows = []
         for rows_of in np.split(order, cuts) if len(order) else []:
             part = batch.take(pa.array(rows_of))
-            head = np.column_stack([part.column(at[n]).to_numpy() for n in ("_key", "_id", "size")]).astype("<i8").tobytes()
+            head = np.column_stack([part.column(at[n]).to_numpy(zero_copy_only=False) for n in ("_key", "_id", "size")]).astype("<i8").tobytes()
             rows.append((int(where[rows_of[0]]), len(rows_of), press.compress(head + b"".join(part.column(at["ids"]).to_pylist()))))
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["range", "rows", "pack"])
     bytetext.release()
@@ -330,7 +330,7 @@ def write(docs: DataFrame, config: str, path: str, *, end_id: int = END_ID, segm
     chance = F.shiftrightunsigned(F.xxhash64("_key", "_id"), 11) / F.lit(float(1 << 53))
     sample = encoded.filter(chance < F.col("size") / F.lit(step)).select("_key", "_id", F.greatest(F.col("size").cast("double"), F.lit(step)))
     splitters = _splitters(sample.collect(), ranges)  # 16 a range are drawn
-    assign = _assign(splitters)
+    assign = _assign(splitters, ("_key", "_id"))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Both steps in one worker."""
