@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -367,14 +368,31 @@ def test_words_of_bytes():
         assert len({(w, h) for w, h in zip(every, hashes.tolist(), strict=True)}) == len(set(every)) == len(set(hashes.tolist()))
 
 
+def brute_mix(x):
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        x = (x ^ x >> 33) * factor % (1 << 64)
+    return x ^ x >> 33
+
+
+BRUTE_GEAR = [brute_mix(b) >> 48 for b in range(1, 257)]
+
+
 def brute_gear(raw):
     h, out = 0, []
     for b in raw:
-        h = ((h << 1) + int(substrings.GEAR[b])) & 0xFFFF
+        h = ((h << 1) + BRUTE_GEAR[b]) & 0xFFFF
         out.append(h)
     return out
 
 
+def brute_chunks(raw):
+    """Starts and ends of the chunks of one text."""
+    proposed = [k + 1 for k, h in enumerate(brute_gear(raw)) if k >= 15 and h >> 12 == 0]
+    cuts = [p for i, p in enumerate(proposed) if not i or p - proposed[i - 1] >= 12]
+    ends = sorted({*cuts, len(raw)} - {0})
+    return [(a, min(a + 128, e)) for s, e in zip([0, *ends[:-1]], ends, strict=True) for a in range(s, e, 128)] if raw else []
+
+
 def test_gear_and_chunks():
     texts = [t for t in data.odd_texts() if t]
     for _, _, raw, offsets in bytetext.batches(pa.array(texts)):
@@ -386,9 +404,7 @@ def test_gear_and_chunks():
             mine = owner == i
             assert starts[mine][0] == a and ends[mine][-1] == b and (starts[mine][1:] == ends[mine][:-1]).all()
             assert (ends[mine] - starts[mine]).max() <= substrings.MAX
-            proposed = [k + 1 for k in range(15, len(alone)) if alone[k] >> (16 - substrings.SPACING_BITS) == 0]
-            cuts = [p for p, q in zip(proposed, [-(1 << 20), *proposed[:-1]], strict=False) if p - q >= substrings.MIN]
-            assert {int(c - a) for c in ends[mine]} >= set(cuts)
+            assert [(int(s - a), int(e - a)) for s, e in zip(starts[mine], ends[mine], strict=True)] == brute_chunks(raw[a:b].tobytes())
     moved, same = "zz yy " + data.words(400, 4), data.words(400, 4)
     pieces = []
     for t in (moved, same):
@@ -398,50 +414,67 @@ def test_gear_and_chunks():
     assert len(pieces[0] & pieces[1]) >= len(pieces[1]) - 3
 
 
-def brute_substrings(rows, min_words=substrings.MIN_WORDS):
-    """Chunks of one text at a time, first owners in the order of doc_id."""
-    docs = []
-    for r in rows:
-        raw = (r["text"] or "").encode()
-        flat = np.frombuffer(raw, np.uint8)
-        s, e, _ = substrings.chunks(flat, np.array([0, len(raw)])) if raw else ([], [], None)
-        begins = [m.start() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
-        docs.append((r["doc_id"], raw, [(int(a), int(b), raw[a:b], sum(a <= x < b for x in begins)) for a, b in zip(s, e, strict=True)]))
-    first = {}
-    for i, _, chunks in docs:
-        for a, _, x, _ in chunks:
-            first[x] = min(first.get(x, (1 << 62, 0)), (i, a))
-    out = {}
-    for i, raw, chunks in docs:
-        spans, run = [], []
-        for a, b, x, n in [*chunks, (None,) * 4]:
-            if a is not None and first[x] != (i, a):
-                run.append((a, b, n))
-                continue
-            if sum(n for _, _, n in run) >= min_words:
-                spans.append((run[0][0], run[-1][1]))
-            run = []
-        out[i] = (len(raw), spans)
-    return out
-
-
-def test_substring_dedup(spark):
+def brute_substrings(rows, min_words=20):
+    """Of rows (doc_id, text) in their order: doc_id, chunks, repeated ones and their bytes, spans, keepers, text left."""
+    order = sorted(range(len(rows)), key=lambda n: (rows[n][0] is None, rows[n][0] or 0, n))
+    first, found = {}, []
+    for n in order:
+        raw = (rows[n][1] or "").encode()
+        words = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+        units = [u for a, b in words if b - a > 32 for u in range(a + 6, b, 6)]
+        out, last = [], {}
+        for a, b in brute_chunks(raw):
+            x = raw[a:b]
+            new = x not in first
+            first.setdefault(x, n)
+            ruler = first[x] == n and last.get(x) == a
+            last[x] = b
+            count = sum(a <= w < b for w, _ in words) + (0 if ruler else sum(a <= u < b for u in units))
+            out.append((a, b, count, None if new else first[x]))
+        found.append((n, raw, out))
+    result = Counter()
+    for n, raw, chunks in found:
+        runs, run = [], []
+        for c in [*chunks, (0, 0, 0, None)]:
+            if c[3] is not None:
+                run.append(c)
+            elif run:
+                runs.append(run)
+                run = []
+        spans, ids, left, at = [], set(), b"", 0
+        for run in runs:
+            if sum(c[2] for c in run) >= min_words:
+                a, b = run[0][0], run[-1][1]
+                while a < b and raw[a] & 0xC0 == 0x80:
+                    a += 1
+                while a < b < len(raw) and raw[b] & 0xC0 == 0x80:
+                    b -= 1
+                spans.append((a, b))
+                left, at = left + raw[at:a], b
+                ids |= {rows[c[3]][0] for c in run} - {None}
+        repeated = [c for c in chunks if c[3] is not None]
+        result[(rows[n][0], len(raw), len(chunks), len(repeated), sum(b - a for a, b, *_ in repeated), sum(b - a for a, b in spans), tuple(spans), tuple(sorted(ids)), (left + raw[at:]).decode())] += 1
+    return result
+
+
+@pytest.mark.parametrize("repeats,min_words", [(False, 20), (True, 20), (True, 0)])
+def test_substring_dedup(spark, repeats, min_words):
+    """repeats: rows without doc_id and rows that share one; min_words 0 cuts every repeated chunk."""
+    r = random.Random(11)
+    texts = [t for t in (x["text"] for x in rows_of(some_docs(spark)))]
+    halves = [data.words(30, 900), data.words(30, 901)]
+    texts += [*halves, " ".join(halves), "z" * 900, "z" * 900, "ab" * 400]
+    ids = [r.choice([None, *range(20)]) if repeats else i for i in range(len(texts))]
+    rows = list(zip(ids, texts, strict=True))
+    docs = data.table(spark, [(i, t, "en", f"own {n}", 0) for n, (i, t) in enumerate(rows)]).coalesce(1)
     from pyspark.sql import functions as F
 
-    docs = some_docs(spark).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.first("text").alias("text"))
-    docs = common.saved(docs)
-    want = brute_substrings(rows_of(docs))
-    got = rows_of(substrings.dedup(docs))
-    assert len(got) == len(want) and any(r["removed"] for r in got)
-    texts = {r["doc_id"]: r["text"] or "" for r in rows_of(docs)}
-    for r in got:
-        size, spans = want[r["doc_id"]]
-        raw = texts[r["doc_id"]].encode()
-        assert r["n_bytes"] == size and len(r["removed"]) == len(spans)
-        for s, (a, b) in zip(r["removed"], spans, strict=True):
-            assert abs(s["start"] - a) <= 3 and abs(s["end"] - b) <= 3
-        left = b"".join(raw[a:b] for a, b in zip([0, *(s["end"] for s in r["removed"])], [*(s["start"] for s in r["removed"]), len(raw)], strict=True))
-        assert r["text"].encode() == left and r["removed_bytes"] == size - len(left)
+    out = rows_of(substrings.dedup(docs.withColumns({c: F.col("source") for c in ("_row", "_id", "_rank", "removed", "digest")}), min_words=min_words))
+    got = Counter((x["doc_id"], x["n_bytes"], x["n_chunks"], x["n_repeated"], x["repeated_bytes"], x["removed_bytes"], tuple((s["start"], s["end"]) for s in x["removed"]), tuple(x["first_ids"]), x["text"]) for x in out)
+    assert got == brute_substrings(rows, min_words)
+    assert all(x["_row"] == x["_id"] == x["_rank"] == x["digest"] == x["source"] for x in out)
+    if not repeats:
+        assert {tuple(x["first_ids"]) for x in out if x["text"] is not None} >= {(len(texts) - 6, len(texts) - 5)}
 
 
 def test_substring_dedup_of_planted_passages(spark):
@@ -450,7 +483,7 @@ def test_substring_dedup_of_planted_passages(spark):
     rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
     got = {r["doc_id"]: r for r in rows_of(substrings.dedup(data.table(spark, rows)))}
     assert all(not got[i]["removed"] for i in [*range(30), *range(90, 120)])
-    hit = [i for i in range(30, 90) if got[i]["removed"] and got[i]["first_ids"] == [i % 30]]
+    hit = [i for i in range(30, 90) if got[i]["removed"] and i % 30 in got[i]["first_ids"]]
     assert len(hit) >= 59
     for i in hit:
         assert passages[i % 30] not in got[i]["text"] and data.words(150, 8000 + i)[:600] in got[i]["text"]
@@ -505,7 +538,7 @@ def test_line_dedup(spark, run, gram):
     r = random.Random(6)
     pool = [data.words(3, i) for i in range(8)]
     docs = data.docs(spark, data.odd_texts() + ["\n".join(r.choice(pool) + r.choice(["", "\t", " \r"]) for _ in range(r.randint(0, 14))) for _ in range(60)])
-    out = rows_of(lines.dedup(docs, run=run, gram=gram))
+    out = rows_of(lines.dedup(docs, run=run, gram=gram, min_words=None))
     assert Counter((x["doc_id"], x["n_lines"], tuple(x["deleted"])) for x in out) == brute_lines(rows_of(docs), run)
     for x in out:
         assert x["n_deleted"] == len(x["deleted"])
@@ -548,7 +581,33 @@ def test_line_dedup_of_planted_passages(spark):
     docs = data.table(spark, [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)])
     got = {x["doc_id"]: list(x["deleted"]) for x in rows_of(lines.dedup(docs, min_words=20))}
     assert got == {0: [], 1: [1], 2: [1], 3: [0], 4: [], 5: [0, 1], 6: [], 7: []}
-    assert not any(x["deleted"] for x in rows_of(lines.dedup(docs)))
+    assert not any(x["deleted"] for x in rows_of(lines.dedup(docs, min_words=None)))
+
+
+def test_line_dedup_runs(spark):
+    """A match is extended both ways over all lines that agree, and names the place that stays."""
+    own = iter(data.words(4, 5000 + i) for i in range(100))
+    passage = [data.words(4, 4900 + i) for i in range(9)]
+    texts = ["\n".join([next(own), *passage, next(own)]), "\n\n".join([next(own), next(own), *passage, next(own), *passage[2:6]]), "\n".join(passage[:2])]
+    rows = [(7, texts[0], "own", "own", 0), (9, texts[1], "own", "own", 0), (None, texts[2], "own", "own", 0)]
+    docs = data.table(spark, rows).withColumnsRenamed({"lang": "_row", "source": "_n"})
+    got = {x["doc_id"]: x for x in rows_of(lines.dedup(docs, min_words=None))}
+    assert [tuple(r) for r in got[9]["runs"]] == [(2, 11, 7, 1), (12, 16, 7, 3)] and got[9]["n_deleted"] == 13
+    assert got[7]["runs"] == got[None]["runs"] == [] and got[7]["text"] == texts[0]
+    assert got[9]["text"].split("\n\n")[:2] == texts[1].split("\n\n")[:2]
+    assert all((x["_row"], x["_n"]) == ("own", "own") for x in got.values())
+
+
+def test_line_dedup_of_very_long_texts(spark):
+    """Time grows with the lines of a text, not with their square."""
+    took = []
+    for n in (20_000, 160_000):
+        docs = common.saved(data.table(spark, [(0, "\n".join(f"line {i}" for i in range(n)), "en", "s", 0), (1, "\n".join(f"line {i}" for i in range(n)) + "\nend", "en", "s", 0)]))
+        began = time.monotonic()
+        got = {x["doc_id"]: x for x in rows_of(lines.dedup(docs).select("doc_id", "n_deleted", "text"))}
+        took.append(time.monotonic() - began)
+        assert got[1]["n_deleted"] == n and got[1]["text"] == "end" and got[0]["n_deleted"] == 0
+    assert took[1] < 20
 
 
 def test_preferences(spark):

@@ -8,9 +8,10 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows of a table that may be broadcast once they have been counted.
-BROADCAST_ROWS = 1_000_000
+#: Rows, and bytes of their values, of a table that may be broadcast once they have been counted.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 #: A key is hot if it holds at least one of so many parts of all rows; so at most this many keys are hot.
 HOT_PARTS = 1000
 
@@ -91,13 +92,28 @@ def running_total(df: DataFrame, order: list[Column], **sums: Column) -> DataFra
     return out.drop("_part", *(f"_{k}_{n}" for n in sums for k in "vo"))
 
 
-def maybe_broadcast(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """df, marked for broadcast if its counted rows keep the bound; else Spark shuffles both sides."""
-    n = df.limit(BROADCAST_ROWS + 1).count() if rows is None else rows
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+def _bytes(kind: T.DataType, value: Column) -> Column:
+    """About the bytes of a value; null has none."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)).cast("long") + 8
+    if isinstance(kind, T.StructType):
+        return sum((_bytes(f.dataType, value[f.name]) for f in kind.fields), F.lit(8).cast("long"))
+    if isinstance(kind, T.ArrayType):
+        inner = kind.elementType
+        if isinstance(inner, (T.StringType, T.BinaryType, T.ArrayType)):
+            return F.aggregate(F.coalesce(value, F.array().cast(kind)), F.lit(8).cast("long"), lambda a, x: a + _bytes(inner, x))
+        return F.greatest(F.size(value), F.lit(0)).cast("long") * (8 * len(inner.fields) + 8 if isinstance(inner, T.StructType) else 8) + 8
+    return F.lit(8).cast("long")
 
 
-def hot_join(rows: DataFrame, groups: DataFrame, key: str, count: str, total: int) -> DataFrame:
+def maybe_broadcast(df: DataFrame) -> DataFrame:
+    """df, marked for broadcast if its rows, and their bytes, keep the bounds; else Spark shuffles both sides."""
+    size = sum((_bytes(f.dataType, F.col(f"`{f.name}`")) for f in df.schema.fields), F.lit(0).cast("long"))
+    n, total = df.limit(BROADCAST_ROWS + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if n <= BROADCAST_ROWS and total <= BROADCAST_BYTES else df
+
+
+def hot_join(rows: DataFrame, groups: DataFrame, key: str | list[str], count: str, total: int) -> DataFrame:
     """Inner join of rows with one row a key in groups, where groups[count] says how many rows have that key.
 
     Keys that hold at least total / HOT_PARTS rows are at most HOT_PARTS by the pigeonhole principle; they are
@@ -106,7 +122,7 @@ def hot_join(rows: DataFrame, groups: DataFrame, key: str, count: str, total: in
     least = max(2, -(-total // HOT_PARTS))
     hot, cold = groups.filter(F.col(count) >= least), groups.filter(F.col(count) < least)
     return rows.join(F.broadcast(hot), key).unionByName(
-        rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+        rows.join(F.broadcast(hot.select(*([key] if isinstance(key, str) else key))), key, "left_anti").join(cold, key)
     )
 
 

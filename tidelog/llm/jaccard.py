@@ -508,16 +508,15 @@ def join(docs: DataFrame, *, words: int = WORDS, group: int = GROUP, tight: int
     candidates = connected_components(edges)
 
     maybe = common.saved(classes.join(candidates, classes["cid"] == candidates["node"]).select("cid", "rep", "n", F.col("root").alias("comp")))
-    n_maybe = maybe.count()
-    wanted = rows.join(common.maybe_broadcast(maybe.select(F.col("rep").alias("doc_id")).distinct(), n_maybe), "doc_id", "left_semi")
+    wanted = rows.join(common.maybe_broadcast(maybe.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi")
     sets = wanted.unionByName(rows.filter("doc_id IS NULL")).mapInArrow(_sets(words), _SETS)
-    placed = sets.join(common.maybe_broadcast(maybe.select("cid", "comp"), n_maybe), "cid")
+    placed = sets.join(common.maybe_broadcast(maybe.select("cid", "comp")), "cid")
     large = common.saved(_sizes(maybe).filter(F.col("_size") > tight).select("comp"))
     n_large = large.count()
     found: list[DataFrame] = []
     if n_large:
         placed = common.saved(placed.dropDuplicates(["cid"]))
-        own = common.maybe_broadcast(large, n_large)
+        own = common.maybe_broadcast(large)
         rest, found = _reduce(common.saved(placed.join(own, "comp").select("comp", "cid", "n", "hashes")), tight)
         blocks = _sizes(rest).select("comp", F.ceil(F.col("_size") * 2 / group).cast("int").alias("blocks")).withColumn("blocks", F.when(F.col("blocks") > 2, F.col("blocks")).otherwise(1))
         rest = rest.join(common.maybe_broadcast(blocks), "comp")

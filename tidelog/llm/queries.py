@@ -22,10 +22,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per document, with the text that is left; spans as "start-end", joined by commas."""
+    """One row per document: all repeated chunks counted, and the text that is left; spans as "start-end", joined by commas."""
     out = substrings.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     spans = F.array_join(F.transform("removed", lambda x: F.concat(x["start"], F.lit("-"), x["end"])), ",")
-    return out.select("doc_id", "n_bytes", "removed_bytes", spans.alias("removed"), "first_ids", "text")
+    return out.select("doc_id", "n_bytes", "n_chunks", "n_repeated", "repeated_bytes", "removed_bytes", spans.alias("removed"), "first_ids", "text")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,9 +53,14 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per document, with the text that is left; numbers of deleted lines joined by commas."""
+    """One row per document, with the text that is left; numbers of deleted lines, and documents that keep them, joined by commas."""
     out = lines.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_lines", "n_deleted", F.array_join(F.transform("deleted", lambda x: x.cast("string")), ",").alias("deleted"), "text")
+
+    def joined(x):
+        return F.array_join(F.transform(x, lambda y: y.cast("string")), ",")
+
+    firsts = F.array_sort(F.array_distinct(F.filter(F.col("runs.first_id"), lambda x: x.isNotNull())))
+    return out.select("doc_id", "n_lines", "n_deleted", F.size("runs").cast("long").alias("n_runs"), joined("deleted").alias("deleted"), joined(firsts).alias("first_ids"), "text")
 
 
 def op10_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,16 +196,22 @@ FROM w LEFT JOIN sizes USING (r)
 JOIN (SELECT reach.x AS r, min(v.doc_id) AS component_id FROM reach JOIN w v ON v.r = reach.y GROUP BY reach.x) c USING (r)""",
     "op9_line_dedup": r"""
 WITH whole AS (SELECT row_number() OVER () AS r, doc_id, text, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
-raw AS (SELECT r, doc_id, text, unnest(parts) AS x, unnest(range(0, len(parts))) AS line FROM whole),
-l AS (
-  SELECT r, doc_id, coalesce(text, '') AS text, line, trim(regexp_replace(x, '[\x09\x0B-\x0D]', ' ', 'g'), ' ') AS x FROM raw),
-seq AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY line) AS i FROM l WHERE x <> ''),
-runs AS (
-  SELECT a.doc_id, a.text, a.r, a.i, a.x || chr(10) || b.x || chr(10) || c.x AS g
+raw AS (SELECT r, doc_id, unnest(parts) AS x, unnest(range(0, len(parts))) AS line FROM whole),
+l AS (SELECT r, doc_id, line, trim(regexp_replace(x, '[\x09\x0B-\x0D]', ' ', 'g'), ' ') AS x FROM raw),
+seq AS (
+  SELECT *, row_number() OVER (PARTITION BY r ORDER BY line) AS i, len(regexp_extract_all(x, '[^ ]+')) AS w FROM l WHERE x <> ''),
+wins AS (
+  SELECT doc_id, r, i, 1 AS span, x AS g FROM seq WHERE w >= 20
+  UNION ALL SELECT a.doc_id, a.r, a.i, 2, a.x || chr(10) || b.x FROM seq a JOIN seq b ON b.r = a.r AND b.i = a.i + 1 WHERE a.w + b.w >= 20
+  UNION ALL SELECT a.doc_id, a.r, a.i, 3, a.x || chr(10) || b.x || chr(10) || c.x
   FROM seq a JOIN seq b ON b.r = a.r AND b.i = a.i + 1 JOIN seq c ON c.r = a.r AND c.i = a.i + 2),
-first AS (SELECT g, min((doc_id IS NULL, doc_id, i)) AS f FROM runs GROUP BY g),
-gone AS (
-  SELECT DISTINCT r, unnest([i, i + 1, i + 2]) AS i FROM runs JOIN first USING (g) WHERE (doc_id IS NULL, doc_id, i) > f),
+first AS (SELECT g, min({'n': doc_id IS NULL, 'd': doc_id, 'i': i}) AS f FROM wins GROUP BY g),
+later AS (SELECT r, i, i + span AS e, f.n AS n, f.d AS d, i - f.i AS shift FROM wins JOIN first USING (g) WHERE {'n': doc_id IS NULL, 'd': doc_id, 'i': i} > f),
+reached AS (
+  SELECT *, max(e) OVER (PARTITION BY r, n, d, shift ORDER BY i, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM later),
+heads AS (SELECT r, count(*) AS n_runs FROM reached WHERE upto IS NULL OR i > upto GROUP BY r),
+firsts AS (SELECT r, string_agg(d, ',' ORDER BY d) AS first_ids FROM (SELECT DISTINCT r, d FROM later WHERE d IS NOT NULL) GROUP BY r),
+gone AS (SELECT DISTINCT r, unnest(range(i, e)) AS i FROM later),
 marked AS (
   SELECT seq.r, count(*) AS n_deleted, string_agg(line, ',' ORDER BY line) AS deleted, list(line) AS gone_lines
   FROM seq JOIN gone USING (r, i) GROUP BY seq.r),
@@ -208,9 +219,9 @@ left_over AS (
   SELECT raw.r, string_agg(x, chr(10) ORDER BY line) AS text FROM raw JOIN marked USING (r)
   WHERE NOT list_contains(gone_lines, line) GROUP BY raw.r),
 counts AS (SELECT r, count(*) AS n FROM seq GROUP BY r)
-SELECT doc_id, coalesce(n, 0)::BIGINT AS n_lines, coalesce(n_deleted, 0)::BIGINT AS n_deleted, coalesce(deleted, '') AS deleted,
-       CASE WHEN n_deleted > 0 THEN coalesce(left_over.text, '') ELSE whole.text END AS text
-FROM whole LEFT JOIN counts USING (r) LEFT JOIN marked USING (r) LEFT JOIN left_over USING (r)""",
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_lines, coalesce(n_deleted, 0)::BIGINT AS n_deleted, coalesce(n_runs, 0)::BIGINT AS n_runs, coalesce(deleted, '') AS deleted,
+       coalesce(first_ids, '') AS first_ids, CASE WHEN n_deleted > 0 THEN coalesce(left_over.text, '') ELSE whole.text END AS text
+FROM whole LEFT JOIN counts USING (r) LEFT JOIN marked USING (r) LEFT JOIN heads USING (r) LEFT JOIN firsts USING (r) LEFT JOIN left_over USING (r)""",
     "op10_preferences": r"""
 WITH t AS (
   SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,

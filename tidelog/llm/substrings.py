@@ -2,19 +2,22 @@
 
 A gear rolling hash over the last 16 bytes proposes cuts; a cut counts if the proposal before it is at least MIN bytes away,
 and chunks longer than MAX are cut evenly. Both rules look at nearby bytes only, so an insertion moves no cut far from
-it. Chunks are deduplicated by a 64-bit digest: the one in the document of least rank stays (in doc_id order, null last),
-within a document the first. What goes are runs of repeated chunks, side by side, of MIN_WORDS words or more, where
-longer stretches without a blank than LONG bytes (scripts that don't part words, base64, URLs) count a word for each UNIT
-bytes; but chunks that only repeat the one before them in their own text, as in a ruler, count by blanks alone. A passage
-that repeats loses all but a few words at its edges, and a phrase or a line that texts share by chance stays. A run
-must agree in several chunks, so a chance equality of two digests has no effect.
+it. Chunks are deduplicated by a 128-bit digest: the one in the document of least rank stays (in doc_id order, null last),
+within a document the first; every other one is repeated. All repeated chunks are counted (n_repeated, repeated_bytes).
+
+What is cut out of the text are runs of repeated chunks, side by side, of min_words words or more; min_words=0 cuts all. Words
+count by blanks, where longer stretches without a blank than LONG bytes (scripts that don't part words, base64, URLs) count a
+word for each UNIT bytes; but chunks that only repeat the one before them in their own text, as in a ruler, count by blanks
+alone. So a passage that repeats loses all but a few words at its edges, and a phrase or a line that texts share by chance
+stays in the text.
 
 Only counts and least ranks are gathered for each digest, summed up before the shuffle; digests that many rows share are
 joined back by a bounded broadcast (common.hot_join). Spans are cut to whole UTF-8 characters.
 
 Defined results: null and empty texts have no chunks and stay as they are (null becomes empty); equal texts lose all but
-their edges but in the first; repeated doc_ids are ranked in the order of the written table; an empty table gives an empty
-one. Columns of the input with the name of a result are replaced.
+their edges but in the first; repeated doc_ids are ranked in the order of the written table; a document without doc_id keeps
+chunks as any other, but isn't named in first_ids; an empty table gives an empty one. Columns of the input with the name of a
+result are replaced, all others stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,7 +42,8 @@ LONG, UNIT = 32, 6
 #: 16 bits for each byte, by rule.
 GEAR = (bytetext.mix64(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(48)).astype(np.uint16)
 
-_RESULT = ("n_bytes", "removed_bytes", "removed", "first_ids")
+_RESULT = ("n_bytes", "n_chunks", "n_repeated", "repeated_bytes", "removed_bytes", "removed", "first_ids")
+_OWN, _ID = "_substrings", ["digest", "mark"]
 
 
 def gear(data: np.ndarray) -> np.ndarray:
@@ -80,20 +84,23 @@ def units(begins: np.ndarray, stops: np.ndarray) -> np.ndarray:
     return np.repeat(begins, times) + (step + 1) * UNIT
 
 
+_LISTS = ("_digests", "_marks", "_places")
+
+
 def _chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         text = batch.column(batch.schema.get_field_index("text"))
         for a, b, data, offsets in bytetext.batches(text):
             starts, ends, owner = chunks(data, offsets)
-            digests = bytetext.word_hashes(data, starts, ends).astype(np.int64)
+            digests, marks = (x.astype(np.int64) for x in bytetext.span_hashes(data, starts, ends, wide=True))
             begins, stops, _ = bytetext.word_spans(~bytetext.BLANK[data], offsets)
             long = stops - begins > LONG
             bounds = np.append(starts, len(data))
             words, more = (np.diff(np.searchsorted(x, bounds)) for x in (begins, units(begins[long], stops[long])))
             places = ((starts - offsets[owner]) << 24) | ((ends - starts) << 16) | (np.minimum(words, 255) << 8) | np.minimum(more, 255)
             cuts = pa.array(np.searchsorted(owner, np.arange(b - a + 1)).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (digests, places.astype(np.int64))]
-            yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), *lists], [*batch.schema.names, "_digests", "_places"])
+            lists = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (digests, marks, places.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), *lists], [*batch.schema.names, *_LISTS])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,48 +127,55 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def dedup(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with the text left, n_bytes (before), removed_bytes, removed (spans of bytes), first_ids (documents that keep them)."""
+    """docs with the text left, n_bytes and n_chunks (before), n_repeated and repeated_bytes (of chunks that an earlier place has),
+    removed_bytes, removed (spans of bytes), first_ids (documents that keep what is removed)."""
     common.small_batches(docs.sparkSession)
     rest = docs.drop(*_RESULT)
-    rows = rest.withColumn("text", common.text_of()).withColumn("_row", F.monotonically_increasing_id())
+    names = [c for c in rest.columns if c != "text"]
+    rows = rest.select(F.struct(*names).alias(_OWN), F.col("doc_id").cast("long").alias("_id"), common.text_of().alias("text"), F.monotonically_increasing_id().alias("_row"))
     longs = T.ArrayType(T.LongType())
-    table = common.saved(rows.mapInArrow(_chunk, T.StructType([*rows.schema, T.StructField("_digests", longs), T.StructField("_places", longs)])))
-    doc = F.col("doc_id").cast("long")
-    repeated = table.groupBy(doc.alias("d")).count().filter("count > 1 OR d IS NULL")
-    lists = table.select(doc.alias("_rank"), "_row", "_digests", "_places")
+    table = common.saved(rows.mapInArrow(_chunk, T.StructType([*rows.schema, *(T.StructField(n, longs) for n in _LISTS)])))
     total = table.agg(F.coalesce(F.sum(F.size("_digests")), F.lit(0))).first()[0]
-    if not repeated.isEmpty():
-        ranks = common.running_total(table.select("doc_id", "_row"), [F.col("doc_id").asc_nulls_last(), F.col("_row")], _rank=F.lit(1))
-        lists = common.saved(lists.drop("_rank").join(ranks.select("_row", "_rank"), "_row"))
-        names = lists.select("_rank", "_row").join(table.select("_row", "doc_id"), "_row").select(F.col("_rank").alias("_first"), F.col("doc_id").alias("_first_id"))
+    ranks = None
+    if not table.groupBy("_id").count().filter("count > 1 OR _id IS NULL").isEmpty():
+        # Ranks stand in for doc_ids, which don't tell rows apart here.
+        ranks = common.running_total(table.select("_id", "_row"), [F.col("_id").asc_nulls_last(), F.col("_row")], _rank=F.lit(1))
+        ranks = common.saved(ranks.select("_row", "_rank", "_id"))
+        lists = table.select("_row", *_LISTS).join(ranks.select("_row", "_rank"), "_row").drop("_row")
     else:
-        names = None
-    chunk = lists.select("_rank", "_row", F.inline(F.arrays_zip(F.col("_digests").alias("digest"), F.col("_places").alias("place"))))
-    groups = chunk.groupBy("digest").agg(F.min("_rank").alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
-    groups = common.saved(groups)
-    same = common.hot_join(chunk, groups, "digest", "_n", total)
+        lists = table.select(F.col("_id").alias("_rank"), *_LISTS)
+    chunk = lists.select("_rank", F.inline(F.arrays_zip(F.col("_digests").alias("digest"), F.col("_marks").alias("mark"), F.col("_places").alias("place"))))
+    groups = common.saved(chunk.groupBy(*_ID).agg(F.min("_rank").alias("_first"), F.count("*").alias("_n")).filter("_n > 1"))
+    if ranks is not None:
+        groups = groups.join(ranks.select(F.col("_rank").alias("_first"), F.col("_id").alias("_first_id")), "_first")
+    else:
+        groups = groups.withColumn("_first_id", F.col("_first"))
+    same = common.hot_join(chunk, groups, _ID, "_n", total)
     # In the document that keeps a chunk, its first place stays.
-    places = Window.partitionBy("_row", "digest").orderBy("place")
+    places = Window.partitionBy("_rank", *_ID).orderBy("place")
     start, size, words, more = F.shiftright("place", 24), *(F.shiftright("place", k).bitwiseAND(255) for k in (16, 8, 0))
     same = same.select("*", F.row_number().over(places).alias("_own"), start.alias("start"), (start + size).alias("end"))
     ruler = (F.col("_rank") == F.col("_first")) & F.lag("end").over(places).eqNullSafe(F.col("start"))
-    same = same.withColumn("words", words + F.when(ruler, 0).otherwise(more)).filter("_rank <> _first OR _own > 1").select("_row", "_first", "start", "end", "words")
-    order = Window.partitionBy("_row").orderBy("start")
+    same = same.withColumn("words", words + F.when(ruler, 0).otherwise(more)).filter("_rank <> _first OR _own > 1").select("_rank", "_first_id", "start", "end", "words")
+    order = Window.partitionBy("_rank").orderBy("start")
     runs = same.withColumn("_new", (F.lag("end").over(order).eqNullSafe(F.col("start"))).cast("int")).withColumn("_run", F.sum(1 - F.col("_new")).over(order))
-    runs = runs.groupBy("_row", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"), F.min("_first").alias("_first"))
-    runs = runs.filter(F.col("words") >= min_words)
-    if names is not None:
-        runs = runs.join(names, "_first")
-    else:
-        runs = runs.withColumn("_first_id", F.col("_first"))
-    spans = common.saved(
-        runs.groupBy("_row").agg(
-            F.array_sort(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end")))).alias("removed"), F.array_sort(F.collect_set("_first_id")).alias("first_ids")
-        )
+    runs = runs.groupBy("_rank", "_run").agg(
+        F.count("*").alias("n"), F.min("start").cast("int").alias("start"), F.max("end").cast("int").alias("end"), F.sum("words").alias("words"), F.collect_set("_first_id").alias("ids")
     )
-    empty = F.array().cast("array<struct<start:int,end:int>>")
-    out = table.drop("_digests", "_places").join(common.maybe_broadcast(spans), "_row", "left")
+    goes = F.col("words") >= min_words
+    spans = runs.groupBy("_rank").agg(
+        F.sum("n").alias("n_repeated"), F.sum((F.col("end") - F.col("start")).cast("long")).alias("repeated_bytes"),
+        F.array_sort(F.collect_list(F.when(goes, F.struct("start", "end")))).alias("removed"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(goes, F.col("ids")))))).alias("first_ids")
+    )
+    if ranks is not None:
+        spans = spans.join(ranks.select("_rank", "_row"), "_rank")
+    key = "_id" if ranks is None else "_row"
+    spans = common.saved(spans.withColumnRenamed("_rank", "_id") if ranks is None else spans.drop("_rank"))
+    out = table.withColumn("n_chunks", F.size("_digests").cast("long")).drop(*_LISTS).join(common.maybe_broadcast(spans), key, "left")
+    none = F.lit(0).cast("long")
     out = out.select(
-        *rest.columns, F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("removed_bytes"), F.coalesce("removed", empty).alias("removed"), F.coalesce("first_ids", F.array().cast("array<bigint>")).alias("first_ids")
-    )
-    return out.mapInArrow(_cut, out.schema)
+        _OWN, "text", F.octet_length("text").cast("long").alias("n_bytes"), "n_chunks", F.coalesce("n_repeated", none).alias("n_repeated"), F.coalesce("repeated_bytes", none).alias("repeated_bytes"), none.alias("removed_bytes"),
+        F.coalesce("removed", F.array().cast("array<struct<start:int,end:int>>")).alias("removed"), F.coalesce("first_ids", F.array().cast("array<bigint>")).alias("first_ids"),
+    )
+    out = out.mapInArrow(_cut, out.schema)
+    return out.select(*(F.col("text") if c == "text" else F.col(_OWN).getField(c).alias(c) for c in rest.columns), *_RESULT)
