@@ -2,7 +2,7 @@
 
 A gear rolling hash over the last 16 bytes proposes cuts; a cut counts if the proposal before it is at least MIN bytes away,
 and chunks longer than MAX are cut evenly. Both rules look at nearby bytes only, so an insertion moves no cut far from
-it. Chunks are deduplicated by a 128-bit digest: the one in the document of least rank stays (in doc_id order, null last),
+it. Chunks are deduplicated by a 96-bit digest: the one in the document of least rank stays (in doc_id order, null last),
 within a document the first; every other one is repeated. All repeated chunks are counted (n_repeated, repeated_bytes).
 
 What is cut out of the text are runs of repeated chunks, side by side, of min_words words or more; min_words=0 cuts all. Words
@@ -92,14 +92,22 @@ def _chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text = batch.column(batch.schema.get_field_index("text"))
         for a, b, data, offsets in bytetext.batches(text):
             starts, ends, owner = chunks(data, offsets)
-            digests, marks = (x.astype(np.int64) for x in bytetext.span_hashes(data, starts, ends, wide=True))
+            digests, marks = bytetext.span_hashes(data, starts, ends, wide=True)
+            marks >>= np.uint64(32)
             begins, stops, _ = bytetext.word_spans(~bytetext.BLANK[data], offsets)
             long = stops - begins > LONG
             bounds = np.append(starts, len(data))
             words, more = (np.diff(np.searchsorted(x, bounds)) for x in (begins, units(begins[long], stops[long])))
-            places = ((starts - offsets[owner]) << 24) | ((ends - starts) << 16) | (np.minimum(words, 255) << 8) | np.minimum(more, 255)
+            order = np.lexsort((marks, digests, owner))
+            same = np.zeros(len(order), dtype=bool)
+            same[1:] = np.logical_and.reduce([x[order][1:] == x[order][:-1] for x in (owner, digests, marks)])
+            own = np.zeros(len(order), dtype=np.int64)
+            own[order] = same  # the same chunk stands earlier in its text, or right before it
+            ruler = np.zeros(len(order), dtype=np.int64)
+            ruler[1:] = np.logical_and.reduce([x[1:] == x[:-1] for x in (owner, digests, marks)])
+            places = ((starts - offsets[owner]) << 26) | (own << 25) | (ruler << 24) | ((ends - starts) << 16) | (np.minimum(words, 255) << 8) | np.minimum(more, 255)
             cuts = pa.array(np.searchsorted(owner, np.arange(b - a + 1)).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (digests, marks, places.astype(np.int64))]
+            lists = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (digests.astype(np.int64), marks.astype(np.uint32).view(np.int32), places.astype(np.int64))]
             yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), *lists], [*batch.schema.names, *_LISTS])
 
 
@@ -133,8 +141,8 @@ def dedup(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
     rest = docs.drop(*_RESULT)
     names = [c for c in rest.columns if c != "text"]
     rows = rest.select(F.struct(*names).alias(_OWN), F.col("doc_id").cast("long").alias("_id"), common.text_of().alias("text"), F.monotonically_increasing_id().alias("_row"))
-    longs = T.ArrayType(T.LongType())
-    table = common.saved(rows.mapInArrow(_chunk, T.StructType([*rows.schema, *(T.StructField(n, longs) for n in _LISTS)])))
+    kinds = (T.LongType(), T.IntegerType(), T.LongType())
+    table = common.saved(rows.mapInArrow(_chunk, T.StructType([*rows.schema, *(T.StructField(n, T.ArrayType(t)) for n, t in zip(_LISTS, kinds, strict=True))])))
     total = table.agg(F.coalesce(F.sum(F.size("_digests")), F.lit(0))).first()[0]
     ranks = None
     if not table.groupBy("_id").count().filter("count > 1 OR _id IS NULL").isEmpty():
@@ -146,30 +154,28 @@ def dedup(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
         lists = table.select(F.col("_id").alias("_rank"), *_LISTS)
     chunk = lists.select("_rank", F.inline(F.arrays_zip(F.col("_digests").alias("digest"), F.col("_marks").alias("mark"), F.col("_places").alias("place"))))
     groups = common.saved(chunk.groupBy(*_ID).agg(F.min("_rank").alias("_first"), F.count("*").alias("_n")).filter("_n > 1"))
-    if ranks is not None:
-        groups = groups.join(ranks.select(F.col("_rank").alias("_first"), F.col("_id").alias("_first_id")), "_first")
-    else:
-        groups = groups.withColumn("_first_id", F.col("_first"))
-    same = common.hot_join(chunk, groups, _ID, "_n", total)
     # In the document that keeps a chunk, its first place stays.
-    places = Window.partitionBy("_rank", *_ID).orderBy("place")
-    start, size, words, more = F.shiftright("place", 24), *(F.shiftright("place", k).bitwiseAND(255) for k in (16, 8, 0))
-    same = same.select("*", F.row_number().over(places).alias("_own"), start.alias("start"), (start + size).alias("end"))
-    ruler = (F.col("_rank") == F.col("_first")) & F.lag("end").over(places).eqNullSafe(F.col("start"))
-    same = same.withColumn("words", words + F.when(ruler, 0).otherwise(more)).filter("_rank <> _first OR _own > 1").select("_rank", "_first_id", "start", "end", "words")
-    order = Window.partitionBy("_rank").orderBy("start")
-    runs = same.withColumn("_new", (F.lag("end").over(order).eqNullSafe(F.col("start"))).cast("int")).withColumn("_run", F.sum(1 - F.col("_new")).over(order))
-    runs = runs.groupBy("_rank", "_run").agg(
-        F.count("*").alias("n"), F.min("start").cast("int").alias("start"), F.max("end").cast("int").alias("end"), F.sum("words").alias("words"), F.collect_set("_first_id").alias("ids")
+    own, ruler = (F.shiftright("place", k).bitwiseAND(1) == 1 for k in (25, 24))
+    same = common.hot_join(chunk, groups, _ID, "_n", total).filter((F.col("_rank") != F.col("_first")) | own).select("_rank", "_first", "place")
+    size, words, more = (F.shiftright("place", k).bitwiseAND(255) for k in (16, 8, 0))
+    order = Window.partitionBy("_rank").orderBy("place")
+    start = F.shiftright("place", 26)
+    same = same.withColumn("_before", F.lag(start + size).over(order)).withColumn("_run", F.sum((~F.col("_before").eqNullSafe(start)).cast("int")).over(order))
+    words = words + F.when(ruler & (F.col("_rank") == F.col("_first")), 0).otherwise(more)
+    runs = same.select("_rank", "_run", "_first", start.alias("start"), (start + size).alias("end"), words.alias("words")).groupBy("_rank", "_run").agg(
+        F.count("*").alias("n"), F.min("start").cast("int").alias("start"), F.max("end").cast("int").alias("end"), F.sum("words").alias("words"), F.collect_set("_first").alias("ids")
     )
     goes = F.col("words") >= min_words
     spans = runs.groupBy("_rank").agg(
         F.sum("n").alias("n_repeated"), F.sum((F.col("end") - F.col("start")).cast("long")).alias("repeated_bytes"),
         F.array_sort(F.collect_list(F.when(goes, F.struct("start", "end")))).alias("removed"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(goes, F.col("ids")))))).alias("first_ids")
     )
+    key = "_id"
     if ranks is not None:
-        spans = spans.join(ranks.select("_rank", "_row"), "_rank")
-    key = "_id" if ranks is None else "_row"
+        key = "_row"
+        firsts = spans.select("_rank", F.explode("first_ids").alias("_first")).join(ranks.select(F.col("_rank").alias("_first"), "_id"), "_first")
+        firsts = firsts.groupBy("_rank").agg(F.array_sort(F.collect_set("_id")).alias("first_ids"))
+        spans = spans.drop("first_ids").join(firsts, "_rank", "left").join(ranks.select("_rank", "_row"), "_rank")
     spans = common.saved(spans.withColumnRenamed("_rank", "_id") if ranks is None else spans.drop("_rank"))
     out = table.withColumn("n_chunks", F.size("_digests").cast("long")).drop(*_LISTS).join(common.maybe_broadcast(spans), key, "left")
     none = F.lit(0).cast("long")
