@@ -1,30 +1,38 @@
-"""Errors by kind; code is what callers branch on."""
+"""What a store raises. Each kind is a class, and code is its name for callers that branch on text."""
 
 from __future__ import annotations
 
 
 class StoreError(Exception):
-    code = "Error"
+    code = "StoreError"
+
+    def __init_subclass__(cls) -> None:
+        cls.code = cls.__name__
 
     def __init__(self, message: str = ""):
         super().__init__(f"{self.code}: {message}" if message else self.code)
         self.message = message
 
 
-def _kind(name: str, doc: str) -> type[StoreError]:
-    return type(name, (StoreError,), {"code": name, "__doc__": doc})
+class InvalidArgument(StoreError):
+    """The caller asked for what can't be: an unknown family, a folder that is taken, a transaction that has ended."""
+
+
+class NotFound(StoreError):
+    """A store, family, backup or file that must be there isn't; a key that isn't there is None, not an error."""
+
+
+class Busy(StoreError):
+    """Another writer or a lock stood in the way; the same call may succeed later."""
+
+
+class Stalled(Busy):
+    """Level 0 stayed full for as long as a write may wait."""
+
+
+class Corruption(StoreError):
+    """Stored bytes don't match their checksum, or commits are missing, or a file for ingest breaks its rules."""
 
 
-NotFound = _kind("NotFound", "A key, column family or file isn't there.")
-Corruption = _kind("Corruption", "What is stored doesn't hold together.")
-NotSupported = _kind("NotSupported", "A valid request that is not offered.")
-InvalidArgument = _kind("InvalidArgument", "A request that can't be right.")
-IOFailure = _kind("IOFailure", "The storage refused.")
-MergeInProgress = _kind("MergeInProgress", "A merge is under way.")
-Incomplete = _kind("Incomplete", "Only part of the request was done.")
-ShutdownInProgress = _kind("ShutdownInProgress", "The store is closing.")
-TimedOut = _kind("TimedOut", "A time limit passed.")
-Aborted = _kind("Aborted", "The request was given up.")
-Busy = _kind("Busy", "A lock or a conflict stands in the way.")
-Expired = _kind("Expired", "The transaction is too old.")
-TryAgain = _kind("TryAgain", "The same request may work later.")
+class IOFailure(StoreError):
+    """The file system refused an operation."""

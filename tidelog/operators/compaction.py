@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import DELETE, N_LEVELS
+from . import ranges
 from .resolve import KEY, newest
 
 L0_TRIGGER, L0_STOP = 4, 12
@@ -51,17 +52,19 @@ def contains(smallest: Column, largest: Column, key: Column) -> Column:
     return (key >= smallest) & (key <= largest)
 
 
-def overlaps(a: DataFrame, b: DataFrame) -> Column:
-    return ~((a["largest"] < b["smallest"]) | (b["largest"] < a["smallest"]))
-
-
 def overlap_pairs(files: DataFrame, group: Sequence[str] = ()) -> DataFrame:
-    """Pairs of runs (a < b) whose ranges overlap, among the files of a manifest; group keeps pairs within e.g. a level."""
-    a, b = files.alias("a"), files.alias("b")
-    near = ~((F.col("a.largest") < F.col("b.smallest")) | (F.col("b.largest") < F.col("a.smallest"))) & (F.col("a.run_id") < F.col("b.run_id"))
-    for g in group:
+    """Pairs of runs (a < b) whose ranges overlap, among the files of a manifest; group keeps pairs within e.g. a level.
+
+    Runs go to the fixed ranges of keys that they touch and are joined there, a pair where the later of the two begins.
+    """
+    cuts = ranges.splitters(files, "smallest")
+    held = files.select("run_id", "smallest", "largest", *group, ranges.number(F.col("smallest"), cuts).alias("_lo"), ranges.number(F.col("largest"), cuts).alias("_hi"))
+    held = held.withColumn("_range", F.explode(F.sequence("_lo", "_hi")))
+    a, b = held.alias("a"), held.alias("b")
+    near = (F.col("a.run_id") < F.col("b.run_id")) & ~((F.col("a.largest") < F.col("b.smallest")) | (F.col("b.largest") < F.col("a.smallest")))
+    for g in ("_range", *group):
         near &= F.col(f"a.{g}") == F.col(f"b.{g}")
-    return a.join(b, near).select(F.col("a.run_id").alias("run_a"), F.col("b.run_id").alias("run_b"))
+    return a.join(b, near & (F.col("a._range") == F.greatest("a._lo", "b._lo"))).select(F.col("a.run_id").alias("run_a"), F.col("b.run_id").alias("run_b"))
 
 
 def overlapping(files: DataFrame, smallest, largest) -> DataFrame:
@@ -88,27 +91,20 @@ def pick_level(scores: DataFrame) -> DataFrame:
 def subcompaction_ranges(rows: DataFrame, n: int = SUBCOMPACTIONS, key: str = "user_key") -> DataFrame:
     """n ranges of near equal numbers of distinct keys: tile (1 to n), smallest, largest, n_keys.
 
-    Tiles follow from a key's rank: range partitions are counted, and only their counts, a row each, meet in one task.
+    Tiles follow from a key's rank: fixed ranges of keys are counted, and only their counts, a row each, meet in one task.
     """
     keys = rows.select(key).distinct()
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = keys.repartitionByRange(parts, key).withColumn("_part", F.spark_partition_id())
-    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    whole = Window.orderBy("_part")
-    counts = counts.select("_part", (F.sum("_n").over(whole) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_total"))
-    rank = F.row_number().over(Window.partitionBy("_part").orderBy(key)) + F.col("_before") - 1
-    placed = ranged.join(F.broadcast(counts), "_part").withColumn("_rank", rank)
+    ranged = keys.withColumn("_range", ranges.number(F.col(key), ranges.splitters(rows, key)))
+    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    counts = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_total"))
+    rank = F.row_number().over(Window.partitionBy("_range").orderBy(key)) + F.col("_before") - 1
+    placed = ranged.join(F.broadcast(counts), "_range").withColumn("_rank", rank)
     size, large = F.expr(f"_total div {n}"), F.col("_total") % n
     edge = large * (size + 1)  # the first tiles take one key more, as NTILE does
     tile = F.when(F.col("_rank") < edge, F.floor(F.col("_rank") / (size + 1))).otherwise(large + F.floor((F.col("_rank") - edge) / F.greatest(size, F.lit(1))))
     return placed.groupBy((tile + 1).cast("long").alias("tile")).agg(F.min(key).alias("smallest"), F.max(key).alias("largest"), F.count("*").alias("n_keys"))
 
 
-def worth_splitting(files: DataFrame, least: int = MIN_SUBCOMPACTION_BYTES) -> Column:
-    """Aggregate: whether inputs are large enough for subcompactions."""
-    return F.coalesce(F.sum("bytes"), F.lit(0)) >= least
-
-
 def stalls(files: DataFrame, stop: int = L0_STOP) -> DataFrame:
     """One row: n_l0, trigger (compaction is due), stall (writes should wait)."""
     n = F.sum((F.col("level") == 0).cast("long"))

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranges
+
 K = "user_key"
 
 
@@ -54,37 +56,34 @@ def prefix(rows: DataFrame, start: str | bytes) -> DataFrame:
 def neighbours(rows: DataFrame, partitions: int | None = None) -> DataFrame:
     """rows with next_key and prev_key.
 
-    Keys are range-partitioned; within a partition lead and lag give the neighbours. Across a boundary they are the first
-    and last key of the partitions next to it, of which there is one row a partition.
+    Keys are dealt to fixed ranges; within a range lead and lag give the neighbours. Across a boundary they are the first and
+    last key of the ranges next to it, of which there is one row a range.
     """
-    spark = rows.sparkSession
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.repartitionByRange(parts, K).withColumn("_part", F.spark_partition_id())
-    inside = Window.partitionBy("_part").orderBy(K)
+    ranged = rows.withColumn("_range", ranges.number(F.col(K), ranges.splitters(rows, K, partitions)))
+    inside = Window.partitionBy("_range").orderBy(K)
     near = ranged.withColumns({"next_key": F.lead(K).over(inside), "prev_key": F.lag(K).over(inside)})
-    ends = ranged.groupBy("_part").agg(F.min(K).alias("_lo"), F.max(K).alias("_hi"))
-    order = Window.orderBy("_part")
-    ends = ends.select("_part", F.lead("_lo").over(order).alias("_next"), F.lag("_hi").over(order).alias("_prev"))
-    out = near.join(F.broadcast(ends), "_part")
-    return out.withColumns({"next_key": F.coalesce("next_key", "_next"), "prev_key": F.coalesce("prev_key", "_prev")}).drop("_part", "_next", "_prev")
+    ends = ranged.groupBy("_range").agg(F.min(K).alias("_lo"), F.max(K).alias("_hi"))
+    order = Window.orderBy("_range")
+    ends = ends.select("_range", F.lead("_lo").over(order).alias("_next"), F.lag("_hi").over(order).alias("_prev"))
+    out = near.join(F.broadcast(ends), "_range")
+    return out.withColumns({"next_key": F.coalesce("next_key", "_next"), "prev_key": F.coalesce("prev_key", "_prev")}).drop("_range", "_next", "_prev")
 
 
 def batch_seek_for_prev(rows: DataFrame, probes: DataFrame, probe: str = "probe") -> DataFrame:
     """For each probe the greatest key at or before it (null if there is none): one sort of both sides, no pairs.
 
-    Probes and keys are range-partitioned together; the greatest key before a partition comes from one row a partition.
+    Probes, each once, and keys are dealt to fixed ranges together; the greatest key before a range comes from one row a range.
     """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    both = rows.select(F.col(K).alias("_at"), F.lit(0).alias("_kind"), F.col(K).alias("_key")).unionByName(
-        probes.select(F.col(probe).alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(rows.schema[K].dataType).alias("_key"))
-    )
-    ranged = both.repartitionByRange(parts, "_at", "_kind").withColumn("_part", F.spark_partition_id())
-    upto = Window.partitionBy("_part").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    once = probes.groupBy(F.col(probe).alias("_at")).agg(F.count("*").alias("_times"))
+    none = F.lit(None).cast(rows.schema[K].dataType)
+    both = rows.select(F.col(K).alias("_at"), F.lit(0).cast("long").alias("_times"), F.col(K).alias("_key")).unionByName(once.withColumn("_key", none))
+    ranged = both.withColumn("_range", ranges.number(F.col("_at"), ranges.splitters(both, "_at")))
+    upto = Window.partitionBy("_range").orderBy("_at", "_times").rowsBetween(Window.unboundedPreceding, 0)
     found = ranged.withColumn("_found", F.last("_key", ignorenulls=True).over(upto))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    ends = ranged.groupBy("_part").agg(F.max("_key").alias("_hi")).select("_part", F.max("_hi").over(before).alias("_prev"))
-    out = found.filter("_kind = 1").join(F.broadcast(ends), "_part")
-    return out.select(F.col("_at").alias(probe), F.coalesce("_found", "_prev").alias(K))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ranged.groupBy("_range").agg(F.max("_key").alias("_hi")).select("_range", F.max("_hi").over(before).alias("_prev"))
+    out = found.filter("_times > 0").join(F.broadcast(ends), "_range").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
+    return out.select(F.col("_at").alias(probe), F.when(F.col("_at").isNotNull(), F.coalesce("_found", "_prev")).alias(K))
 
 
 def _value(x: Column | str | bytes) -> Column:

@@ -1,26 +1,62 @@
-"""Counters of a store and what follows from them."""
+"""Counters of a store and what follows from them.
+
+A counter is declared here with what it counts, and is added to in the one place where that happens.
+"""
 
 from __future__ import annotations
 
 import threading
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-COUNTERS = (
-    "keys_written", "keys_read", "keys_deleted", "iterations", "bytes_written", "bytes_read",
-    "memtable_hits", "memtable_misses", "immutable_hits", "flushes", "bytes_flushed",
-    "log_writes", "log_syncs", "log_bytes", "run_reads", "run_hits", "run_misses", "blocks_loaded", "blocks_cached",
-    "compactions", "compaction_bytes_read", "compaction_bytes_written", "files_compacted",
-    "parallel_compactions", "sequential_compactions", "subcompactions", "compaction_micros",
-    "bloom_useful", "bloom_checked", "errors",
-)
+from .operators import ranges
+
+COUNTERS = {
+    "commits": "commit files put in place by this store object",
+    "lost_races": "commits that another writer was first to",
+    "commit_bytes": "bytes of commit files",
+    "commit_syncs": "commit files forced to the disk",
+    "operations": "operations of batches",
+    "deletions": "deletions among them",
+    "operation_bytes": "bytes of their keys and values",
+    "waits": "writes that found level 0 full",
+    "wait_micros": "time that they waited or compacted",
+    "runs_written": "runs written by bulk writes, flushes and compactions",
+    "run_rows": "rows of them",
+    "run_bytes": "bytes of them, as stored",
+    "flushes": "buffers turned into runs",
+    "batches_skipped": "stream batches that had been taken in before",
+    "lookups": "keys looked up by get()",
+    "lookups_from_buffer": "of them answered by the buffer, without a job",
+    "lookups_found": "of them that are live",
+    "scans": "iterators made and families read whole or in part",
+    "runs_considered": "runs that a read could have opened",
+    "runs_left_out": "of them left out by their key range",
+    "readers_asked": "times that a set of run files was to be opened",
+    "readers_kept": "of them that an opened reader was kept for",
+    "cache_reads": "reads of a family that was cached once",
+    "cache_hits": "of them answered by cached rows",
+    "cache_evictions": "families that left the cache for lack of room",
+    "compactions": "compactions done",
+    "split_compactions": "of them dealt to several ranges of keys",
+    "compacted_runs": "runs merged away",
+    "compaction_read_bytes": "bytes of runs merged",
+    "compaction_micros": "time of compactions",
+    "compaction_written_bytes": "bytes of runs that compactions wrote",
+}
 
-#: Each rate as (part, whole).
+#: Shares and ratios: part over whole.
 RATES = {
-    "bloom_effectiveness": ("bloom_useful", "bloom_checked"),
-    "compaction_read_write": ("compaction_bytes_read", "compaction_bytes_written"),
-    "parallel_compaction": ("parallel_compactions", "compactions"),
+    "found": ("lookups_found", "lookups"),
+    "from_buffer": ("lookups_from_buffer", "lookups"),
+    "left_out": ("runs_left_out", "runs_considered"),
+    "reader": ("readers_kept", "readers_asked"),
+    "cache": ("cache_hits", "cache_reads"),
+    "split": ("split_compactions", "compactions"),
+    "compaction_volume": ("compaction_written_bytes", "compaction_read_bytes"),
+    "micros_per_compaction": ("compaction_micros", "compactions"),
+    "operations_per_commit": ("operations", "commits"),
 }
 
 
@@ -31,49 +67,40 @@ class Statistics:
 
     def reset(self) -> None:
         with self._lock:
-            self._n = dict.fromkeys(COUNTERS, 0)
+            self._counts = dict.fromkeys(COUNTERS, 0)
 
     def add(self, **counts: int) -> None:
         with self._lock:
-            for k, v in counts.items():
-                self._n[k] += v
+            for name, n in counts.items():
+                self._counts[name] += n
 
     def __getattr__(self, name: str) -> int:
         if name in COUNTERS:
-            return self._n[name]
+            return self._counts[name]
         raise AttributeError(name)
 
-    def _rate(self, part: int, whole: int) -> float:
-        return part / whole if whole else 0.0
-
     def rates(self) -> dict[str, float]:
-        """Shares and ratios; each is 0 where there is nothing to divide by."""
-        out = {k: self._rate(self._n[a], self._n[b]) for k, (a, b) in RATES.items()}
-        out["memtable_hit"] = self._rate(self._n["memtable_hits"], self._n["memtable_hits"] + self._n["memtable_misses"])
-        out["run_hit"] = self._rate(self._n["run_hits"], self._n["run_hits"] + self._n["run_misses"])
-        out["avg_compaction_ms"] = self._rate(self._n["compaction_micros"], self._n["compactions"]) / 1000
-        return out
+        """Each of RATES; 0 where there is nothing to divide by."""
+        return {name: self._counts[part] / self._counts[whole] if self._counts[whole] else 0.0 for name, (part, whole) in RATES.items()}
 
     def report(self) -> str:
-        rows = [*self._n.items(), *((k, f"{v:.4g}") for k, v in self.rates().items())]
-        width = max(len(k) for k, _ in rows)
-        return "\n".join(f"{k:<{width}}  {v}" for k, v in rows)
+        """A line for each counter with what it counts, then one for each rate."""
+        lines = [f"{n:>14}  {name}: {COUNTERS[name]}" for name, n in self._counts.items()]
+        return "\n".join([*lines, *(f"{x:>14.4g}  {name}: {RATES[name][0]} / {RATES[name][1]}" for name, x in self.rates().items())])
 
 
 def percentiles(rows: DataFrame, column: str, points: list[float]) -> DataFrame:
     """Nearest-rank values: the one at floor(n x p / 100) of the sorted column, at most the last.
 
-    Only counts a distinct value are kept, and a running count over range partitions finds the ranks.
+    Only counts a distinct value are kept, and a running count over fixed ranges of values finds the ranks.
     """
-    from pyspark.sql import Window
-
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counts = rows.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("_x")).agg(F.count("*").alias("_n"))
-    ranged = counts.repartitionByRange(parts, "_x").withColumn("_part", F.spark_partition_id())
-    before = Window.orderBy("_part")
-    offsets = ranged.groupBy("_part").agg(F.sum("_n").alias("_all")).select("_part", (F.sum("_all").over(before) - F.col("_all")).alias("_off"), F.sum("_all").over(Window.partitionBy()).alias("_total"))
-    upto = F.sum("_n").over(Window.partitionBy("_part").orderBy("_x")) + F.col("_off")
-    placed = ranged.join(F.broadcast(offsets), "_part").withColumn("_end", upto)
+    some = rows.filter(F.col(column).isNotNull())
+    counts = some.groupBy(F.col(column).alias("_x")).agg(F.count("*").alias("_n"))
+    ranged = counts.withColumn("_range", ranges.number(F.col("_x"), ranges.splitters(some, column)))
+    before = Window.orderBy("_range")
+    offsets = ranged.groupBy("_range").agg(F.sum("_n").alias("_all")).select("_range", (F.sum("_all").over(before) - F.col("_all")).alias("_off"), F.sum("_all").over(Window.partitionBy()).alias("_total"))
+    upto = F.sum("_n").over(Window.partitionBy("_range").orderBy("_x")) + F.col("_off")
+    placed = ranged.join(F.broadcast(offsets), "_range").withColumn("_end", upto)
     want = rows.sparkSession.createDataFrame([(float(p),) for p in points], "percentile double")
     rank = F.least(F.floor(F.col("_total") * F.col("percentile") / 100), F.col("_total") - 1)
     hit = placed.join(F.broadcast(want), (rank < F.col("_end")) & (rank >= F.col("_end") - F.col("_n")))
