@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import merge
 from .resolve import KEY
 
 
@@ -24,14 +25,15 @@ def data_size(batch: DataFrame) -> DataFrame:
     return batch.agg(F.count("*").alias("n_ops"), F.coalesce(F.sum((F.octet_length("user_key") + F.coalesce(F.octet_length("value"), F.lit(0))).cast("long")), F.lit(0)).alias("bytes"))
 
 
-def applied(log: DataFrame, batch: DataFrame, *, snapshot: int | Column | None = None) -> DataFrame:
-    """What a transaction reads: its own operations over the versions of its snapshot."""
-    seen = log if snapshot is None else log.filter(F.col("seq") <= snapshot)
-    own = stamp(batch, F.lit(0)).withColumn("_own", F.lit(1))
-    both = seen.withColumn("_own", F.lit(0)).select("cf_id", "user_key", "seq", "op", "value", "_own").unionByName(own.select("cf_id", "user_key", "seq", "op", "value", "_own"))
-    order = Window.partitionBy(*KEY).orderBy(F.col("_own").desc(), F.col("seq").desc())
-    newest = both.withColumn("_rn", F.row_number().over(order)).filter("_rn = 1 AND op <> 0")
-    return newest.select("cf_id", "user_key", "value", (F.col("_own") == 1).alias("own"))
+def applied(log: DataFrame, batch: DataFrame, operator: merge.MergeOperator | merge.ExpressionMerge | None = None, *, snapshot: int | Column | None = None) -> DataFrame:
+    """What a transaction reads: its own operations over the versions of its snapshot, merges folded by the operator.
+
+    Own operations are stamped beyond every seq of the log; own says that one of them decides or is folded in.
+    """
+    columns = ["cf_id", "user_key", "seq", "op", "value"]
+    mine = stamp(batch, 1 << 62).select(*columns)
+    rows = merge.fold((log if snapshot is None else log.filter(F.col("seq") <= snapshot)).select(*columns).unionByName(mine), operator)
+    return rows.select("cf_id", "user_key", "value", (F.col("seq") > 1 << 62).alias("own"))
 
 
 def conflicts(log: DataFrame, tracked: DataFrame, snapshot: int | Column) -> DataFrame:
@@ -41,14 +43,12 @@ def conflicts(log: DataFrame, tracked: DataFrame, snapshot: int | Column) -> Dat
 
 
 def lock_conflicts(locks: DataFrame) -> DataFrame:
-    """Pairs of transactions (a < b) whose locks on one key can't be held together: only reads are compatible.
+    """Each lock held (cf_id, user_key, txn_id, mode) with the number of other transactions that it can't be held together with.
 
-    Of one transaction's locks on a key the strongest counts, so an upgrade is one lock.
+    Only reads are compatible. Of one transaction's locks on a key the strongest counts, so an upgrade is one lock. A key's
+    holders and writers are counted, never paired.
     """
-    held = locks.groupBy(*KEY, "txn_id").agg(F.max((F.col("mode") == "WRITE").cast("int")).alias("w"))
-    a, b = held.alias("a"), held.alias("b")
-    same = (F.col("a.cf_id") == F.col("b.cf_id")) & (F.col("a.user_key") == F.col("b.user_key"))
-    clash = (F.col("a.txn_id") < F.col("b.txn_id")) & ((F.col("a.w") == 1) | (F.col("b.w") == 1))
-    return a.join(b, same & clash).select(F.col("a.cf_id").alias("cf_id"), F.col("a.user_key").alias("user_key"), F.col("a.txn_id").alias("txn_a"), F.col("b.txn_id").alias("txn_b"))
-
-
+    held = locks.groupBy(*KEY, "txn_id").agg(F.max((F.col("mode") == "WRITE").cast("long")).alias("_w"))
+    keys = held.groupBy(*KEY).agg(F.count("*").alias("_holders"), F.sum("_w").alias("_writers"))
+    others = F.when(F.col("_w") == 1, F.col("_holders") - 1).otherwise(F.col("_writers"))
+    return held.join(keys, list(KEY)).select(*KEY, "txn_id", F.when(F.col("_w") == 1, "WRITE").otherwise("READ").alias("mode"), others.alias("conflicts"))

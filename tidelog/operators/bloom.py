@@ -6,6 +6,8 @@ SEED and for each byte is h x FACTOR + byte in 32 bits; probe i is h + i x rotl(
 
 from __future__ import annotations
 
+from abc import ABC, abstractmethod
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,3 +67,36 @@ def probe(keys: DataFrame, filter_bits: DataFrame, bits: int, probes: int, key:
     hit = want.select(F.col(key), F.explode("_bits").alias("bit"), F.size("_bits").alias("_need")).join(filter_bits, "bit")
     full = hit.groupBy(key).agg(F.count("*").alias("_n"), F.first("_need").alias("_need")).select(F.col(key), (F.col("_n") == F.col("_need")).alias("may_contain"))
     return keys.join(full, key, "left").withColumn("may_contain", F.coalesce("may_contain", F.lit(False)))
+
+
+class FilterPolicy(ABC):
+    """How a store's runs tell which keys they can't hold. A policy of one's own gives the writer's options for a key column."""
+
+    @abstractmethod
+    def writer_options(self, column: str) -> dict[str, str]:
+        """Options of the Parquet writer; readers find what they put into the files by themselves."""
+
+
+class NoFilter(FilterPolicy):
+    """Only the least and greatest key of files and row groups."""
+
+    def writer_options(self, column: str) -> dict[str, str]:
+        return {}
+
+
+class BloomPolicy(FilterPolicy):
+    """Parquet's Bloom filter on the key, as large as the keys of a file need for the false positives of so many bits a key."""
+
+    def __init__(self, bits_per_key: int = 10):
+        if bits_per_key < 1:
+            raise ValueError("bits_per_key must be 1 or more")
+        self.bits_per_key = bits_per_key
+
+    def writer_options(self, column: str) -> dict[str, str]:
+        probes = n_probes(self.bits_per_key)
+        fpp = (1 - 2.718281828459045 ** (-probes / self.bits_per_key)) ** probes
+        return {
+            f"parquet.bloom.filter.enabled#{column}": "true",
+            f"parquet.bloom.filter.fpp#{column}": f"{min(0.5, max(1e-6, fpp)):.6f}",
+            "parquet.bloom.filter.adaptive.enabled": "true",
+        }

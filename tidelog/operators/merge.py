@@ -17,8 +17,16 @@ from ..schema import DELETE, MERGE, PUT
 from .resolve import KEY, as_of, latest_wins
 
 
+#: Operands of a custom operator that one call of partial_merge joins before their key's rows meet.
+OPERANDS = 10_000
+
+
 class MergeOperator(ABC):
-    """One's own operator. full_merge folds operands into a base; partial_merge joins operands without one, or gives None."""
+    """One's own operator. full_merge folds operands into a base; partial_merge joins operands without one, or gives None.
+
+    Where partial_merge is defined, a key's operands are joined in stretches of seq first, so that a key with very many of them
+    is spread over tasks; what it gives takes the place of the operands in full_merge.
+    """
 
     name = "custom"
 
@@ -119,11 +127,35 @@ def fold(
         value = operator.full_merge(keys[-1], first, operands) if operands else first
         return pd.DataFrame([[*keys, int(pdf["seq"].iloc[-1]), value]], columns=[*key, "seq", "value"])
 
-    return rows.groupBy(*key).applyInPandas(custom, schema)
+    return _joined_stretches(rows, operator, key).groupBy(*key).applyInPandas(custom, schema)
+
 
+def _joined_stretches(rows: DataFrame, operator: MergeOperator, key: Sequence[str]) -> DataFrame:
+    """rows whose operands partial_merge has joined by stretches of OPERANDS seqs; a stretch it gives None for stays as it is."""
+    if type(operator).partial_merge is MergeOperator.partial_merge:
+        return rows
+    names = [*key, "seq", "op", "value"]
 
-def partial_fold(log: DataFrame, operator: ExpressionMerge, *, key: Sequence[str] = KEY) -> DataFrame:
+    def join(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        if keys[-1] is None or len(pdf) < 2:
+            return pdf[names]
+        pdf = pdf.sort_values("seq")
+        value = operator.partial_merge(keys[-2], pdf["value"].tolist())
+        return pdf[names] if value is None else pdf[names].iloc[-1:].assign(value=[value])
+
+    stretch = F.when(F.col("op") == MERGE, F.expr(f"seq div {OPERANDS}"))
+    schema = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names)
+    return rows.select(*names, stretch.alias("_stretch")).groupBy(*key, "_stretch").applyInPandas(join, schema)
+
+
+def partial_fold(log: DataFrame, operator: ExpressionMerge | MergeOperator, *, key: Sequence[str] = KEY) -> DataFrame:
     """Operands of each key joined without their base: key columns, n operands, value (null if they can't be joined)."""
-    return log.filter(F.col("op") == MERGE).groupBy(*key).agg(F.count("*").alias("n"), operator.partial().alias("value"))
+    operands = log.filter(F.col("op") == MERGE)
+    if isinstance(operator, ExpressionMerge):
+        return operands.groupBy(*key).agg(F.count("*").alias("n"), operator.partial().alias("value"))
+    schema = ", ".join([*(f"{k} {log.schema[k].dataType.simpleString()}" for k in key), "n bigint", f"value {log.schema['value'].dataType.simpleString()}"])
 
+    def joined(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([[*keys, len(pdf), operator.partial_merge(keys[-1], pdf.sort_values("seq")["value"].tolist())]], columns=[*key, "n", "value"])
 
+    return operands.select(*key, "seq", "value").groupBy(*key).applyInPandas(joined, schema)

@@ -49,17 +49,21 @@ def tombstones(log: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
 
 def lookup(log: DataFrame, probes: DataFrame, *, snapshot: int | Column | None = None, key: Sequence[str] = KEY) -> DataFrame:
     """probes with state (found, deleted, miss), seq and value of each key."""
-    seen = newest(as_of(log.join(F.broadcast(probes.select(*key).distinct()) if _is_small(probes) else probes.select(*key).distinct(), list(key), "left_semi"), snapshot), key)
+    want = probes.select(*key).distinct()
+    seen = newest(as_of(log.join(F.broadcast(want) if _is_small(want) else want, list(key), "left_semi"), snapshot), key)
     state = F.when(F.col("op").isNull(), "miss").when(F.col("op") == DELETE, "deleted").otherwise("found")
     return probes.join(seen, list(key), "left").select(*probes.columns, state.alias("state"), "seq", F.when(F.col("op") != DELETE, F.col("value")).alias("value"))
 
 
-#: Probe keys that may be broadcast once counted.
-BROADCAST_KEYS = 1_000_000
+#: Probe keys, and bytes of them, that may be broadcast once counted.
+BROADCAST_KEYS, BROADCAST_BYTES = 1_000_000, 64 << 20
 
 
-def _is_small(df: DataFrame) -> bool:
-    return df.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+def _is_small(keys: DataFrame) -> bool:
+    """Counted while the plan is made: a semi-join of few keys must not shuffle the log."""
+    size = sum((F.octet_length(F.col(k).cast("binary" if t == "binary" else "string")) + 16 for k, t in keys.dtypes), F.lit(0)).cast("long")
+    n, total = keys.limit(BROADCAST_KEYS + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return n <= BROADCAST_KEYS and total <= BROADCAST_BYTES
 
 
 def multi_get(log: DataFrame, probes: DataFrame, *, snapshot: int | Column | None = None, key: Sequence[str] = KEY) -> DataFrame:

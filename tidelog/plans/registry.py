@@ -156,6 +156,11 @@ def next_prev(spark, sf_dir):
     return cursor.neighbours(_live(spark, sf_dir).select("user_key"))
 
 
+@query("SELECT user_key, value, lead(user_key) OVER (ORDER BY user_key) AS next_key, lag(user_key) OVER (ORDER BY user_key) AS prev_key FROM ord")
+def next_prev_values(spark, sf_dir):
+    return cursor.neighbours(orders_rows(spark, sf_dir), 16)
+
+
 @query("SELECT user_key, value FROM ord WHERE user_key >= 'o0000000100' AND user_key < 'o0000000900'")
 def range_scan(spark, sf_dir):
     return cursor.key_range(orders_rows(spark, sf_dir), "o0000000100", "o0000000900")
@@ -276,9 +281,10 @@ def flush_dedupe(spark, sf_dir):
     return compaction.flush(changelog(spark, sf_dir), by=["run_id"]).select("run_id", "user_key", "seq", "op", "value")
 
 
-@query("SELECT user_key, seq, op, value FROM (SELECT *, row_number() OVER (PARTITION BY user_key ORDER BY seq DESC) AS rn FROM cl WHERE run_id >= 2) WHERE rn = 1")
+@query("SELECT user_key, seq, op, value FROM (SELECT *, row_number() OVER (PARTITION BY user_key ORDER BY seq DESC) AS rn FROM cl) WHERE rn = 1")
 def compact_non_bottom(spark, sf_dir):
-    return compaction.compact(changelog(spark, sf_dir).filter("run_id >= 2"), output_level=1).select("user_key", "seq", "op", "value")
+    """Deletions stay above the bottom level."""
+    return compaction.compact(changelog(spark, sf_dir), output_level=1).select("user_key", "seq", "op", "value")
 
 
 @query("SELECT user_key, seq, op, value FROM (SELECT *, row_number() OVER (PARTITION BY user_key ORDER BY seq DESC) AS rn FROM cl) WHERE rn = 1 AND op <> 0")
@@ -291,15 +297,23 @@ def parallel_compaction(spark, sf_dir):
     return compaction.sorted_runs(compaction.compact(changelog(spark, sf_dir), output_level=6), 4).select("user_key", "seq", "op", "value")
 
 
-@query("SELECT CAST(0 AS BIGINT) AS n_differences")
+@query("""
+WITH newer AS (SELECT user_key, seq, op, value FROM (SELECT *, row_number() OVER (PARTITION BY user_key ORDER BY seq DESC) AS rn FROM cl WHERE run_id >= 3) WHERE rn = 1),
+mixed AS (SELECT user_key, seq, op, value FROM cl WHERE run_id < 3 UNION ALL SELECT * FROM newer),
+a AS (SELECT user_key, seq, op, value FROM (SELECT *, row_number() OVER (PARTITION BY user_key ORDER BY seq DESC) AS rn FROM mixed) WHERE rn = 1 AND op <> 0),
+b AS (SELECT user_key, seq, op, value FROM (SELECT *, row_number() OVER (PARTITION BY user_key ORDER BY seq DESC) AS rn FROM cl) WHERE rn = 1 AND op <> 0)
+SELECT (SELECT count(*) FROM a) AS n_after, (SELECT count(*) FROM b) AS n_before,
+       (SELECT count(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)) + (SELECT count(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)) AS n_differences""")
 def compaction_equivalence(spark, sf_dir):
-    """A store of which the newer half is compacted to level 1 reads the same as before."""
+    """A store of which the newer half is compacted to level 1 reads the same as before: live rows after and before, and how many differ."""
     log = changelog(spark, sf_dir)
     columns = ["cf_id", "user_key", "seq", "op", "value"]
     newer = compaction.compact(log.filter("run_id >= 3"), output_level=1).select(*columns)
     mixed = log.filter("run_id < 3").select(*columns).unionByName(newer)
-    found = compaction.differences(resolve.latest_wins(mixed).select(*columns), resolve.latest_wins(log).select(*columns))
-    return found.agg(F.count("*").alias("n_differences"))
+    after, before = (resolve.latest_wins(x).select(*columns) for x in (mixed, log))
+    sides = after.withColumn("_side", F.lit(1)).unionByName(before.withColumn("_side", F.lit(-1)))
+    rows = sides.groupBy(*columns).agg(F.sum((F.col("_side") == 1).cast("long")).alias("a"), F.sum((F.col("_side") == -1).cast("long")).alias("b"))
+    return rows.agg(*(F.coalesce(F.sum(x), F.lit(0)).cast("long").alias(n) for x, n in (("a", "n_after"), ("b", "n_before"), (F.abs(F.col("a") - F.col("b")), "n_differences"))))
 
 
 @query("""
@@ -517,13 +531,28 @@ def conflict_detect(spark, sf_dir):
     return batches.conflicts(changelog(spark, sf_dir), _batch(spark, sf_dir), 900).select("user_key", "last_seq")
 
 
+@query(f"""WITH {_BATCH}, ops AS (
+  SELECT user_key, seq, op, value FROM cl
+  UNION ALL SELECT user_key, 4611686018427387904 + ordinal, CASE WHEN op = 1 AND ordinal % 2 = 0 THEN 2 ELSE op END, CASE WHEN op = 1 THEN CAST(ordinal AS VARCHAR) END FROM batch),
+based AS (SELECT *, coalesce(max(CASE WHEN op < 2 THEN seq END) OVER (PARTITION BY user_key), -1) AS b FROM ops)
+SELECT user_key, max(seq) > 4611686018427387904 AS own, CASE WHEN count(*) FILTER (WHERE op = 2) = 0 THEN max(value) FILTER (WHERE op = 1)
+       ELSE CAST(CAST(sum(CAST(value AS BIGINT)) AS BIGINT) AS VARCHAR) END AS value
+FROM based WHERE seq >= b AND op <> 0 GROUP BY user_key""")
+def read_your_merges(spark, sf_dir):
+    """A batch of puts, deletions and counter merges, folded into what is stored."""
+    own = _batch(spark, sf_dir)
+    own = own.withColumns({"op": F.when((F.col("op") == 1) & (F.col("ordinal") % 2 == 0), 2).otherwise(F.col("op")), "value": F.when(F.col("op") == 1, F.col("ordinal").cast("string"))})
+    return batches.applied(changelog(spark, sf_dir), own, merge.CounterMerge()).select("user_key", "own", "value")
+
+
 @query("""
 WITH l AS (SELECT concat('u', CAST(user_id AS VARCHAR)) AS user_key, event_id % 40 AS txn_id, max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS w FROM events GROUP BY ALL)
-SELECT a.user_key, a.txn_id AS txn_a, b.txn_id AS txn_b FROM l a JOIN l b ON a.user_key = b.user_key AND a.txn_id < b.txn_id AND (a.w = 1 OR b.w = 1)""")
+SELECT a.user_key, a.txn_id, CASE WHEN a.w = 1 THEN 'WRITE' ELSE 'READ' END AS mode, count(b.txn_id) AS conflicts
+FROM l a LEFT JOIN l b ON a.user_key = b.user_key AND a.txn_id <> b.txn_id AND (a.w = 1 OR b.w = 1) GROUP BY a.user_key, a.txn_id, a.w""")
 def lock_compatibility(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     locks = events.select(F.lit(0).alias("cf_id"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("user_key"), (F.col("event_id") % 40).alias("txn_id"), F.when(F.col("event_type") == "purchase", "WRITE").otherwise("READ").alias("mode"))
-    return batches.lock_conflicts(locks).select("user_key", "txn_a", "txn_b")
+    return batches.lock_conflicts(locks).select("user_key", "txn_id", "mode", "conflicts")
 
 
 @query("""
@@ -536,17 +565,32 @@ def scalar_functions(spark, sf_dir):
     )
 
 
-@query()
+_CRC = """crc AS (
+  SELECT list(c ORDER BY b) AS t FROM (
+    SELECT b, list_reduce(list_prepend(b, range(8)), lambda h, k: xor(h >> 1, CASE WHEN h & 1 = 1 THEN 3988292384 ELSE 0 END)) AS c FROM (SELECT unnest(range(256)) AS b)))"""
+
+
+@query(f"""WITH {_CRC}
+SELECT seq, hex(encode(user_key)) || '0000' || lpad(hex(18446744073709551615::UBIGINT - seq::UBIGINT), 16, '0') || lpad(hex(op), 2, '0') AS internal_key,
+       array_to_string(list_transform(list_filter(range(0, 9), lambda i: i = 0 OR (seq >> (7 * i)::INTEGER) > 0),
+         lambda i: lpad(hex(((seq >> (7 * i)::INTEGER) & 127) + CASE WHEN (seq >> (7 * i + 7)::INTEGER) > 0 THEN 128 ELSE 0 END), 2, '0')), '') AS varint, seq AS back,
+       xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(user_key)), '..'), lambda x: ('0x' || x)::BIGINT)),
+         lambda h, b: xor(h >> 8, t[1 + (xor(h, b) & 255)])), 4294967295)::BIGINT AS crc
+FROM cl, crc""")
 def key_codecs(spark, sf_dir):
-    """Internal keys, varints and checksums, checked in tests against a model."""
+    """Internal keys, varints there and back, and checksums."""
     log = changelog(spark, sf_dir)
     return log.select(
         "seq", F.hex(scalars.internal_key(F.col("user_key"), F.col("seq"), F.col("op"))).alias("internal_key"), F.hex(scalars.varint(F.col("seq"))).alias("varint"), scalars.from_varint(scalars.varint(F.col("seq"))).alias("back"), scalars.checksum(F.col("user_key")).alias("crc")
     )
 
 
-@query()
+@query("""
+WITH RECURSIVE g AS (
+  SELECT c_custkey AS seed, 0 AS i, c_custkey::HUGEINT AS x FROM customer
+  UNION ALL SELECT seed, i + 1, (x * 1103515245 + 12345) % 18446744073709551616 FROM g WHERE i < 100)
+SELECT concat('key', lpad(CAST(seed AS VARCHAR), 8, '0')) AS user_key, string_agg(lpad(hex(((x // 65536) % 256)::INTEGER), 2, '0'), '' ORDER BY i) AS value FROM g WHERE i > 0 GROUP BY seed""")
 def generated_values(spark, sf_dir):
-    """Fixture values of 100 bytes for each customer, checked in tests against a model."""
+    """Fixture values of 100 bytes for each customer, in hexadecimal."""
     keys = table(spark, sf_dir, "customer").select(F.concat(F.lit("key"), F.lpad(F.col("c_custkey").cast("string"), 8, "0")).alias("user_key"), F.col("c_custkey").alias("seed"))
-    return keys.select("user_key", fixtures.lcg_bytes(F.col("seed"), 100).alias("value"))
+    return keys.select("user_key", F.hex(fixtures.lcg_bytes(F.col("seed"), 100)).alias("value"))
