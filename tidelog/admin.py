@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import time
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,25 +13,56 @@ from pyspark.sql import functions as F
 from .errors import Corruption, InvalidArgument, NotFound
 from .schema import PUT
 from .sources.files import Files
-from .store import ColumnFamily, Store, StoreOptions
+from .store import CODECS, ColumnFamily, Store, StoreOptions, _sealed
 
 
-def checkpoint(store: Store, path: str) -> None:
-    """A store of its own at path, which isn't there yet, with all column families as they are now."""
+def _write_store(store: Store, path: str, runs: list[dict]) -> None:
+    """A first commit at path that names these runs. Written last: what broke off before isn't a store."""
+    events = [{"event": "create", "cf_id": i, "name": n} for i, n in store._state.families.items() if i]
+    store.files.make_dir(f"{path}/commits")
+    first = {"families": events, "add": runs}
+    commits = [first, *({"late": cf_id} for cf_id in store._state.late)]
+    for n in range(len(commits), 0, -1):
+        store.files.create(f"{path}/commits/c{n:012d}.json", _sealed(json.dumps(commits[n - 1])), sync=store.options.sync)
+
+
+def _new_place(store: Store, path: str) -> str:
     path = path.rstrip("/")
     if store.files.exists(path):
         raise InvalidArgument(f"{path} is there already")
     store.flush()
-    state = store._state
-    adds = []
-    for run in state.runs.values():
-        target = f"{path}{run['path'].removeprefix(store.path)}" if run["path"].startswith(store.path) else f"{path}/runs/{run['run_id']}"
-        store.files.copy(run["path"], target)
-        adds.append(run | {"path": target})
-    events = [{"event": "create", "cf_id": i, "name": n} for i, n in state.families.items() if i]
-    store.files.make_dir(f"{path}/commits")
-    # Written last: a copy that broke off isn't a store.
-    store.files.create(f"{path}/commits/c{1:012d}.json", json.dumps({"families": events, "add": adds}))
+    return path
+
+
+def checkpoint(store: Store, path: str) -> None:
+    """A store of its own at path, which isn't there yet, with all column families as they are now.
+
+    Runs never change, so the new store names those of the old one and no byte of them is moved, however many there are. A
+    note in the old store keeps vacuum() away from them while the checkpoint is there. For a store that outlives the old one's
+    folder take a backup.
+    """
+    path = _new_place(store, path)
+    runs = list(store._state.runs.values())
+    pins: dict[str, list[str]] = {}
+    for run in runs:  # runs of a store that is a checkpoint itself may lie in another one
+        pins.setdefault(run["path"].split("/runs/")[0], []).append(run["path"])
+    for owner, paths in pins.items():
+        Store.open(store.spark, owner).pin(uuid.uuid4().hex, paths, path)
+    _write_store(store, path, runs)
+
+
+def copy_store(store: Store, path: str) -> None:
+    """A store of its own at path with its own runs: hard links where both are on one local disk, else copies by Spark tasks."""
+    path, runs = _new_place(store, path), []
+    for run in store._state.runs.values():
+        target = f"{path}/runs/cf_id={run['cf_id']}/level={run['level']}/{uuid.uuid4().hex}"
+        if not store.files.same(run["path"], target):
+            rows = store.spark.read.schema("user_key binary, seq bigint, op int, value binary").parquet(run["path"])
+            writer = rows.sortWithinPartitions("user_key", F.col("seq").desc()).write.option("compression", CODECS[store.options.compression])
+            writer.options(**store.options.filter_policy.writer_options("user_key")).parquet(target)
+            run = run | {"files": [["", run["smallest"], run["largest"]]], "bytes": store.files.size(target)}
+        runs.append(run | {"path": target})
+    _write_store(store, path, runs)
 
 
 @dataclass(frozen=True)
@@ -43,7 +75,7 @@ class BackupInfo:
 
 
 class BackupEngine:
-    """Numbered backups in a folder, each a checkpoint and a description."""
+    """Numbered backups in a folder, each a store with runs of its own and a description."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path, self.files = spark, path.rstrip("/"), Files(spark)
@@ -52,7 +84,7 @@ class BackupEngine:
     def create(self, store: Store) -> int:
         number = max([0, *(b.backup_id for b in self.list())]) + 1
         target = f"{self.path}/{number}"
-        checkpoint(store, f"{target}/store")
+        copy_store(store, f"{target}/store")
         runs = store._state.runs.values()
         info = BackupInfo(number, int(time.time()), store.path, len(runs), sum(r["bytes"] for r in runs))
         if not self.files.create(f"{target}/meta.json", json.dumps(vars(info))):
@@ -84,7 +116,7 @@ class BackupEngine:
         if self.files.exists(path):
             raise InvalidArgument(f"{path} is there already")
         backup = Store.open(self.spark, f"{self.path}/{number}/store", StoreOptions(create_if_missing=False))
-        checkpoint(backup, path)
+        copy_store(backup, path)
         return Store.open(self.spark, path, options)
 
 

@@ -42,21 +42,27 @@ class Files:
         finally:
             stream.close()
 
-    def create(self, path: str, text: str) -> bool:
-        """Put a whole file where there is none yet, as one step that only one writer can win. False if there is one."""
+    def create(self, path: str, text: str, *, sync: bool = True) -> bool:
+        """Put a whole file where there is none yet, as one step that only one writer can win. False if there is one.
+
+        sync: the bytes are on the disk before the file is in place.
+        """
         fs, p = self._at(path)
         if fs.exists(p):
             return False
         own = f"{path}.{self._jvm.java.util.UUID.randomUUID().toString()}.new"
         _, q = self._at(own)
+        local = fs.getUri().getScheme() == "file"
         try:
             stream = fs.create(q, False)
             try:
                 stream.write(bytearray(text.encode()))
+                if sync and not local:
+                    stream.hsync()
             finally:
                 stream.close()
-            if fs.getUri().getScheme() == "file":  # its rename would replace a file; a hard link does not
-                return self._link(q, p)
+            if local:  # its rename would replace a file; a hard link does not
+                return self._link(q, p, sync)
             context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self._conf)
             none = self._jvm.org.apache.hadoop.fs.Options.Rename.NONE
             options = self._jvm.java.lang.reflect.Array.newInstance(none.getClass(), 1)
@@ -70,19 +76,40 @@ class Files:
         finally:
             fs.delete(q, False)
 
-    def _link(self, source, target) -> bool:
+    def _link(self, source, target, sync: bool) -> bool:
         try:
+            if sync:
+                self._sync(source.toUri().getPath())
             os.link(source.toUri().getPath(), target.toUri().getPath())
+            if sync:
+                self._sync(os.path.dirname(target.toUri().getPath()))
             return True
         except FileExistsError:
             return False
 
+    @staticmethod
+    def _sync(path: str) -> None:
+        number = os.open(path, os.O_RDONLY)
+        try:
+            os.fsync(number)
+        finally:
+            os.close(number)
+
     def delete(self, path: str) -> None:
         fs, p = self._at(path)
         fs.delete(p, True)
 
-    def copy(self, source: str, target: str, *, move: bool = False) -> None:
-        a, p = self._at(source)
-        b, q = self._at(target)
-        if not self._jvm.org.apache.hadoop.fs.FileUtil.copy(a, p, b, q, move, self._conf):
-            raise IOFailure(f"{source} could not be copied to {target}")
+    def same(self, source: str, target: str) -> bool:
+        """Make target the same folder of files without moving a byte, by hard links; False where that can't be done."""
+        (a, p), (b, q) = self._at(source), self._at(target)
+        if a.getUri().getScheme() != "file" or b.getUri().getScheme() != "file":
+            return False
+        old, new = p.toUri().getPath(), q.toUri().getPath()
+        os.makedirs(new, exist_ok=True)
+        try:
+            for name in os.listdir(old):
+                os.link(os.path.join(old, name), os.path.join(new, name))
+            return True
+        except OSError:  # another disk
+            b.delete(q, True)
+            return False

@@ -3,25 +3,34 @@
 A commit is a file, numbered without gaps, that only one writer can create; it holds operations (the log), edits of the set
 of runs, and events of column families. The state is the fold of all commits. Small writes are operations in a commit;
 bulk writes and flushes are runs that a commit adds. Readers take the state they have; a DataFrame once made stays as it is.
+
+A commit file begins with a checksum of what follows. A snapshot holds the state that it was taken in, so it reads the runs and
+the buffer of that state, whatever is flushed or compacted later; vacuum() leaves runs alone that a live snapshot, a checkpoint
+or a backup names.
 """
 
 from __future__ import annotations
 
 import base64
+import copy
 import json
 import threading
 import time
 import uuid
+import weakref
+import zlib
+from collections import OrderedDict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from . import schema
-from .errors import Busy, Corruption, InvalidArgument, NotFound
+from .errors import Busy, Corruption, InvalidArgument, NotFound, Stalled
 from .operators import compaction, cursor, merge, resolve
+from .operators.bloom import BloomPolicy, FilterPolicy
 from .schema import DEFAULT_CF, DEFAULT_CF_ID, DELETE, MERGE, N_LEVELS, PUT
 from .sources.files import Files
 from .stats import Statistics
@@ -37,10 +46,18 @@ class StoreOptions:
     error_if_exists: bool = False
     write_buffer_bytes: int = 4 << 20
     compression: str = "snappy"
-    filter_bits_per_key: int = 10
+    filter_policy: FilterPolicy = field(default_factory=BloomPolicy)
     l0_trigger: int = compaction.L0_TRIGGER
     l0_stop: int = compaction.L0_STOP
     auto_compact: bool = True
+    #: Without auto_compact a write that finds level 0 full waits so long for another process to compact.
+    stall_timeout_s: float = 5.0
+    #: Commit files are on the disk before a write returns.
+    sync: bool = True
+    #: Stored bytes of the families that cache() may keep; the least recently read leave.
+    cache_bytes: int = 1 << 30
+    #: Opened sets of run files that are kept.
+    kept_readers: int = 64
     merge_operator: merge.MergeOperator | merge.ExpressionMerge | None = None
     families: dict[str, dict] = field(default_factory=dict)
 
@@ -51,12 +68,13 @@ class ColumnFamily:
     name: str
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class Snapshot:
-    """What a read may see: of each column family versions up to a seq."""
+    """What a read may see: the state of the store after a commit, with the newest seq of each column family."""
 
     commit: int
     seqs: dict[int, int]
+    state: _State | None = field(default=None, repr=False)
 
     def seq(self, cf_id: int = DEFAULT_CF_ID) -> int:
         return self.seqs.get(cf_id, 0)
@@ -111,6 +129,26 @@ def _unpack(x: str | None) -> bytes | None:
     return None if x is None else base64.b64decode(x)
 
 
+def _touches(lo: str, hi: str, smallest: bytes | None, largest: bytes | None) -> bool:
+    """Whether a range of packed keys meets the given one; None is no bound."""
+    return (largest is None or _unpack(lo) <= largest) and (smallest is None or _unpack(hi) >= smallest)
+
+
+def _packed_size(key: str, value: str | None) -> int:
+    """About the bytes of key and value."""
+    return (len(key) + len(value or "")) * 3 // 4
+
+
+def _sealed(text: str) -> str:
+    return f"{zlib.crc32(text.encode()):08x} {text}"
+
+
+def _opened(sealed: str, path: str) -> dict:
+    if f"{zlib.crc32(sealed[9:].encode()):08x} " != sealed[:9]:
+        raise Corruption(f"{path} doesn't match its checksum")
+    return json.loads(sealed[9:])
+
+
 class _State:
     """The fold of commits."""
 
@@ -122,6 +160,16 @@ class _State:
         self.seqs: dict[int, int] = {}
         self.runs: dict[int, dict] = {}
         self.log: list[list] = []  # [cf_id, seq, op, key, value], packed
+        self.log_bytes = 0
+        self.late: list[int] = []  # families that take in versions out of their order
+        self.streams: dict[str, int] = {}  # the last batch of each
+
+    def frozen(self) -> _State:
+        """This state as it is now; entries are shared, as none is ever changed."""
+        other = copy.copy(self)
+        for name in ("families", "seqs", "runs", "log", "late", "streams"):
+            setattr(other, name, copy.copy(getattr(self, name)))
+        return other
 
     def apply(self, number: int, commit: dict) -> None:
         for event in commit.get("families", ()):
@@ -134,9 +182,14 @@ class _State:
                 self.log = [x for x in self.log if x[0] != event["cf_id"]]
         for cf_id, seq, op, key, value in commit.get("ops", ()):
             self.log.append([cf_id, seq, op, key, value])
+            self.log_bytes += _packed_size(key, value)
             self.seqs[cf_id] = max(self.seqs.get(cf_id, 0), seq)
         for cf_id, upto in commit.get("flushed", {}).items():
             self.log = [x for x in self.log if x[0] != int(cf_id) or x[1] > upto]
+            self.log_bytes = sum(_packed_size(x[3], x[4]) for x in self.log)
+        if commit.get("late") is not None and commit["late"] not in self.late:
+            self.late.append(commit["late"])
+        self.streams.update(commit.get("stream", {}))
         for run in commit.get("remove", ()):
             self.runs.pop(run, None)
         for run in commit.get("add", ()):
@@ -149,9 +202,9 @@ class _State:
         return json.dumps(vars(self))
 
     @classmethod
-    def load(cls, text: str) -> _State:
+    def load(cls, found: dict) -> _State:
         self = cls()
-        vars(self).update(json.loads(text))
+        vars(self).update(found)
         self.families = {int(k): v for k, v in self.families.items()}
         self.seqs = {int(k): v for k, v in self.seqs.items()}
         self.runs = {int(k): v for k, v in self.runs.items()}
@@ -164,7 +217,9 @@ class Store:
         self.files, self.statistics = Files(spark), Statistics()
         self._lock = threading.RLock()
         self._state = _State()
-        self._cached: dict[int, tuple[int, DataFrame]] = {}
+        self._cached: OrderedDict[int, tuple[int, int, DataFrame]] = OrderedDict()
+        self._readers: OrderedDict[tuple, DataFrame] = OrderedDict()
+        self._snapshots: weakref.WeakSet[Snapshot] = weakref.WeakSet()
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, options: StoreOptions | None = None, families: Iterable[str] = ()) -> Store:
@@ -204,12 +259,20 @@ class Store:
             names = self.files.names(f"{self.path}/commits")
             known = sorted(int(n[1:-5]) for n in names if n.startswith("s") and n.endswith(".json"))
             if self._state.commit == 0 and known:
-                self._state = _State.load(self.files.read(self._commit_path(known[-1], "s")))
+                self._state = _State.load(self._read_sealed(self._commit_path(known[-1], "s")))
             there = sorted(int(n[1:-5]) for n in names if n.startswith("c") and n.endswith(".json"))
             for number in (n for n in there if n > self._state.commit):
                 if number != self._state.commit + 1:
                     raise Corruption(f"commit {self._state.commit + 1} is missing")
-                self._state.apply(number, json.loads(self.files.read(self._commit_path(number))))
+                self._state.apply(number, self._read_sealed(self._commit_path(number)))
+
+    def _read_sealed(self, path: str) -> dict:
+        return _opened(self.files.read(path), path)
+
+    def commits_after(self, number: int) -> Iterator[dict]:
+        """What was committed since, up to the state that is known, in order."""
+        for n in range(number + 1, self._state.commit + 1):
+            yield self._read_sealed(self._commit_path(n))
 
     def _commit_path(self, number: int, kind: str = "c") -> str:
         return f"{self.path}/commits/{kind}{number:012d}.json"
@@ -217,13 +280,15 @@ class Store:
     def _commit(self, commit: dict) -> None:
         """Put the next commit in place; Busy if another writer was first."""
         with self._lock:
-            number = self._state.commit + 1
-            if not self.files.create(self._commit_path(number), json.dumps(commit)):
+            number, text = self._state.commit + 1, _sealed(json.dumps(commit))
+            if not self.files.create(self._commit_path(number), text, sync=self.options.sync):
+                self.statistics.add(lost_races=1)
                 self.refresh()
                 raise Busy(f"commit {number} was taken by another writer")
+            self.statistics.add(commits=1, commit_bytes=len(text), commit_syncs=int(self.options.sync))
             self._state.apply(number, commit)
             if number % STATE_EVERY == 0:
-                self.files.create(self._commit_path(number, "s"), self._state.dump())
+                self.files.create(self._commit_path(number, "s"), _sealed(self._state.dump()), sync=self.options.sync)
 
     def _retried(self, make) -> None:
         """Commit what make() builds on the newest state, again if another writer was first."""
@@ -302,29 +367,82 @@ class Store:
 
         if not batch.ops:
             return
+        for cf_id in {c for c, *_ in batch.ops}:
+            self._make_room(cf_id)
         self._commit(make()) if after is not None else self._retried(make)
-        self.statistics.add(keys_written=len(batch), keys_deleted=sum(op == DELETE for _, op, _, _ in batch.ops), bytes_written=batch.data_size(), log_writes=1, log_bytes=batch.data_size())
-        if sum(len(x[3]) + len(x[4] or "") for x in self._state.log) * 3 // 4 >= self.options.write_buffer_bytes:
+        self.statistics.add(operations=len(batch), deletions=sum(op == DELETE for _, op, _, _ in batch.ops), operation_bytes=batch.data_size())
+        if self._state.log_bytes >= self.options.write_buffer_bytes:
             self.flush()
 
+    def _make_room(self, cf_id: int) -> None:
+        """A write that finds level 0 full compacts it, or waits until another process has."""
+        cf = ColumnFamily(cf_id, self._state.families[cf_id])
+        if not self.stalled(cf):
+            return
+        began = time.monotonic()
+        while self.stalled(cf):
+            if self.options.auto_compact:
+                self.compact_level(0, cf)
+            elif time.monotonic() - began >= self.options.stall_timeout_s:
+                raise Stalled(f"level 0 of {cf.name} is full")
+            else:
+                time.sleep(0.05)
+                self.refresh()
+        self.statistics.add(waits=1, wait_micros=int((time.monotonic() - began) * 1e6))
+
     def write_frame(self, rows: DataFrame, cf: ColumnFamily | None = None) -> None:
         """Bulk write of (user_key, value) and, if there, op and ordinal; without ordinal rows count in their order."""
         cf_id = self._cf(cf)
         order = F.col("ordinal").cast("long") if "ordinal" in rows.columns else F.monotonically_increasing_id() + 1
         op = F.col("op").cast("int") if "op" in rows.columns else F.lit(PUT)
         log = rows.select(F.lit(cf_id).alias("cf_id"), F.col("user_key").cast("binary").alias("user_key"), order.alias("seq"), op.alias("op"), F.when(op != DELETE, F.col("value").cast("binary")).alias("value"))
-        self._add_run(cf_id, log, restamp=True)
+        self._make_room(cf_id)
+        self._add_run(cf_id, log, restamp=True, fresh=True)
         self.maybe_compact(cf)
 
-    def _add_run(self, cf_id: int, rows: DataFrame, *, level: int = 0, restamp: bool = False, remove: Iterable[int] = (), flushed: int | None = None) -> dict | None:
-        """Write a run, then commit it. The path is fresh, so a failed attempt leaves no run. restamp: seqs count from the commit's."""
+    def write_versions(self, rows: DataFrame, cf: ColumnFamily | None = None, *, stream: str | None = None, batch: int = 0) -> bool:
+        """Take in versions (user_key, seq, op, value) that were numbered elsewhere; seq decides, however late they come.
+
+        stream and batch name a batch of a stream: one that has been taken in is skipped, and False returned. From then on
+        compactions keep the deletions of the family, as an older version may still come.
+        """
+        cf_id = self._cf(cf)
+        if stream is not None and self._state.streams.get(stream, -1) >= batch:
+            self.statistics.add(batches_skipped=1)
+            return False
+        log = rows.select(F.lit(cf_id).alias("cf_id"), F.col("user_key").cast("binary").alias("user_key"), F.col("seq").cast("long").alias("seq"), F.col("op").cast("int").alias("op"), F.when(F.col("op") != DELETE, F.col("value").cast("binary")).alias("value"))
+        self._make_room(cf_id)
+        self._add_run(cf_id, log, fresh=True, late=True, stream=None if stream is None else (stream, batch))
+        self.maybe_compact(cf)
+        return True
+
+    def _add_run(
+        self, cf_id: int, rows: DataFrame, *, level: int = 0, restamp: bool = False, remove: Iterable[int] = (), flushed: int | None = None, fresh: bool = False, late: bool = False, stream: tuple[str, int] | None = None
+    ) -> dict | None:
+        """Write a run, then commit it; returns what the commit says of it. The path is new, so a failed attempt leaves no run.
+
+        restamp: seqs count from the commit's. fresh: its versions are in no commit so far. Counts and bounds are observed while
+        the rows are written; only the keys of a run of several files are read again, for the bounds of each.
+        """
         path = f"{self.path}/runs/cf_id={cf_id}/level={level}/{uuid.uuid4().hex}"
-        writer = rows.drop("cf_id").sortWithinPartitions("user_key", F.col("seq").desc()).write.option("compression", CODECS[self.options.compression])
-        if self.options.filter_bits_per_key:
-            writer = writer.option("parquet.bloom.filter.enabled#user_key", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
-        writer.parquet(path)
-        meta = compaction.run_metadata(self.spark.read.parquet(path).withColumn("run_id", F.lit(0)))
-        found = meta.first()
+        seen = Observation()
+        size = F.octet_length("user_key") + F.coalesce(F.octet_length("value"), F.lit(0))
+        told = [F.count(F.lit(1)).alias("rows"), F.sum((F.col("op") == DELETE).cast("long")).alias("tombstones"), F.sum(size.cast("long")).alias("raw"), F.min("user_key").alias("lo"), F.max("user_key").alias("hi"), F.max("seq").alias("max_seq")]
+        writer = rows.drop("cf_id").sortWithinPartitions("user_key", F.col("seq").desc()).observe(seen, *told).write.option("compression", CODECS[self.options.compression])
+        writer.options(**self.options.filter_policy.writer_options("user_key")).parquet(path)
+        found = seen.get
+        run: dict | None = None
+        if found["rows"]:
+            names = [n for n in self.files.names(path) if n.endswith(".parquet")]
+            bounds = [(names[0], found["lo"], found["hi"])]
+            if len(names) > 1:
+                name = F.element_at(F.split(F.input_file_name(), "/"), -1)
+                keys = self.spark.read.schema("user_key binary").parquet(path).groupBy(name.alias("name"))
+                bounds = [tuple(r) for r in keys.agg(F.min("user_key"), F.max("user_key")).collect()]  # a row a file
+            run = {
+                "cf_id": cf_id, "level": level, "path": path, "rows": found["rows"], "tombstones": found["tombstones"], "bytes": self.files.size(path), "smallest": _pack(bytes(found["lo"])), "largest": _pack(bytes(found["hi"])),
+                "files": [[n, _pack(bytes(lo)), _pack(bytes(hi))] for n, lo, hi in sorted(bounds)],
+            }
         remove = list(remove)
 
         def make() -> dict:
@@ -333,17 +451,22 @@ class Store:
                 raise Busy("a run was compacted by another writer")
             if flushed is not None:
                 commit["flushed"] = {str(cf_id): flushed}
-            if found:
+            if stream is not None:
+                commit["stream"] = {stream[0]: stream[1]}
+            if late:
+                commit["late"] = cf_id
+            if run:
                 shift = self._state.seqs.get(cf_id, 0) if restamp else 0
-                commit["add"] = [
-                    {"run_id": self._state.next_run, "cf_id": cf_id, "level": level, "path": path, "shift": shift, "rows": found["n_rows"], "tombstones": found["tombstones"],
-                     "bytes": self.files.size(path), "smallest": _pack(bytes(found["smallest"])), "largest": _pack(bytes(found["largest"])), "max_seq": found["max_seq"] + shift}
-                ]
+                commit["add"] = [run | {"run_id": self._state.next_run, "shift": shift, "max_seq": found["max_seq"] + shift}]
+                if fresh:
+                    commit["fresh"] = True
             return commit
 
-        if found or remove or flushed is not None:
+        if run or remove or flushed is not None or stream is not None:
             self._retried(make)
-        return found
+        if run:
+            self.statistics.add(runs_written=1, run_rows=run["rows"], run_bytes=run["bytes"])
+        return run
 
     def flush(self, cf: ColumnFamily | None = None) -> None:
         """Turn logged operations into runs of level 0: all versions that count, deletions too."""
@@ -363,68 +486,123 @@ class Store:
         data = [(c, bytearray(_unpack(k)), s, op, None if v is None else bytearray(_unpack(v))) for c, s, op, k, v in rows]
         return self.spark.createDataFrame(data, schema.CHANGELOG)
 
-    def _run_frame(self, runs: list[dict]) -> DataFrame | None:
-        """Rows of runs; runs with the same shift of seqs are one scan."""
+    def _open(self, paths: list[str]) -> DataFrame:
+        """Rows of run files. Opening lists files and reads footers, so opened sets are kept, the least recently used go."""
+        key = tuple(paths)
+        self.statistics.add(readers_asked=1, readers_kept=int(key in self._readers))
+        if key not in self._readers:
+            self._readers[key] = self.spark.read.schema("user_key binary, seq bigint, op int, value binary").parquet(*paths)
+        self._readers.move_to_end(key)
+        while len(self._readers) > self.options.kept_readers:
+            self._readers.popitem(last=False)
+        return self._readers[key]
+
+    def _run_frame(self, runs: list[dict], smallest: bytes | None = None, largest: bytes | None = None) -> DataFrame | None:
+        """Rows of the runs' files that can hold a key of the range; runs with the same shift of seqs are one scan."""
         out = None
         for shift in sorted({r["shift"] for r in runs}):
-            paths = [r["path"] for r in runs if r["shift"] == shift]
-            cf_id = runs[0]["cf_id"]
-            rows = self.spark.read.schema("user_key binary, seq bigint, op int, value binary").parquet(*paths)
-            rows = rows.select(F.lit(cf_id).alias("cf_id"), "user_key", (F.col("seq") + shift).alias("seq"), "op", "value")
-            out = rows if out is None else out.unionByName(rows)
+            paths = []
+            for r in (r for r in runs if r["shift"] == shift):
+                names = [n for n, lo, hi in r["files"] if _touches(lo, hi, smallest, largest)]
+                paths += [r["path"]] if len(names) == len(r["files"]) else [f"{r['path']}/{n}" for n in names]  # a run copied by tasks is one entry
+            if paths:
+                rows = self._open(paths).select(F.lit(runs[0]["cf_id"]).alias("cf_id"), "user_key", (F.col("seq") + shift).alias("seq"), "op", "value")
+                out = rows if out is None else out.unionByName(rows)
         return out
 
-    def changelog(self, cf: ColumnFamily | None = None, *, smallest: bytes | None = None, largest: bytes | None = None) -> DataFrame:
-        """All versions of a column family; runs that can't hold a key of the range aren't read."""
-        cf_id = self._cf(cf)
-        runs = [r for r in self._state.runs.values() if r["cf_id"] == cf_id]
-        runs = [r for r in runs if (largest is None or _unpack(r["smallest"]) <= largest) and (smallest is None or _unpack(r["largest"]) >= smallest)]
-        log = self._frame([x for x in self._state.log if x[0] == cf_id])
-        rows = self._run_frame(runs)
+    def _seen(self, snapshot: Snapshot | None) -> _State:
+        """The state that a read goes by."""
+        if snapshot is None:
+            return self._state
+        if snapshot.state is None:
+            raise InvalidArgument("this snapshot was not taken by snapshot()")
+        return snapshot.state
+
+    def changelog(self, cf: ColumnFamily | None = None, *, snapshot: Snapshot | None = None, smallest: bytes | None = None, largest: bytes | None = None) -> DataFrame:
+        """All versions of a column family that are there; files that can't hold a key of the range aren't read."""
+        cf_id, state = self._cf(cf), self._seen(snapshot)
+        every = [r for r in state.runs.values() if r["cf_id"] == cf_id]
+        runs = [r for r in every if _touches(r["smallest"], r["largest"], smallest, largest)]
+        self.statistics.add(runs_considered=len(every), runs_left_out=len(every) - len(runs))
+        log = self._frame([x for x in state.log if x[0] == cf_id])
+        rows = self._run_frame(runs, smallest, largest)
         return log if rows is None else log.unionByName(rows)
 
     def resolved(self, cf: ColumnFamily | None = None, *, snapshot: Snapshot | None = None, smallest: bytes | None = None, largest: bytes | None = None) -> DataFrame:
         """Live rows (cf_id, user_key, seq, value), merges folded by the store's operator."""
-        if snapshot is None and self._cf(cf) in self._cached:
-            commit, rows = self._cached[self._cf(cf)]
-            self.statistics.add(blocks_loaded=1, blocks_cached=int(commit == self._state.commit))
+        self.statistics.add(scans=1)
+        cf_id = self._cf(cf)
+        if snapshot is None and cf_id in self._cached:
+            commit, _, rows = self._cached[cf_id]
+            self.statistics.add(cache_reads=1, cache_hits=int(commit == self._state.commit))
             if commit == self._state.commit:
+                self._cached.move_to_end(cf_id)
                 return rows
             self.uncache(cf)
-        log = self.changelog(cf, smallest=smallest, largest=largest)
-        return merge.fold(log, self.options.merge_operator, snapshot=None if snapshot is None else snapshot.seq(self._cf(cf)))
+        return merge.fold(self.changelog(cf, snapshot=snapshot, smallest=smallest, largest=largest), self.options.merge_operator)
 
     def cache(self, cf: ColumnFamily | None = None) -> DataFrame:
-        """Keep live rows in the executors' memory (and disk) until the next commit or uncache()."""
+        """Live rows, kept in the executors' memory (and disk) until the next commit or uncache(), if cache_bytes has room for them.
+
+        A family counts with the stored bytes of its runs and its buffer; those least recently read make room.
+        """
         self.uncache(cf)
-        rows = self.resolved(cf).persist(StorageLevel.MEMORY_AND_DISK)
-        self._cached[self._cf(cf)] = (self._state.commit, rows)
+        cf_id, rows = self._cf(cf), self.resolved(cf)
+        size = sum(r["bytes"] for r in self._state.runs.values() if r["cf_id"] == cf_id) + sum(_packed_size(x[3], x[4]) for x in self._state.log if x[0] == cf_id)
+        if size > self.options.cache_bytes:
+            return rows
+        while self._cached and size + sum(n for _, n, _ in self._cached.values()) > self.options.cache_bytes:
+            self._cached.popitem(last=False)[1][2].unpersist()
+            self.statistics.add(cache_evictions=1)
+        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+        self._cached[cf_id] = (self._state.commit, size, rows)
         return rows
 
     def uncache(self, cf: ColumnFamily | None = None) -> None:
         found = self._cached.pop(self._cf(cf), None)
         if found:
-            found[1].unpersist()
+            found[2].unpersist()
+
+    def clear_caches(self) -> None:
+        """Forget cached families and opened readers."""
+        while self._cached:
+            self._cached.popitem()[1][2].unpersist()
+        self._readers.clear()
 
     def cache_stats(self) -> dict[str, float]:
-        """Reads of cached column families, how many found the rows, and their share."""
-        loads, hits = self.statistics.blocks_loaded, self.statistics.blocks_cached
-        return {"reads": loads, "hits": hits, "hit_rate": hits / loads if loads else 0.0}
+        """Of cached families: reads, hits, their share, evictions, bytes; of readers: kept ones, and the share that was kept."""
+        s, rates = self.statistics, self.statistics.rates()
+        return {
+            "reads": s.cache_reads, "hits": s.cache_hits, "hit_rate": rates["cache"], "evictions": s.cache_evictions, "bytes": sum(n for _, n, _ in self._cached.values()),
+            "readers": len(self._readers), "reader_rate": rates["reader"],
+        }
+
+    def _buffered(self, cf_id: int, raw: bytes, state: _State) -> tuple[bool, bytes | None]:
+        """Whether the buffer alone says what key reads, and what that is. It is newer than every run, but for late versions."""
+        key = _pack(raw)
+        for c, _, op, k, value in reversed(state.log if cf_id not in state.late else []):
+            if c == cf_id and k == key:
+                return op != MERGE or self.options.merge_operator is None, None if op == DELETE else _unpack(value)
+        return False, None
 
     def get(self, key: bytes | str, cf: ColumnFamily | None = None, *, snapshot: Snapshot | None = None) -> bytes | None:
-        raw = _bytes(key)
-        log = self.changelog(cf, smallest=raw, largest=raw).filter(F.col("user_key") == F.lit(bytearray(raw)))
-        row = merge.fold(log, self.options.merge_operator, snapshot=None if snapshot is None else snapshot.seq(self._cf(cf))).first()
-        self.statistics.add(keys_read=1, run_hits=int(row is not None), run_misses=int(row is None), bytes_read=len(row["value"] or b"") if row else 0)
-        return None if row is None else bytes(row["value"])
+        """The live value of a key, or None. A key whose newest version is buffered takes no job."""
+        raw, cf_id = _bytes(key), self._cf(cf)
+        known, value = self._buffered(cf_id, raw, self._seen(snapshot))
+        if not known:
+            log = self.changelog(cf, snapshot=snapshot, smallest=raw, largest=raw).filter(F.col("user_key") == F.lit(bytearray(raw)))
+            row = merge.fold(log, self.options.merge_operator).first()
+            value = None if row is None else bytes(row["value"])
+        self.statistics.add(lookups=1, lookups_from_buffer=int(known), lookups_found=int(value is not None))
+        return value
 
     def multi_get(self, keys: DataFrame | Iterable[bytes | str], cf: ColumnFamily | None = None, *, snapshot: Snapshot | None = None) -> DataFrame:
         """Live rows of many keys, in one job; a DataFrame has them as user_key."""
         if not isinstance(keys, DataFrame):
             keys = self.spark.createDataFrame([(bytearray(_bytes(k)),) for k in keys], "user_key binary")
         want = keys.select(F.lit(self._cf(cf)).alias("cf_id"), F.col("user_key").cast("binary").alias("user_key")).distinct()
-        log = self.changelog(cf).join(want, list(resolve.KEY), "left_semi")
-        return merge.fold(log, self.options.merge_operator, snapshot=None if snapshot is None else snapshot.seq(self._cf(cf)))
+        log = self.changelog(cf, snapshot=snapshot).join(want, list(resolve.KEY), "left_semi")
+        return merge.fold(log, self.options.merge_operator)
 
     def scan(
         self, cf: ColumnFamily | None = None, *, start: bytes | str | None = None, end: bytes | str | None = None, prefix: bytes | str | None = None, reverse: bool = False, snapshot: Snapshot | None = None
@@ -443,11 +621,14 @@ class Store:
         return cursor.scan(rows, reverse=reverse)
 
     def iterator(self, cf: ColumnFamily | None = None, *, snapshot: Snapshot | None = None) -> Cursor:
-        self.statistics.add(iterations=1)
         return Cursor(self.resolved(cf, snapshot=snapshot))
 
     def snapshot(self) -> Snapshot:
-        return Snapshot(self._state.commit, dict(self._state.seqs))
+        """The store as it is now, for reads by this process; the runs it needs stay as long as it is referred to."""
+        state = self._state.frozen()
+        found = Snapshot(state.commit, state.seqs, state)
+        self._snapshots.add(found)
+        return found
 
     # Maintenance
 
@@ -479,37 +660,34 @@ class Store:
             raise InvalidArgument(f"level {level}")
         cf_id = self._cf(cf)
 
-        def touches(r: dict, lo: bytes | None, hi: bytes | None) -> bool:
-            return (hi is None or _unpack(r["smallest"]) <= hi) and (lo is None or _unpack(r["largest"]) >= lo)
-
-        upper = [r for r in self.level_files(level, cf) if touches(r, smallest, largest)]
+        upper = [r for r in self.level_files(level, cf) if _touches(r["smallest"], r["largest"], smallest, largest)]
         if not upper:
             return
         if level == 0:  # runs of level 0 overlap: an older one must not stay above a newer one
             upper = self.level_files(0, cf)
         lo, hi = min(_unpack(r["smallest"]) for r in upper), max(_unpack(r["largest"]) for r in upper)
-        lower = [r for r in self.level_files(level + 1, cf) if touches(r, lo, hi)]
+        lower = [r for r in self.level_files(level + 1, cf) if _touches(r["smallest"], r["largest"], lo, hi)]
         runs = [*upper, *lower]
         began = time.monotonic()
         rows = self._run_frame(runs)
+        bottom = level + 1 >= N_LEVELS - 1 and cf_id not in self._state.late
         if self.options.merge_operator is None:
-            merged = compaction.compact(rows, output_level=level + 1)
+            merged = compaction.compact(rows, output_level=level + 1 if bottom else 0)
         else:
             live = merge.since_base(rows)
             gone = resolve.newest(rows.filter(F.col("op") != MERGE)).filter(F.col("op") == DELETE)
-            merged = live if level + 1 >= N_LEVELS - 1 else live.unionByName(gone)
+            merged = live if bottom else live.unionByName(gone)
         size = sum(r["bytes"] for r in runs)
         parts = max(1, size // (128 << 20))
         if size >= compaction.MIN_SUBCOMPACTION_BYTES:
             merged = compaction.sorted_runs(merged, max(parts, compaction.SUBCOMPACTIONS))
         else:
             merged = merged.coalesce(1)
-        self._add_run(cf_id, merged, level=level + 1, remove=[r["run_id"] for r in runs])
-        written = sum(r["bytes"] for r in self.level_files(level + 1, cf))
-        split = size >= compaction.MIN_SUBCOMPACTION_BYTES
+        written = self._add_run(cf_id, merged, level=level + 1, remove=[r["run_id"] for r in runs])
         self.statistics.add(
-            compactions=1, files_compacted=len(runs), compaction_bytes_read=size, compaction_bytes_written=written, compaction_micros=int((time.monotonic() - began) * 1e6), parallel_compactions=int(split), sequential_compactions=int(not split)
-        )
+            compactions=1, split_compactions=int(size >= compaction.MIN_SUBCOMPACTION_BYTES), compacted_runs=len(runs), compaction_read_bytes=size, compaction_written_bytes=written["bytes"] if written else 0,
+            compaction_micros=int((time.monotonic() - began) * 1e6),
+        )
 
     def compact_range(self, smallest: bytes | str | None = None, largest: bytes | str | None = None, cf: ColumnFamily | None = None) -> None:
         """Flush, then bring all runs that touch the range down to the bottom level."""
@@ -521,9 +699,29 @@ class Store:
     def stalled(self, cf: ColumnFamily | None = None) -> bool:
         return len(self.level_files(0, cf)) >= self.options.l0_stop
 
+    def pin(self, name: str, paths: list[str], reader: str) -> None:
+        """Note that a store elsewhere reads these runs; the note counts as long as that store is there."""
+        self.files.make_dir(f"{self.path}/pins")
+        self.files.create(f"{self.path}/pins/{name}.json", _sealed(json.dumps({"reader": reader, "paths": paths})), sync=self.options.sync)
+
+    def _pinned(self) -> set[str]:
+        out: set[str] = set()
+        for name in self.files.names(f"{self.path}/pins"):
+            path = f"{self.path}/pins/{name}"
+            note = self._read_sealed(path) if name.endswith(".json") else None
+            if note and self.files.exists(note["reader"]):
+                out |= set(note["paths"])
+            elif note:
+                self.files.delete(path)
+        return out
+
     def vacuum(self) -> int:
-        """Delete folders of runs that no commit names any more; returns how many. Readers of older states end to work."""
-        live = {r["path"].rsplit("/", 1)[-1] for r in self._state.runs.values()}
+        """Delete folders of runs that nothing names any more: no commit, snapshot or checkpoint; returns how many.
+
+        DataFrames made from older states end to work.
+        """
+        states = [self._state, *(s.state for s in self._snapshots if s.state)]
+        live = {r["path"].rsplit("/", 1)[-1] for state in states for r in state.runs.values()} | {p.rsplit("/", 1)[-1] for p in self._pinned()}
         n = 0
         for cf in self.files.names(f"{self.path}/runs"):
             for level in self.files.names(f"{self.path}/runs/{cf}"):
@@ -531,6 +729,7 @@ class Store:
                     if name not in live:
                         self.files.delete(f"{self.path}/runs/{cf}/{level}/{name}")
                         n += 1
+        self._readers.clear()
         return n
 
     # Introspection

@@ -26,12 +26,14 @@ def read_log(spark: SparkSession, path: str, schema: str = LOG, *, files_per_bat
 
 
 def into_store(stream: DataFrame, store: Store, checkpoint: str, cf: ColumnFamily | None = None) -> StreamingQuery:
-    """Each micro-batch's newest versions become a run. A batch that is repeated after a failure writes the same versions again."""
+    """Each micro-batch's newest versions become a run, with the seqs that they came with, so a late one never hides a newer one.
 
-    def append(rows: DataFrame, _: int) -> None:
-        newest = compaction.flush(rows, key=["user_key"]).select("user_key", "value", "op", F.col("seq").alias("ordinal"))
-        if not newest.isEmpty():
-            store.write_frame(newest, cf)
+    The commit of a batch names it, by the checkpoint; a batch that is repeated after a failure is skipped.
+    """
+
+    def append(rows: DataFrame, batch: int) -> None:
+        newest = compaction.flush(rows, key=["user_key"]).select("user_key", "seq", "op", "value")
+        store.write_versions(newest, cf, stream=checkpoint, batch=batch)
 
     return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
