@@ -3,11 +3,13 @@
 import random
 import zlib
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from tidelog.functions import fixtures, scalars
-from tidelog.operators import batch, bloom, compaction, cursor, manifest, merge, resolve
+from tidelog.operators import batch, bloom, compaction, cursor, manifest, merge, ranges, resolve
+from tidelog.stats import percentiles
 
 LOG = "cf_id int, user_key binary, seq long, op int, value binary"
 
@@ -136,6 +138,82 @@ def test_cursor(spark):
     assert at(cursor.seek(rows.filter("false"), F.lit(bytearray(b"a")))) == []
 
 
+@pytest.mark.parametrize("reuse", ["true", "false"])
+def test_neighbours_of_many_rows(spark, reuse):
+    """Ranges are fixed, so boundaries agree whether Spark computes the rows once or twice, with columns beside the key or without."""
+    spark.conf.set("spark.sql.exchange.reuse", reuse)
+    try:
+        n = 300_000
+        rows = spark.range(n).select(F.format_string("k%08d", F.pmod(F.col("id") * 7919, F.lit(n)) * 3).alias("user_key"), F.col("id").alias("value")).repartition(7)
+        for df in (rows, rows.select("user_key")):
+            near = cursor.neighbours(df, 16)
+            at = F.substring("user_key", 2, 8).cast("long")
+            wrong = near.filter(~F.col("prev_key").eqNullSafe(F.when(at > 0, F.format_string("k%08d", at - 3))) | ~F.col("next_key").eqNullSafe(F.when(at < 3 * n - 3, F.format_string("k%08d", at + 3))))
+            assert near.count() == n and wrong.count() == 0
+        probes = spark.range(0, 3 * n, 17).select(F.format_string("k%08d", F.col("id")).alias("probe"))
+        found = cursor.batch_seek_for_prev(rows, probes.union(probes.limit(3)))
+        at = F.substring("probe", 2, 8).cast("long")
+        assert found.count() == probes.count() + 3 and found.filter(~F.col("user_key").eqNullSafe(F.format_string("k%08d", at - at % 3))).count() == 0
+        tiles = compaction.subcompaction_ranges(rows, 7).orderBy("tile").collect()
+        assert sum(t["n_keys"] for t in tiles) == n and max(t["n_keys"] for t in tiles) - min(t["n_keys"] for t in tiles) <= 1
+        got = {r["percentile"]: r["value"] for r in percentiles(rows, "value", [0.0, 50.0, 99.9]).collect()}
+        assert got == {0.0: 0.0, 50.0: n / 2, 99.9: float(n * 999 // 1000)}
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+
+
+def test_ranges(spark):
+    rows = spark.createDataFrame([(x,) for x in [None, *range(1000)]], "x long")
+    cuts = ranges.splitters(rows, "x", 50)
+    assert 40 <= len(cuts) < 50
+    got = rows.select("x", ranges.number(F.col("x"), cuts).alias("r")).collect()
+    assert all(r["r"] == (0 if r["x"] is None else sum(c <= r["x"] for c in cuts)) for r in got)
+    assert ranges.splitters(rows.filter("x < 0"), "x") == []
+
+
+def test_overlap_pairs_of_many_runs(spark):
+    r = random.Random(2)
+    files = [(i, r.randrange(3), *sorted(f"{r.randrange(500):04}" for _ in range(2))) for i in range(150)]
+    frame = spark.createDataFrame(files, "run_id long, level int, smallest string, largest string")
+    want = {(a[0], b[0]) for a in files for b in files if a[0] < b[0] and a[1] == b[1] and a[2] <= b[3] and b[2] <= a[3]}
+    found = [(x["run_a"], x["run_b"]) for x in compaction.overlap_pairs(frame, ["level"]).collect()]
+    assert len(found) == len(set(found)) and set(found) == want
+
+
+def test_partial_merge_of_a_custom_operator(spark, monkeypatch):
+    """Operands are joined by stretches before full_merge, in the order of seq; where that gives None they stay."""
+
+    class Join(merge.MergeOperator):
+        def full_merge(self, key, base, operands):
+            return b"|".join([base or b"-", *operands])
+
+        def partial_merge(self, key, operands):
+            return None if key == b"b" else b"+".join(operands)
+
+    monkeypatch.setattr(merge, "OPERANDS", 10)
+    rows = [(1, b"a", b"0"), *((2, b"a" if i % 2 else b"b", str(i).encode()) for i in range(30))]
+    got = live(merge.fold(make(spark, rows), Join()))
+    assert got[b"a"].startswith(b"0|") and got[b"a"].replace(b"+", b"|") == b"|".join([b"0", *(str(i).encode() for i in range(1, 30, 2))]) and 1 <= got[b"a"].count(b"|") <= 4
+    assert got[b"b"] == b"|".join([b"-", *(str(i).encode() for i in range(0, 30, 2))])
+    part = {bytes(r["user_key"]): r["value"] and bytes(r["value"]) for r in merge.partial_fold(make(spark, rows), Join()).collect()}
+    assert part == {b"a": b"+".join(str(i).encode() for i in range(1, 30, 2)), b"b": None}
+
+
+def test_filter_policies(spark, tmp_path):
+    class Twice(bloom.FilterPolicy):
+        def writer_options(self, column):
+            return {f"parquet.bloom.filter.enabled#{column}": "true", f"parquet.bloom.filter.expected.ndv#{column}": "1000"}
+
+    assert bloom.NoFilter().writer_options("k") == {} and "parquet.bloom.filter.fpp#k" in bloom.BloomPolicy(10).writer_options("k")
+    with pytest.raises(ValueError):
+        bloom.BloomPolicy(0)
+    for n, policy in enumerate((bloom.NoFilter(), bloom.BloomPolicy(10), bloom.BloomPolicy(20), Twice())):
+        path = f"{tmp_path}/{n}"
+        spark.range(5000).select(F.col("id").cast("string").cast("binary").alias("k")).coalesce(1).write.options(**policy.writer_options("k")).parquet(path)
+        file = next(p for p in (tmp_path / str(n)).iterdir() if p.suffix == ".parquet")
+        assert (pq.read_metadata(file).row_group(0).column(0).to_dict().get("has_bloom_filter", None) in (None, n > 0)) and spark.read.parquet(path).filter("k = X'3432'").count() == 1
+
+
 def test_runs_and_levels(spark):
     files = spark.createDataFrame([(i, 0, 0, 100, 10, b"a", b"c") for i in range(5)] + [(9, 1, 0, 30 << 20, 10, b"b", b"d"), (8, 6, 0, 1 << 40, 1, b"x", b"z")], "run_id long, level int, cf_id int, bytes long, rows long, smallest binary, largest binary")
     scores = {r["level"]: r["score"] for r in compaction.level_scores(files).collect()}
@@ -200,7 +278,10 @@ def test_batches_and_locks(spark):
     assert {bytes(r["user_key"]) for r in batch.conflicts(log, frame, 1).collect()} == {b"b"}
     assert batch.last_in_batch(frame).count() == 2
     locks = spark.createDataFrame([(0, "k", 1, "READ"), (0, "k", 2, "READ"), (0, "k", 3, "WRITE"), (1, "k", 4, "WRITE"), (0, "k", 1, "READ")], "cf_id int, user_key string, txn_id long, mode string")
-    assert {(r["txn_a"], r["txn_b"]) for r in batch.lock_conflicts(locks).collect()} == {(1, 3), (2, 3)}
+    assert {(r["cf_id"], r["txn_id"]): (r["mode"], r["conflicts"]) for r in batch.lock_conflicts(locks).collect()} == {(0, 1): ("READ", 1), (0, 2): ("READ", 1), (0, 3): ("WRITE", 2), (1, 4): ("WRITE", 0)}
+    more = [(1, 0, bytearray(b"a"), 2, bytearray(b"5")), (2, 0, bytearray(b"z"), 2, bytearray(b"7")), (3, 0, bytearray(b"b"), 0, None), (4, 0, bytearray(b"b"), 2, bytearray(b"2"))]
+    own = batch.applied(log, spark.createDataFrame(more, frame.schema), merge.CounterMerge())
+    assert {bytes(r["user_key"]): (bytes(r["value"]), r["own"]) for r in own.collect()} == {b"a": (b"6", True), b"b": (b"2", True), b"c": (b"1", False), b"z": (b"7", True)}
 
 
 def test_scalars(spark):
