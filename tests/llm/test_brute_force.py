@@ -67,15 +67,26 @@ def test_exact_dedup_survives_digest_collisions(spark):
     assert Counter(map(tuple, weak.select(*columns).collect())) == Counter(map(tuple, strong.select(*columns).collect()))
 
 
-def test_index_lookup(spark):
-    docs = some_docs(spark)
-    entries = docs.select("doc_id", (-exact.F.length(common.text_of())).cast("long").alias("_rank"), exact.sha256(exact.normalised(common.text_of())).alias("digest"))
-    index = exact.DigestIndex(spark, memtable_rows=10)
-    index.ingest(entries, entries.count())
-    before = index.lookup([hashlib.sha256(b"").digest()]).count()
-    index.compact()
-    found = index.lookup([hashlib.sha256(b"").digest()]).collect()
-    assert before >= 1 and len(found) == 1 and found[0]["n"] == 3
+def test_index_filters(spark):
+    """Runs that can't hold a digest are not opened, and only digests that two runs may hold are merged."""
+    from pyspark.sql import functions as F
+
+    rows = [(i, data.words(9, i % 900)) for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    entries = common.saved(docs.select("doc_id", (-F.length("text")).cast("long").alias("_rank"), exact.sha256(exact.normalised(F.col("text"))).alias("digest")))
+    index = exact.DigestIndex(spark, memtable_rows=100)
+    index.ingest(entries, 1000)
+    assert len(index.runs) == 10
+    held = {bytes(r["digest"]): (set(r["runs"]), set(r["_runs"])) for r in index.may_hold(index.level0().groupBy("digest").agg(F.collect_set("_run").alias("runs"))).collect()}
+    assert len(held) == 900 and all(true <= said for true, said in held.values())
+    assert sum(len(said - true) for true, said in held.values()) < 0.05 * 900 * 9
+    one = hashlib.sha256(data.words(9, 500).replace(" ", "").encode()).digest()
+    opened = {f.split("/_run=")[1].split("/")[0] for f in index.lookup([one]).inputFiles()}
+    assert opened == {str(i) for i in held[one][1]} and len(opened) < 10 and [r["n"] for r in index.lookup([one]).collect()] == [1]
+    assert index.lookup([b"not there"]).count() == 0
+    level = index.compact()
+    two = hashlib.sha256(data.words(9, 50).replace(" ", "").encode()).digest()
+    assert level.count() == 900 and [r["n"] for r in index.lookup([two]).collect()] == [2] and level.agg(F.sum("n")).first()[0] == 1000
 
 
 def test_mixing(spark):

@@ -1,17 +1,17 @@
-"""Exact dedup over a log-structured merge index of text digests.
+"""Exact dedup over a log-structured merge index of text digests, in DataFrame operations only.
 
-Documents go through memtables of bounded size: of the rows of a memtable that have the same digest, the best identifier
-and a count stay. Each memtable is flushed as a run, a Parquet folder whose files are sorted by digest and carry a Bloom
-filter on it. Compaction merges all runs into one level and keeps the best identifier of each digest. Documents then
-probe the index, and the hits, which are the rows whose digest occurs more than once, are verified byte by byte: within
-a digest, the least and the greatest normalised text must be the same string. If ever they are not, the rows of that
-digest are grouped by the text itself.
+Documents go through memtables: of the rows of a memtable that have the same digest, the best identifier and a count stay. Each
+memtable is flushed as a run, whose files are sorted by digest, and gets a filter: a Bloom filter in pages of 4 KB, all bits of a
+digest in one page. There are as many runs as memtables of MEMTABLE_ROWS, at most RUNS; beyond that memtables grow, and as all
+tasks share in each of them, what one task holds doesn't.
 
-Up to MEMTABLE_ROWS documents there is one memtable and one run, and compaction merges nothing. The probe is a join with
-the whole level: each document's digest is in it, so a Bloom filter could leave out none. Filters serve lookup() only.
+Compaction sends the digests of each run through the filters of all other runs. What no other run may hold is final as it stands;
+only the rest is merged by a shuffle, where the best identifier of each digest stays and counts add up. So most documents
+are known to be alone by a filter. The others probe the compacted level by their digest, and are verified byte by byte: within
+a digest the least and the greatest normalised text must be the same string, else the rows of that digest are grouped by
+the text itself. Only texts of documents with a shared digest are read and normalised again.
 
-Everything is DataFrame operations. Hot digests shrink in the memtables and are joined back by a broadcast that the
-pigeonhole principle bounds; see common.hot_join.
+Hot digests shrink in the memtables and are joined back by a broadcast that the pigeonhole principle bounds; see common.hot_join.
 
 Defined results: a null text is an empty one; the row with the most code points stays, then the smallest doc_id, null
 last; rows that agree in doc_id and text are of one group and share keep_id, and each is marked as kept that has it;
@@ -30,8 +30,12 @@ from . import common
 
 #: The white space that does not count, [\x20\x09-\x0D].
 BLANKS = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
-#: Documents that a memtable takes before it is flushed.
-MEMTABLE_ROWS = 1 << 24
+#: Documents that a memtable takes before it is flushed, while there are at most RUNS runs.
+MEMTABLE_ROWS, RUNS = 1 << 14, 16
+#: Of a run's filter: bits for each digest, bits that a digest sets, and bits of a page (the size of Spark's bitmaps).
+BITS, PROBES, PAGE_BITS = 10, 4, 32768
+
+_ENTRY = "digest binary, best struct<r: bigint, n: boolean, id: bigint>, n bigint"
 
 
 def normalised(text: Column) -> Column:
@@ -49,41 +53,77 @@ def _best() -> Column:
     return F.min(F.struct(F.col("_rank").alias("r"), F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id")))
 
 
+def _bit(page: Column, at: Column) -> Column:
+    """Whether a bit of a bitmap is set."""
+    byte = F.conv(F.hex(F.substring(page, F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    return F.getbit(byte, at.bitwiseAND(7)) == 1
+
+
 class DigestIndex:
-    """Runs of (digest, best, n), each sorted by digest, in a folder; level 0 as flushed, level 1 compacted."""
+    """Runs of (digest, best, n), each sorted by digest, in a folder; level 0 as flushed, with filters; level 1 compacted."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, memtable_rows: int = MEMTABLE_ROWS):
         self.spark, self.memtable_rows = spark, memtable_rows
         self.path = path or f"{common.scratch_dir(spark)}/lsm-{uuid.uuid4().hex}"
         self.runs: list[str] = []
+        self.pages = 1
 
     def ingest(self, entries: DataFrame, rows: int) -> None:
-        """entries (doc_id, _rank, digest): deal them to memtables, sum each up, flush each as a run, all in one job."""
-        memtables = max(1, -(-rows // self.memtable_rows))
-        dealt = entries.withColumn("_run", F.pmod(F.xxhash64("doc_id"), F.lit(memtables)))
+        """entries (doc_id, _rank, digest): deal them to memtables, sum each up, flush each as a run, and build the filters."""
+        memtables = max(1, min(RUNS, -(-rows // self.memtable_rows)))
+        dealt = entries.withColumn("_run", F.pmod(F.xxhash64("doc_id"), F.lit(memtables)).cast("int"))
         merged = dealt.groupBy("_run", "digest").agg(_best().alias("best"), F.count("*").alias("n"))
-        self._flush(merged.sortWithinPartitions("_run", "digest"), 0, True)
-
-    def compact(self) -> None:
-        """Merge all runs into one; of each digest the best identifier stays, counts add up."""
-        merged = self.read().groupBy("digest").agg(F.min("best").alias("best"), F.sum("n").alias("n"))
-        old, self.runs = self.runs, []
-        self._flush(merged.sortWithinPartitions("digest"), 1, False, old)
-
-    def _flush(self, df: DataFrame, level: int, by_run: bool, replaces: list[str] = ()) -> None:
-        path = f"{self.path}/L{level}-{uuid.uuid4().hex[:12]}"
-        out = df.write.options(**{"compression": "zstd", "parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.max.bytes": str(1 << 20)})
-        (out.partitionBy("_run") if by_run else out).parquet(path)
-        self.runs.append(path)
-        self.stale = list(replaces)
+        flushed = f"{self.path}/L0"
+        merged.sortWithinPartitions("_run", "digest").write.option("compression", "zstd").partitionBy("_run").parquet(flushed)
+        self.runs = [f"{flushed}/_run={i}" for i in range(memtables)] if rows else []
+        self.pages = max(1, -(-rows * BITS // (memtables * PAGE_BITS)))
+        bits = self._placed(self.level0().select("_run", "digest")).select("_run", "_page", F.explode("_bits").alias("bit"))
+        bits.groupBy("_run", "_page").agg(F.bitmap_construct_agg("bit").alias("bits")).write.parquet(f"{self.path}/filters")
+
+    def level0(self) -> DataFrame:
+        return self.spark.read.schema(f"{_ENTRY}, _run int").parquet(f"{self.path}/L0")
+
+    def _placed(self, digests: DataFrame) -> DataFrame:
+        """digests with the page and the bits that a filter has for each."""
+        bits = F.array(*(F.pmod(F.xxhash64("digest", F.lit(i)), F.lit(PAGE_BITS)) for i in range(PROBES)))
+        return digests.withColumns({"_page": F.pmod(F.xxhash64("digest"), F.lit(self.pages)), "_bits": bits})
+
+    def may_hold(self, digests: DataFrame) -> DataFrame:
+        """digests with _runs: the runs whose filter doesn't rule a digest out. A page of all runs, at most RUNS x 4 KB, is a row."""
+        pages = self.spark.read.schema("_run int, _page bigint, bits binary").parquet(f"{self.path}/filters")
+        pages = pages.groupBy("_page").agg(F.collect_list(F.struct("_run", "bits")).alias("_filters"))
+        found = self._placed(digests).join(common.maybe_broadcast(common.saved(pages)), "_page", "left")
+
+        def set_in(f: Column) -> Column:
+            at = [F.element_at("_bits", i + 1).cast("int") for i in range(PROBES)]
+            return _bit(f["bits"], at[0]) & _bit(f["bits"], at[1]) & _bit(f["bits"], at[2]) & _bit(f["bits"], at[3])
+
+        runs = F.transform(F.filter(F.coalesce("_filters", F.expr("cast(array() as array<struct<_run: int, bits: binary>>)")), set_in), lambda f: f["_run"])
+        return found.select(*digests.columns, runs.alias("_runs"))
+
+    def compact(self) -> DataFrame:
+        """The compacted level: of each digest the best identifier, and the sum of its counts. Only digests that another run may hold are merged."""
+        probed = common.saved(self.may_hold(self.level0()).withColumn("_elsewhere", F.size(F.array_remove("_runs", F.col("_run"))) > 0).drop("_runs"))
+        merged = probed.filter("_elsewhere").groupBy("digest").agg(F.min("best").alias("best"), F.sum("n").alias("n"))
+        level = probed.filter("NOT _elsewhere").select("digest", "best", "n").unionByName(merged)
+        level.sortWithinPartitions("digest").write.options(**{"compression": "zstd", "parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.max.bytes": str(1 << 20)}).parquet(f"{self.path}/L1")
+        self.runs = [f"{self.path}/L1"]
+        return self.read()
 
     def read(self) -> DataFrame:
-        schema = "digest binary, best struct<r: bigint, n: boolean, id: bigint>, n bigint"
-        return self.spark.read.schema(schema).parquet(*self.runs)
+        return self.spark.read.schema(_ENTRY).parquet(*self.runs) if self.runs else self.spark.createDataFrame([], _ENTRY)
 
     def lookup(self, digests: list[bytes]) -> DataFrame:
-        """Index rows of a few digests; Parquet's statistics and Bloom filters leave out files and row groups."""
-        return self.read().filter(F.col("digest").isin([bytearray(d) for d in digests]))
+        """Index rows of a few digests. Of level 0 only runs whose filter lets one of them pass are opened; of level 1 files and row
+        groups are left out by Parquet's own filters."""
+        want = [bytearray(d) for d in digests]
+        runs = self.runs
+        if any("/_run=" in r for r in runs):
+            held = self.may_hold(self.spark.createDataFrame([(d,) for d in want], "digest binary"))
+            numbers = {i for r in held.select("_runs").collect() for i in r["_runs"]}  # of the digests asked for
+            runs = [r for i, r in enumerate(self.runs) if i in numbers]
+        rows = self.spark.read.schema(_ENTRY).parquet(*runs) if runs else self.spark.createDataFrame([], _ENTRY)
+        return rows.filter(F.col("digest").isin(want))
 
 
 def dedup(
@@ -92,24 +132,27 @@ def dedup(
     """One row per document: doc_id, keep_id, group_size, kept, digest (of the normalised text)."""
     spark = docs.sparkSession
     text = common.text_of()
-    source = docs.select("doc_id", (-F.length(text)).cast("long").alias("_rank"), normalised(text).alias("_norm"))
-    source = source.withColumn("digest", digest(F.col("_norm")))
-    entries = common.saved(source.drop("_norm"))
+
+    def hashed(rows: DataFrame) -> DataFrame:
+        return rows.select("doc_id", (-F.length(text)).cast("long").alias("_rank"), normalised(text).alias("_norm")).withColumn("digest", digest(F.col("_norm")))
+
+    entries = common.saved(hashed(docs).drop("_norm"))
     total = entries.count()
     index = DigestIndex(spark, path, memtable_rows)
     index.ingest(entries, total)
-    index.compact()
-    level = index.read()
-    shared = level.filter("n > 1").select("digest")
-    hits = source.join(common.maybe_broadcast(shared), "digest", "left_semi")
+    level = index.compact()
+    alone = level.filter("n = 1").select(F.col("best.id").alias("doc_id"), F.col("best.r").alias("_rank"), "digest", "best", "n")
+    shared = common.saved(level.filter("n > 1"))
+    hits = common.saved(common.hot_join(entries.join(common.maybe_broadcast(shared.select("digest")), "digest", "left_semi"), shared, "digest", "n", total))
     # Not one group of hits meets in a task: each task sends the least and greatest text of a digest.
-    unlike = hits.groupBy("digest").agg(F.min("_norm").alias("_a"), F.max("_norm").alias("_b")).filter("_a != _b").select("digest")
+    again = common.maybe_broadcast(hits.select(F.col("doc_id").alias("_hit")).distinct())
+    texts = hashed(docs.join(again, docs["doc_id"].eqNullSafe(F.col("_hit")), "left_semi"))
+    unlike = texts.groupBy("digest").agg(F.min("_norm").alias("_a"), F.max("_norm").alias("_b")).filter("_a != _b").select("digest")
     unlike = common.saved(unlike)
-    out = common.hot_join(entries, level, "digest", "n", total)
-    out = _result(out, F.col("best.id"), F.col("n"))
+    out = _result(alone.unionByName(hits.select(*alone.columns)), F.col("best.id"), F.col("n"))
     if unlike.isEmpty():
         return out
-    clash = source.join(common.maybe_broadcast(unlike), "digest", "left_semi")
+    clash = hashed(docs).join(common.maybe_broadcast(unlike), "digest", "left_semi")
     groups = clash.groupBy("_norm").agg(_best().alias("best"), F.count("*").alias("n"))
     apart = common.hot_join(clash, groups, "_norm", "n", total)
     return out.join(common.maybe_broadcast(unlike), "digest", "left_anti").unionByName(_result(apart, F.col("best.id"), F.col("n")))
