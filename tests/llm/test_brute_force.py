@@ -203,6 +203,28 @@ def test_jaccard_join(spark, group, hot):
     assert got == brute_components(rows_of(docs))
 
 
+def test_jaccard_join_of_words_built_to_collide(spark):
+    """Words that a polynomial modulo 2^64 can't tell apart, whatever its base: a Thue-Morse word and its complement."""
+    flip = str.maketrans("ab", "ba")
+    texts = []
+    for n in (256, 1024, 2048, 8192):
+        word = "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+        texts += [word, word.translate(flip), f"one {word} two three four five", f"one {word.translate(flip)} two three four five"]
+    docs = data.table(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)])
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows_of(jaccard.join(docs))) == brute_components([{"doc_id": i, "text": t} for i, t in enumerate(texts)])
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    ends = np.cumsum([len(t) for t in texts])
+    for column in bytetext.span_hashes(raw, ends - [len(t) for t in texts], ends, wide=True):
+        assert len(set(column.tolist())) == len(texts)
+
+
+def test_jaccard_join_with_clashing_class_names(spark):
+    """With names of six bits nearly all classes share one; their checks keep them apart."""
+    docs = some_docs(spark, 120)
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows_of(jaccard.join(docs, bits=6)))
+    assert got == brute_components(rows_of(docs))
+
+
 def test_jaccard_near_the_threshold(spark):
     """Chains of edits whose similarity lies on both sides of 0.8."""
     r = random.Random(8)
@@ -639,6 +661,100 @@ def test_preferences(spark):
     assert [(m["start"], m["end"]) for m in got[-1]["chosen_mask"]] == [(14, 24)]
 
 
+def brute_preferences(turns):
+    """Of turns (conv_id, turn, role, text): each pair's ids, prompt turns, texts and spans that are learnt."""
+    chats = defaultdict(list)
+    for c, t, role, text in turns:
+        if c is not None:
+            chats[c].append((t is None, t or 0, role or "", text or ""))
+    out = {}
+    for pair in {c // 2 for c in chats}:
+        sides = [[(role, text) for _, _, role, text in sorted(chats.get(c, []))] for c in (2 * pair, 2 * pair + 1)]
+        n = 0
+        while all(len(s) > n for s in sides) and sides[0][n] == sides[1][n]:
+            n += 1
+
+        def render(rows):
+            return "".join(f"<|{role}|>\n{text}<|end|>\n" for role, text in rows)
+
+        prompt, masks = render(sides[0][:n]), []
+        for side in sides:
+            at, spans = len(prompt), []
+            for role, text in side[n:]:
+                end = at + len(render([(role, text)]))
+                if role == "assistant":
+                    spans.append((at + len(f"<|{role}|>\n"), end))
+                at = end
+            masks.append(tuple(spans))
+        ids = [c if c in chats else None for c in (2 * pair, 2 * pair + 1)]
+        out[pair] = (*ids, n, prompt, *(render(s[n:]) for s in sides), *masks)
+    return out
+
+
+def test_preferences_of_random_chats(spark):
+    """Also with columns that have the names of results and of the operator's own columns."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(9)
+    turns = []
+    for pair in range(-5, 60):
+        shared = [(r.choice(["user", "assistant", "", None]), r.choice(["a", "bb", "é😀", "", None, data.words(200, pair)])) for _ in range(r.randint(0, 4))]
+        for c in (2 * pair, 2 * pair + 1):
+            rows = shared[: r.randint(0, len(shared))] + [(r.choice(["user", "assistant"]), data.words(r.randint(0, 4), r.randrange(6))) for _ in range(r.randint(0, 3))]
+            turns += [(c, t if r.random() < 0.9 else None, role, text) for t, (role, text) in enumerate(rows)]
+    frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(4)
+    frame = frame.withColumns({c: F.lit(f"own {c}") for c in ("pair_id", "side", "at", "n_prompt", "prompt", "part", "rows", "chosen", "p", "c", "r", "learn", "head")})
+    got = {x["pair_id"]: x for x in rows_of(chat.preferences(frame, chat.adjacent_pairs(frame)))}
+    names = ("chosen_id", "rejected_id", "n_prompt", "prompt", "chosen", "rejected")
+    assert {k: (*(x[n] for n in names), *(tuple((m["start"], m["end"]) for m in x[n]) for n in ("chosen_mask", "rejected_mask"))) for k, x in got.items()} == brute_preferences(turns)
+
+
+def brute_statistics(raw):
+    """The row of statistics of one text, by plain Python."""
+    n = len(raw)
+    words = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+    lines = [x for x in raw.split(b"\n") if x]
+    some, rows = max(1, len(words)), max(1, len(lines))
+    classes = [
+        lambda b: b < 128 and chr(b).isalpha(), lambda b: 65 <= b <= 90, lambda b: 48 <= b <= 57, lambda b: b >= 128, lambda b: 32 < b < 127 and not chr(b).isalnum(), lambda b: chr(b) in "aeiouyAEIOUY", lambda b: b in b"\x20\x09\x0a\x0b\x0c\x0d",
+        *((lambda b, c=c: b == ord(c)) for c in "|!?%$&*#.,;:-_=+<>/\\@\"'()[]{}~^`"),
+    ]
+    shares = [sum(map(f, raw)) / max(1, n) for f in classes]
+    length = [len(w) for w in words]
+    mean = sum(length) / some
+    lower = Counter(bytes(b + 32 if 65 <= b <= 90 else b for b in w) for w in words)
+    return [
+        *shares, np.log1p(n), np.log1p(len(words)), mean, max(0, sum(x * x for x in length) / some - mean * mean) ** 0.5, max(length, default=0), sum(x > 20 for x in length) / some,
+        sum(65 <= w[0] <= 90 for w in words) / some, sum(w[-1] in b"!%$&*#|?" for w in words) / some, len(lower) / some, max(lower.values(), default=0) / some, n / rows, len(lines) / some, (len(lines) - len(set(lines))) / rows,
+        -sum(c / n * np.log2(c / n) for c in Counter(raw).values()),
+    ]
+
+
+def test_statistics_of_texts():
+    texts = [t or "" for t in data.odd_texts()] + ["A line\nA line\n\nB! c? $5\n", "the The THE a b"]
+    for _, _, raw, offsets in bytetext.batches(pa.array(texts)):
+        found = quality.statistics(raw, offsets)
+        assert found.shape == (len(texts), len(quality.NAMES))
+        for i, t in enumerate(texts):
+            np.testing.assert_allclose(found[i], np.array(brute_statistics(t.encode()), dtype=np.float32), rtol=1e-4, atol=1e-5, err_msg=repr(t[:40]))
+
+
+def test_quality_takes_one_row_a_document(spark):
+    """Rows that repeat a labelled doc_id don't reach the driver, and the bound holds to the row."""
+    import tidelog.llm.quality as module
+
+    seen = []
+    rows = [(i % 40, f"text {i} " + data.words(20, i), "en", "s", 0) for i in range(400)]
+    docs, labels = data.table(spark, rows), spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    fit, module.fit = module.fit, lambda x, y, **k: seen.append(len(y))
+    try:
+        quality.train(docs, labels)
+        quality.train(docs, labels, rows=7)
+    finally:
+        module.fit = fit
+    assert seen[0] == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(40)) and seen[1] == 7
+
+
 def test_trees_learn_and_flatten():
     r = np.random.default_rng(0)
     x = r.normal(size=(3000, 6)).astype(np.float32)

@@ -93,6 +93,42 @@ def test_queries_run(spark, name):
     assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").limit(5).collect()
 
 
+def tables(tmp_path, docs, benchmark, known):
+    for name, df in (("documents", docs), ("benchmark", benchmark), ("labels", known)):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    return str(tmp_path)
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows and columns that clash go through all stages."""
+    docs = data.docs(spark, clash=True)
+    sf = tables(tmp_path, docs, bench(spark), labels(spark))
+    kept = docs
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        before, kept = kept, common.saved(stage(spark, kept, sf))
+        assert kept.columns == docs.columns and kept.select("text").distinct().count() <= before.select("text").distinct().count() + 4
+        assert {r["kept"] for r in kept.select("kept").collect()} <= {"own kept"}
+    assert corpus_pipeline.run(spark, sf).count() == kept.count()
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    sf = tables(tmp_path, data.empty(spark), bench(spark, ()), labels(spark, ()))
+    assert corpus_pipeline.run(spark, sf).collect() == []
+
+
+def test_broadcasts_are_bounded_by_bytes(spark, monkeypatch):
+    rows = spark.range(10).select("id", F.expr("transform(sequence(1, 100), i -> struct(i AS a, i AS b))").alias("spans"), F.lit("é" * 10).alias("s"))
+
+    def broadcast(df):
+        return "hint" in common.maybe_broadcast(df)._jdf.queryExecution().logical().toString().lower()
+
+    assert broadcast(rows)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 10_000)
+    assert not broadcast(rows) and broadcast(rows.drop("spans"))
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 5)
+    assert not broadcast(rows.drop("spans"))
+
+
 def test_pipeline(spark):
     """Stage by stage: what goes is what each stage is for, and clean documents stay."""
     sf = "/root/testdata/sf0.001"

@@ -89,7 +89,7 @@ def _pass(shared):
         for batch in batches:
             names = batch.schema.names
             column = {n: batch.column(i) for i, n in enumerate(names)}
-            rows = []
+            counts, changed = [], {}
             for a, b, data, offsets in bytetext.batches(column["text"]):
                 data = bytetext.LOWER[data]
                 starts, ends, first = bytetext.word_spans(WORD_BYTE[data], offsets)
@@ -99,16 +99,23 @@ def _pass(shared):
                     row = int(np.searchsorted(first, i, "right")) - 1
                     ranges.setdefault(row, []).append((i - int(first[row]), i - int(first[row]) + n))
                     items.setdefault(row, set()).add(block.names[item])
-                for row in range(b - a):
+                counts.append(np.diff(first))
+                for row in ranges:  # only rows with a hit become Python objects
                     old, had = column["hit_words"][a + row].as_py(), column["items"][a + row].as_py()
                     merged: list[list[int]] = []
-                    for s, e in sorted([*map(tuple, old), *set(ranges.get(row, ()))]) if row in ranges else old:
+                    for s, e in sorted([*map(tuple, old), *set(ranges[row])]):
                         if merged and s <= merged[-1][1]:
                             merged[-1][1] = max(merged[-1][1], e)
                         else:
                             merged.append([s, e])
-                    rows.append((int(first[row + 1] - first[row]), sum(e - s for s, e in merged), sorted({*had, *items.get(row, ())}), merged))
-            fresh = {n: pa.array([r[k] for r in rows], type=t) for k, (n, t) in enumerate(RESULT.items())}
+                    changed[a + row] = (sum(e - s for s, e in merged), sorted({*had, *items[row]}), merged)
+            fresh = {"n_words": pa.array(np.concatenate([*counts, np.zeros(0, np.int64)]))}
+            if changed:
+                at = np.arange(batch.num_rows)
+                at[list(changed)] = batch.num_rows + np.arange(len(changed))
+                for k, n in enumerate(("n_hit", "items", "hit_words")):
+                    new = pa.array([r[k] for r in changed.values()], type=RESULT[n])
+                    fresh[n] = pa.concat_arrays([column[n].cast(RESULT[n]), new]).take(pa.array(at))
             yield pa.RecordBatch.from_arrays([fresh.get(n, column[n]) for n in names], names)
 
     return scan

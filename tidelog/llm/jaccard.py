@@ -25,12 +25,14 @@ blocks, and each pair of blocks is searched. Links meet in a distributed search
 
 Defined results: null and wordless texts have size 0 and no link, component_id is their own doc_id; texts with fewer than
 five words are one shingle; equal rows are linked (their sets are equal); null doc_ids are never a component_id unless all
-are null. Hashes of shingles and classes have 64 bits; classes with the same 64 bits count as equal.
+are null. Shingles are compared by 64 bits; the filters go by 48 of them, which can only let more classes meet. Classes are
+named by 64 bits and checked by 64 others; names that unlike sets share are told apart by both, in a second signing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -88,11 +90,26 @@ def shingle_sets(column: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
                 yield np.zeros(0, np.uint64)
 
 
-def class_id(hashes: np.ndarray) -> int:
-    if not len(hashes):
-        return 0
-    total = bytetext.mix64(hashes ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
-    return int(bytetext.mix64(np.array([total + np.uint64(len(hashes))], dtype=np.uint64)).astype(np.int64)[0])
+#: By rule: what the hashes of a set are mixed with for its class and for the check of the class.
+_SALTS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
+
+
+@dataclass(frozen=True)
+class Classes:
+    """Names of sets: 64 bits, and 64 others as a check. Names that sets with unlike checks share are clashing; there both count."""
+
+    bits: int = 64
+    clashing: frozenset[int] = frozenset()
+
+    def of(self, hashes: np.ndarray) -> tuple[int, int]:
+        if not len(hashes):
+            return 0, 0
+        sums = np.array([bytetext.mix64(hashes ^ np.uint64(salt)).sum(dtype=np.uint64) for salt in _SALTS]) + np.uint64(len(hashes))
+        name, check = bytetext.mix64(sums)
+        name >>= np.uint64(64 - self.bits)
+        if int(name.astype(np.int64)) in self.clashing:
+            name = bytetext.mix64(np.array([name ^ check]))[0]
+        return int(name.astype(np.int64)), int(check.astype(np.int64))
 
 
 def targets(spark: SparkSession, parts: int) -> list[int]:
@@ -112,7 +129,7 @@ def _batch(schema: str, *values) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([v], pa.int64() if t == "long" else pa.binary()) for v, (_, t) in zip(values, fields, strict=True)], [n for n, _ in fields])
 
 
-_FIRST = "doc_id long, n long, cid long, batch long, target long, cids binary, ns binary, counts binary, hashes binary"
+_FIRST = "doc_id long, n long, cid long, check long, batch long, target long, cids binary, ns binary, counts binary, hashes binary"
 #: Targets of rows that aren't packs of hashes.
 _DOCUMENTS, _FREQUENT = -2, -1
 
@@ -137,10 +154,10 @@ def _packs(goals: list[int], batch: int, hashes: np.ndarray, owner: np.ndarray,
     for g in np.flatnonzero(np.diff(cuts)):
         rows = order[cuts[g] : cuts[g + 1]]
         who, count = np.unique(owner[rows], return_counts=True)
-        yield _batch(_FIRST, None, None, None, batch, goals[g], known[who].tobytes(), sizes[who].astype("<u4").tobytes(), count.astype("<u4").tobytes(), _packed(hashes[rows]))
+        yield _batch(_FIRST, None, None, None, None, batch, goals[g], known[who].tobytes(), sizes[who].astype("<u4").tobytes(), count.astype("<u4").tobytes(), _packed(hashes[rows]))
 
 
-def _sign(goals: list[int], words: int):
+def _sign(goals: list[int], words: int, names_of: Classes):
     """A row for each document; for each batch and target packed hashes of its classes, and its frequent hashes."""
     names = [c.split()[0] for c in _FIRST.split(", ")]
 
@@ -150,16 +167,17 @@ def _sign(goals: list[int], words: int):
             if not len(ids):
                 continue
             number = batch.column(batch.schema.get_field_index("_row"))[0].as_py()
-            ns, cids, sent, seen = [], [], [], {}
+            ns, cids, checks, sent, seen = [], [], [], [], {}
             for found in shingle_sets(batch.column(batch.schema.get_field_index("text")), words):
-                n, cid = len(found), class_id(found)
+                n, (cid, check) = len(found), names_of.of(found)
                 ns.append(n)
                 cids.append(cid)
+                checks.append(check)
                 if n and cid not in seen:
                     seen[cid] = n
                     sent.append(found[: int(_sent(np.int64(n)))] >> np.uint64(16))
             fixed = [pa.array(np.full(len(ids), x), pa.int64()) for x in (number, _DOCUMENTS)]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(ns, pa.int64()), pa.array(cids, pa.int64()), *fixed, *(pa.nulls(len(ids), pa.binary()) for _ in range(4))], names)
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(x, pa.int64()) for x in (ns, cids, checks)), *fixed, *(pa.nulls(len(ids), pa.binary()) for _ in range(4))], names)
             if not sent:
                 continue
             hashes, owner = np.concatenate(sent), np.repeat(np.arange(len(sent), dtype=np.uint32), [len(x) for x in sent])
@@ -171,7 +189,7 @@ def _sign(goals: list[int], words: int):
             times = np.diff(np.append(at, len(once)))
             often = times >= max(2, len(sent) // common.HOT_PARTS)
             if often.any():
-                yield _batch(_FIRST, None, None, None, number, _FREQUENT, None, None, times[often].astype("<u4").tobytes(), once[at[often]].tobytes())
+                yield _batch(_FIRST, None, None, None, None, number, _FREQUENT, None, None, times[often].astype("<u4").tobytes(), once[at[often]].tobytes())
 
     return sign
 
@@ -204,10 +222,10 @@ def _route(shared, goals: list[int], hot: bool):
                 if hot:
                     yield from _send(goals, known[owner[rows]], sizes[owner[rows]], hashes[rows], np.full(len(rows), 0xFFFFFFFF, np.uint32), known[owner[rows]])
                 elif len(rows) == len(hashes):
-                    yield _batch(_FIRST, None, None, None, number, target, cids, ns, counts, raw)
+                    yield _batch(_FIRST, None, None, None, None, number, target, cids, ns, counts, raw)
                 else:
                     who, left = np.unique(owner[rows], return_counts=True)
-                    yield _batch(_FIRST, None, None, None, number, target, known[who].tobytes(), sizes[who].tobytes(), left.astype("<u4").tobytes(), _packed(hashes[rows]))
+                    yield _batch(_FIRST, None, None, None, None, number, target, known[who].tobytes(), sizes[who].tobytes(), left.astype("<u4").tobytes(), _packed(hashes[rows]))
 
     return route
 
@@ -391,13 +409,13 @@ def link(sets: list[np.ndarray]) -> np.ndarray:
 _SETS = "cid long, n long, hashes binary"
 
 
-def _sets(words: int):
+def _sets(words: int, names_of: Classes):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = {}
             for found in shingle_sets(batch.column(batch.schema.get_field_index("text")), words):
                 if len(found):
-                    rows[class_id(found)] = found
+                    rows[names_of.of(found)[0]] = found
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(rows), pa.int64()), pa.array([len(r) for r in rows.values()], pa.int64()), pa.array([r.tobytes() for r in rows.values()], pa.binary())], ["cid", "n", "hashes"]
             )
@@ -480,16 +498,25 @@ def _reduce(large: DataFrame, tight: int) -> tuple[DataFrame, list[DataFrame]]:
     return large, links
 
 
-def join(docs: DataFrame, *, words: int = WORDS, group: int = GROUP, tight: int = TIGHT, hot: int = HOT) -> DataFrame:
-    """One row per document: doc_id, n_shingles, class_id (of its set), component_id."""
+def join(docs: DataFrame, *, words: int = WORDS, group: int = GROUP, tight: int = TIGHT, hot: int = HOT, bits: int = 64) -> DataFrame:
+    """One row per document: doc_id, n_shingles, class_id (of its set), component_id. bits: of a class's name, fewer in tests."""
     spark = docs.sparkSession
     common.small_batches(spark)
     parts = common.parallelism(spark)
     goals = targets(spark, parts)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text"))
-    signed = common.saved(rows.withColumn("_row", F.monotonically_increasing_id()).mapInArrow(_sign(goals, words), _FIRST))
-    members = signed.filter(F.col("target") == _DOCUMENTS).select("doc_id", "n", "cid", "batch")
-    classes = common.saved(members.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.min("batch").alias("batch")))
+    names_of = Classes(bits)
+    while True:
+        signed = common.saved(rows.withColumn("_row", F.monotonically_increasing_id()).mapInArrow(_sign(goals, words, names_of), _FIRST))
+        members = signed.filter(F.col("target") == _DOCUMENTS).select("doc_id", "n", "cid", "check", "batch")
+        own = [F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.min("batch").alias("batch")]
+        classes = common.saved(members.groupBy("cid").agg(*own, F.min("check").alias("_lo"), F.max("check").alias("_hi")))
+        # Chance: one name in 4 billion sets, about; so few names come here, and once.
+        clashing = frozenset(r["cid"] for r in classes.filter("_lo <> _hi").select("cid").collect())
+        if not clashing:
+            break
+        names_of = replace(names_of, clashing=names_of.clashing | clashing)
+    members, classes = members.drop("check"), classes.drop("_lo", "_hi")
     total, n_classes = classes.agg(F.coalesce(F.sum("copies"), F.lit(0)), F.count("*")).first()
 
     counts = signed.filter(F.col("target") == _FREQUENT).select("hashes", "counts").mapInArrow(_frequent, "h long, n long")
@@ -509,7 +536,7 @@ def join(docs: DataFrame, *, words: int = WORDS, group: int = GROUP, tight: int
 
     maybe = common.saved(classes.join(candidates, classes["cid"] == candidates["node"]).select("cid", "rep", "n", F.col("root").alias("comp")))
     wanted = rows.join(common.maybe_broadcast(maybe.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi")
-    sets = wanted.unionByName(rows.filter("doc_id IS NULL")).mapInArrow(_sets(words), _SETS)
+    sets = wanted.unionByName(rows.filter("doc_id IS NULL")).mapInArrow(_sets(words, names_of), _SETS)
     placed = sets.join(common.maybe_broadcast(maybe.select("cid", "comp")), "cid")
     large = common.saved(_sizes(maybe).filter(F.col("_size") > tight).select("comp"))
     n_large = large.count()

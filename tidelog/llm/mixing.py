@@ -64,6 +64,8 @@ def mix(
     own = [F.struct(*(F.col(c) for c in carry)).alias("_own")] if carry else []
     rows = docs.select("doc_id", "source", *own, words(F.col("text")).alias("size"), mix_key(F.col("doc_id"), seed).alias("_key"))
     rows = rows.withColumn("_bin", F.shiftright(F.shiftright("_key", 29) * bins, 31))
+    if not carry:  # a few numbers a document, written once, so that texts are read and counted once
+        rows = common.saved(rows)
     # At most 4 x partitions bins a source: what a hot source is cut into.
     binned = common.saved(rows.groupBy("source", "_bin").agg(F.sum("size").alias("_words")))
     goals = targets(binned.groupBy("source").agg(F.sum("_words").alias("source_size")), weights, share, epochs)

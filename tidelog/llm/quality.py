@@ -1,11 +1,12 @@
 """Quality classifier: histogram gradient-boosted trees over document statistics.
 
 Statistics come from the bytes of a whole text alone: shares of classes of bytes, lengths of words and lines, repetition.
-The trees are fitted on at most TRAIN_ROWS labelled documents (a documented bound; the sample is drawn by a hash of doc_id),
+The trees are fitted on at most TRAIN_ROWS labelled documents (a documented bound; those with the least hashes of doc_id),
 then flattened into arrays; a document is scored by walking all trees at once, a level a step, in numpy.
 
 Defined results: a null text counts as empty, and empty texts get the score of their statistics, which are zeros; a null
-doc_id is the empty text where its checksum is taken; of repeated labels of a doc_id the least counts; without labels,
+doc_id is the empty text where its checksum is taken; of repeated labels of a doc_id the least counts, of repeated documents
+the one whose text has the least hash; without labels,
 or with one kind of label only, every score is the (smoothed) share of good labels, 0.5 if there are none.
 """
 
@@ -22,7 +23,7 @@ from pyspark.sql import types as T
 
 from . import bytetext, common
 
-#: Labelled documents that the trees are fitted on, as expected.
+#: Labelled documents that the trees are fitted on, at most.
 TRAIN_ROWS = 20_000
 TREES, DEPTH, BINS, RATE = 80, 4, 64, 0.2
 
@@ -161,20 +162,21 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b, data, offsets in bytetext.batches(text):
             x = statistics(data, offsets)
             flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("label")).slice(a, b - a), flat], ["label", "x"])
+            own = [batch.column(batch.schema.get_field_index(n)).slice(a, b - a) for n in ("doc_id", "label", "h")]
+            yield pa.RecordBatch.from_arrays([*own, flat], ["doc_id", "label", "h", "x"])
 
 
 def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", rows: int = TRAIN_ROWS) -> Trees:
-    """Fit on labelled documents that aren't held out; about rows of them if there are more."""
+    """Fit on labelled documents that aren't held out; on at most so many rows, one a doc_id."""
     common.small_batches(docs.sparkSession)
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.min(F.col(label).cast("int")).alias("label"))
-    n = known.count()
-    if n > rows:
-        known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * rows / n))
-    # Bounded by rows, or by n when that is less
-    chosen = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("label", "text")
-    found = chosen.mapInArrow(_measure, "label int, x array<float>").toArrow()
+    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    chosen = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # at most rows of them
+    # Measured first, so that no text is moved; then one row a doc_id
+    order = F.xxhash64(common.text_of())
+    measured = chosen.select("doc_id", "label", order.alias("h"), "text").mapInArrow(_measure, "doc_id long, label int, h long, x array<float>")
+    found = measured.groupBy("doc_id").agg(F.min_by(F.struct("label", "x"), "h").alias("r")).orderBy("doc_id").select("r.label", "r.x").toArrow()
     x = np.asarray(found["x"].combine_chunks().flatten(), dtype=np.float32).reshape(-1, len(NAMES))
     return fit(x, np.asarray(found["label"], dtype=np.float64))
 
