@@ -1,4 +1,10 @@
-"""From raw documents to token files: five stages, each an operator of tidelog.llm on all that the stage before kept."""
+"""From raw documents to token files: five stages, each an operator of tidelog.llm on all that the stage before kept.
+
+Defined results, beside those in the operators' docstrings: a null text counts as an empty one in every stage; rows without
+doc_id, or that share one, are rows of their own, of which a component of near duplicates keeps one; columns of documents come
+through the first four stages as they are, whatever their names, but for text and n_chars of a document that the mix cuts; an
+empty table gives an empty result, and without labels all documents that the classifier scores 0.5 or more stay.
+"""
 
 from __future__ import annotations
 
