@@ -25,7 +25,8 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: all repeated chunks counted, and the text that is left; spans as "start-end", joined by commas."""
     out = substrings.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     spans = F.array_join(F.transform("removed", lambda x: F.concat(x["start"], F.lit("-"), x["end"])), ",")
-    return out.select("doc_id", "n_bytes", "n_chunks", "n_repeated", "repeated_bytes", "removed_bytes", spans.alias("removed"), "first_ids", "text")
+    firsts = F.array_join(F.transform("first_ids", lambda x: x.cast("string")), ",")
+    return out.select("doc_id", "n_bytes", "n_chunks", "n_repeated", "repeated_bytes", "removed_bytes", spans.alias("removed"), firsts.alias("first_ids"), "text")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,6 +139,56 @@ named AS (
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM words LEFT JOIN marked USING (r) LEFT JOIN named USING (r)""",
+    "op3_substring_dedup": r"""
+WITH m0 AS (SELECT range AS v, (range + 1)::UBIGINT AS x FROM range(256)),
+m1 AS (SELECT v, ((xor(x, x >> 33)::UHUGEINT * 18397679294719823053::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT AS x FROM m0),
+m2 AS (SELECT v, ((xor(x, x >> 33)::UHUGEINT * 14181476777654086739::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT AS x FROM m1),
+gear AS (SELECT v, (xor(x, x >> 33) >> 48)::BIGINT AS g FROM m2),
+d AS (
+  SELECT doc_id, row_number() OVER (ORDER BY doc_id NULLS LAST) AS r, strlen(coalesce(text, ''))::BIGINT AS n, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS hx
+  FROM documents),
+u AS (SELECT r, unnest(regexp_extract_all(hx, '..')) AS h, unnest(range(0, n)) AS k FROM d),
+b AS (SELECT r, k, ('0x' || h)::BIGINT AS v FROM u),
+rolled AS (
+  SELECT r, k, (g + lag(g, 1, 0) OVER w * 2 + lag(g, 2, 0) OVER w * 4 + lag(g, 3, 0) OVER w * 8 + lag(g, 4, 0) OVER w * 16 + lag(g, 5, 0) OVER w * 32
+    + lag(g, 6, 0) OVER w * 64 + lag(g, 7, 0) OVER w * 128 + lag(g, 8, 0) OVER w * 256 + lag(g, 9, 0) OVER w * 512 + lag(g, 10, 0) OVER w * 1024
+    + lag(g, 11, 0) OVER w * 2048 + lag(g, 12, 0) OVER w * 4096 + lag(g, 13, 0) OVER w * 8192 + lag(g, 14, 0) OVER w * 16384 + lag(g, 15, 0) OVER w * 32768) % 65536 AS h
+  FROM b JOIN gear USING (v) WINDOW w AS (PARTITION BY r ORDER BY k)),
+proposed AS (SELECT r, k + 1 AS p FROM rolled WHERE k >= 15 AND h < 4096),
+cuts AS (SELECT r, p FROM (SELECT *, lag(p) OVER (PARTITION BY r ORDER BY p) AS q FROM proposed) WHERE q IS NULL OR p - q >= 12),
+ends AS (SELECT r, p FROM cuts UNION SELECT r, n FROM d WHERE n > 0),
+whole AS (SELECT r, lag(p, 1, 0) OVER (PARTITION BY r ORDER BY p) AS s, p AS e FROM ends),
+pieces AS (SELECT r, e, unnest(range(s, e, 128)) AS a FROM whole),
+chunks AS (
+  SELECT d.r, a, least(a + 128, e) AS z, substr(hx, 2 * a + 1, 2 * (least(a + 128, e) - a)) AS x, row_number() OVER (PARTITION BY d.r ORDER BY a) AS i FROM pieces JOIN d USING (r)),
+edges AS (
+  SELECT r, k, v, v = 32 OR v BETWEEN 9 AND 13 AS blank, lag(v, 1, 32) OVER (PARTITION BY r ORDER BY k) AS before, lead(v, 1, 32) OVER (PARTITION BY r ORDER BY k) AS after FROM b),
+begins AS (SELECT r, k, row_number() OVER (PARTITION BY r ORDER BY k) AS i FROM edges WHERE NOT blank AND (before = 32 OR before BETWEEN 9 AND 13)),
+stops AS (SELECT r, k + 1 AS k, row_number() OVER (PARTITION BY r ORDER BY k) AS i FROM edges WHERE NOT blank AND (after = 32 OR after BETWEEN 9 AND 13)),
+units AS (SELECT begins.r, unnest(range(begins.k + 6, stops.k, 6)) AS k FROM begins JOIN stops USING (r, i) WHERE stops.k - begins.k > 32),
+marks AS (SELECT r, k, 1 AS word, 0 AS more FROM begins UNION ALL SELECT r, k, 0, 1 FROM units),
+words AS (SELECT m.r, c.a, sum(word) AS words, sum(more) AS more FROM marks m ASOF JOIN chunks c ON m.r = c.r AND m.k >= c.a GROUP BY m.r, c.a),
+known AS (
+  SELECT *, min(r) OVER (PARTITION BY x) AS f, row_number() OVER (PARTITION BY r, x ORDER BY a) AS own, lag(x) OVER (PARTITION BY r ORDER BY a) IS NOT DISTINCT FROM x AS ruler FROM chunks),
+repeated AS (
+  SELECT k.*, coalesce(words, 0) + CASE WHEN ruler AND k.r = f THEN 0 ELSE coalesce(more, 0) END AS w, i - row_number() OVER (PARTITION BY k.r ORDER BY i) AS run
+  FROM known k LEFT JOIN words USING (r, a) WHERE k.r <> f OR own > 1),
+runs AS (SELECT r, run, min(a) AS s, max(z) AS e, sum(w) >= 20 AS goes, list(DISTINCT f) AS fs FROM repeated GROUP BY r, run),
+heads AS (SELECT r, k FROM b WHERE v NOT BETWEEN 128 AND 191 UNION ALL SELECT r, n FROM d),
+up AS (SELECT r, run, fs, s0, e, least(e, k) AS s FROM (
+  SELECT q.r, q.run, q.fs, q.s AS s0, q.e, h.k FROM (SELECT * FROM runs WHERE goes) q ASOF JOIN heads h ON q.r = h.r AND q.s <= h.k)),
+spans AS (SELECT up.r, run, fs, s, greatest(s, h.k) AS e FROM up ASOF JOIN heads h ON up.r = h.r AND up.e >= h.k),
+gone AS (SELECT r, sum(e - s)::BIGINT AS removed_bytes, string_agg(s || '-' || e, ',' ORDER BY s) AS removed FROM spans GROUP BY r),
+firsts AS (
+  SELECT r, string_agg(doc_id, ',' ORDER BY doc_id) AS first_ids FROM (
+    SELECT DISTINCT q.r, d.doc_id FROM (SELECT r, unnest(fs) AS f FROM spans) q JOIN d ON d.r = q.f WHERE d.doc_id IS NOT NULL) GROUP BY r),
+kept AS (SELECT r, lag(e, 1, 0) OVER (PARTITION BY r ORDER BY s) AS a, s AS z FROM (SELECT r, s, e FROM spans UNION ALL SELECT d.r, n, n FROM d JOIN gone USING (r))),
+left_over AS (SELECT r, decode(unhex(string_agg(substr(hx, 2 * a + 1, 2 * (z - a)), '' ORDER BY a, z))) AS text FROM kept JOIN d USING (r) GROUP BY r),
+n_chunks AS (SELECT r, count(*) AS n_chunks FROM chunks GROUP BY r),
+n_repeated AS (SELECT r, count(*) AS n_repeated, sum(z - a)::BIGINT AS repeated_bytes FROM repeated GROUP BY r)
+SELECT doc_id, n AS n_bytes, coalesce(n_chunks, 0)::BIGINT AS n_chunks, coalesce(n_repeated, 0)::BIGINT AS n_repeated, coalesce(repeated_bytes, 0)::BIGINT AS repeated_bytes,
+       coalesce(removed_bytes, 0)::BIGINT AS removed_bytes, coalesce(removed, '') AS removed, coalesce(first_ids, '') AS first_ids, coalesce(left_over.text, d.text) AS text
+FROM d LEFT JOIN n_chunks USING (r) LEFT JOIN n_repeated USING (r) LEFT JOIN gone USING (r) LEFT JOIN firsts USING (r) LEFT JOIN left_over USING (r)""",
     "op4_exact_dedup": r"""
 WITH n AS (
   SELECT doc_id, length(coalesce(text, '')) AS len, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents)
