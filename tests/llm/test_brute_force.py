@@ -89,31 +89,53 @@ def test_index_filters(spark):
     assert level.count() == 900 and [r["n"] for r in index.lookup([two]).collect()] == [2] and level.agg(F.sum("n")).first()[0] == 1000
 
 
-def test_mixing(spark):
-    docs = some_docs(spark)
-    got = rows_of(mixing.mix(docs))
-    sizes = defaultdict(int)
-    for r in rows_of(docs):
-        sizes[r["source"]] += len(WORD.findall(r["text"] or ""))
+def brute_targets(sizes):
+    """Words due to each source of sizes: shares of 150 % by weight, capped at twice its size, the excess shared out again."""
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
-    target, capped, total = {}, set(), 1.5 * sum(sizes.values())
+    capped, total = set(), 1.5 * sum(sizes.values())
     while True:
         free = [s for s in order if s not in capped]
         left = total - sum(2 * sizes[s] for s in capped)
         share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
         over = {s for s in free if share[s] > 2 * sizes[s]}
         if not over:
-            break
+            return {s: 2 * sizes[s] if s in capped else share[s] for s in order}
         capped |= over
-    target = {s: 2 * sizes[s] if s in capped else share[s] for s in order}
-    taken = defaultdict(int)
-    assert len(got) == docs.count()
+
+
+def brute_mix(rows):
+    """Of each row the words that the mix takes, in the order of rows."""
+    sizes, sources = defaultdict(int), defaultdict(list)
+    for n, r in enumerate(rows):
+        size = len(WORD.findall(r["text"] or ""))
+        sizes[r["source"]] += size
+        key = hashlib.md5(f"mix:{'' if r['doc_id'] is None else r['doc_id']}".encode()).hexdigest()[:15]
+        sources[r["source"]].append((key, r["doc_id"] is None, r["doc_id"] or 0, size, n))
+    target, taken = brute_targets(sizes), [0] * len(rows)
+    for source, docs in sources.items():
+        left = int(target[source] + 0.5)
+        while left > 0:
+            for *_, size, n in sorted(docs):
+                taken[n] += min(size, left)
+                left -= min(size, left)
+    return taken, target
+
+
+def test_mixing(spark):
+    docs = some_docs(spark)
+    got = rows_of(mixing.mix(docs))
+    rows = rows_of(docs)
+    taken, target = brute_mix(rows)
+    sizes = defaultdict(int)
+    for r in rows:
+        sizes[r["source"]] += len(WORD.findall(r["text"] or ""))
+    assert Counter((r["doc_id"], r["size"], r["source_size"], r["taken"]) for r in got) == Counter((r["doc_id"], len(WORD.findall(r["text"] or "")), sizes[r["source"]], t) for r, t in zip(rows, taken, strict=True))
+    done = defaultdict(int)
     for r in got:
-        assert r["source_size"] == sizes[r["source"]] and r["target"] == pytest.approx(target[r["source"]])
-        assert 0 <= r["taken"] <= 2 * r["size"]
-        taken[r["source"]] += r["taken"]
-    assert all(abs(taken[s] - target[s]) <= 0.5 for s in order)
+        assert r["target"] == pytest.approx(target[r["source"]]) and 0 <= r["taken"] <= 2 * r["size"]
+        done[r["source"]] += r["taken"]
+    assert all(abs(done[s] - target[s]) <= 0.5 for s in target)
     again = Counter(map(str, rows_of(mixing.mix(docs.repartition(5)))))
     assert again == Counter(map(str, got))
 
@@ -401,13 +423,13 @@ def test_words_of_bytes():
         assert len({(w, h) for w, h in zip(every, hashes.tolist(), strict=True)}) == len(set(every)) == len(set(hashes.tolist()))
 
 
-def brute_mix(x):
+def finalised(x):
     for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
         x = (x ^ x >> 33) * factor % (1 << 64)
     return x ^ x >> 33
 
 
-BRUTE_GEAR = [brute_mix(b) >> 48 for b in range(1, 257)]
+BRUTE_GEAR = [finalised(b) >> 48 for b in range(1, 257)]
 
 
 def brute_gear(raw):
@@ -790,3 +812,41 @@ def test_quality_ignores_held_out_labels(spark):
     turned = labels.withColumn("quality", F.when(quality.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
     a, b = (quality.train(docs, x) for x in (labels, turned))
     assert a.base == b.base and (a.leaf == b.leaf).all() and (a.threshold == b.threshold).all()
+
+
+def test_pipeline_equals_brute_force(spark):
+    """All five stages one after another, each by plain Python on what the one before kept."""
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs, labels, items = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels", "benchmark"))
+    rows = sorted(rows_of(docs), key=lambda r: r["doc_id"])
+    model = quality.train(docs, labels)
+    good = []
+    for a, b, raw, offsets in bytetext.batches(pa.array([r["text"] or "" for r in rows])):
+        good += [r for r, p in zip(rows[a:b], model.score(quality.statistics(raw, offsets)), strict=True) if p >= 0.5]
+    component = {i: c for i, _, c in brute_components(good)}
+    unique = [r for r in good if component[r["doc_id"]] == r["doc_id"]]
+    hit = {k[0] for k in brute_contamination(unique, [(r["item_id"], r["text"]) for r in rows_of(items)]) if k[-1]}
+    clean = [r for r in unique if r["doc_id"] not in hit]
+    taken, target = brute_mix(clean)
+    mixed = []
+    for r, n in zip(clean, taken, strict=True):
+        words = WORD.findall(r["text"] or "")
+        if not words:
+            mixed += [(r["doc_id"], r["text"])] * (target[r["source"]] > 0)
+            continue
+        mixed += [(r["doc_id"], r["text"])] * (n // len(words))
+        if n % len(words):
+            mixed.append((r["doc_id"], " ".join(words[: n % len(words)])))
+    tokenizer = Tokenizer.from_str(tokens.default_config())
+    want = Counter()
+    for i, t in mixed:
+        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1]
+        want[(i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))] += 1
+    got = sorted((r["start"], r["n_tokens"], r["doc_id"], r["ids_crc32"]) for r in rows_of(corpus_pipeline.run(spark, sf)))
+    assert len(rows) > len(good) > len(unique) > len(clean) > 0
+    assert Counter((i, n, crc) for _, n, i, crc in got) == want
+    assert [g[0] for g in got] == np.cumsum([0, *(g[1] for g in got[:-1])]).tolist() and [g[2] for g in got] == sorted(g[2] for g in got)
