@@ -110,7 +110,8 @@ def brute_mix(rows):
     for n, r in enumerate(rows):
         size = len(WORD.findall(r["text"] or ""))
         sizes[r["source"]] += size
-        key = hashlib.md5(f"mix:{'' if r['doc_id'] is None else r['doc_id']}".encode()).hexdigest()[:15]
+        text_md5 = "" if r["text"] is None else hashlib.md5(r["text"].encode()).hexdigest()
+        key = hashlib.md5(f"mix:{text_md5 if r['doc_id'] is None else r['doc_id']}".encode()).hexdigest()[:15]
         sources[r["source"]].append((key, r["doc_id"] is None, r["doc_id"] or 0, size, n))
     target, taken = brute_targets(sizes), [0] * len(rows)
     for source, docs in sources.items():

@@ -27,9 +27,9 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def mix_key(doc_id: Column, seed: str = "mix") -> Column:
-    """60 hash-random bits as a long; md5, so that any engine can repeat the order."""
-    hexed = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+def mix_key(doc_id: Column, text: Column, seed: str = "mix") -> Column:
+    """60 hash-random bits as a long; md5, so that any engine can repeat the order. Without a doc_id the text stands in for it."""
+    hexed = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.md5(text), F.lit(""))))
     return F.conv(F.substring(hexed, 1, 15), 16, 10).cast("long")
 
 
@@ -62,7 +62,7 @@ def mix(
     parts = common.parallelism(docs.sparkSession)
     bins = 4 * parts
     own = [F.struct(*(F.col(c) for c in carry)).alias("_own")] if carry else []
-    rows = docs.select("doc_id", "source", *own, words(F.col("text")).alias("size"), mix_key(F.col("doc_id"), seed).alias("_key"))
+    rows = docs.select("doc_id", "source", *own, words(F.col("text")).alias("size"), mix_key(F.col("doc_id"), F.col("text"), seed).alias("_key"))
     rows = rows.withColumn("_bin", F.shiftright(F.shiftright("_key", 29) * bins, 31))
     if not carry:  # a few numbers a document, written once, so that texts are read and counted once
         rows = common.saved(rows)

@@ -92,7 +92,7 @@ ORACLE_SQL = {
     "op1_mix": r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 15) AS k
+         substr(md5('mix:' || coalesce(doc_id::VARCHAR, md5(text), '')), 1, 15) AS k
   FROM documents),
 src AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 weighed AS (
