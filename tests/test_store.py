@@ -11,6 +11,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from tidelog import admin, errors, txn
+from tidelog import store as store_module
 from tidelog.operators import merge
 from tidelog.stats import COUNTERS, Statistics
 from tidelog.store import Store, StoreOptions, WriteBatch
@@ -146,6 +147,25 @@ def test_snapshot_after_flush_and_compaction(spark, path):
     assert s.files.names(f"{path}/runs/cf_id=0") == [] or all(s.files.names(f"{path}/runs/cf_id=0/{n}") == [] for n in s.files.names(f"{path}/runs/cf_id=0"))
 
 
+def test_old_commits_are_dropped(spark, path, monkeypatch):
+    """A state is written every few commits; vacuum drops what lies before the last but one, and all go on from there."""
+    monkeypatch.setattr(store_module, "STATE_EVERY", 3)
+    s, slow = Store.open(spark, path), Store.open(spark, path)
+    old = txn.OptimisticTransaction(slow)
+    old.put("own", "1")
+    for i in range(11):
+        s.put(f"k{i}", str(i))
+    s.vacuum()
+    names = s.files.names(f"{path}/commits")
+    assert sorted(n for n in names if n.startswith("s")) == [f"s{n:012d}.json" for n in (6, 9)] and min(n for n in names if n.startswith("c")) == f"c{7:012d}.json"
+    assert len(contents(Store.open(spark, path))) == 11
+    with pytest.raises(errors.Busy):
+        old.commit()
+    slow.refresh()
+    slow.put("more", "1")
+    assert len(contents(slow)) == 12
+
+
 def test_damaged_commits_are_told(spark, path):
     s = Store.open(spark, path)
     s.put("a", "1")

@@ -256,22 +256,28 @@ class Store:
     def refresh(self) -> None:
         """Take in what other writers have committed. A commit that was begun and never put in place is not there."""
         with self._lock:
-            names = self.files.names(f"{self.path}/commits")
-            known = sorted(int(n[1:-5]) for n in names if n.startswith("s") and n.endswith(".json"))
-            if self._state.commit == 0 and known:
+            there, known = self._commit_numbers()
+            # Old commits may have been dropped for a state written since.
+            if known and known[-1] > self._state.commit and (self._state.commit == 0 or self._state.commit + 1 not in there):
                 self._state = _State.load(self._read_sealed(self._commit_path(known[-1], "s")))
-            there = sorted(int(n[1:-5]) for n in names if n.startswith("c") and n.endswith(".json"))
             for number in (n for n in there if n > self._state.commit):
                 if number != self._state.commit + 1:
                     raise Corruption(f"commit {self._state.commit + 1} is missing")
                 self._state.apply(number, self._read_sealed(self._commit_path(number)))
 
+    def _commit_numbers(self) -> tuple[list[int], list[int]]:
+        """Numbers of commits, and of written states, in order."""
+        names = [n for n in self.files.names(f"{self.path}/commits") if n.endswith(".json")]
+        return tuple(sorted(int(n[1:-5]) for n in names if n.startswith(kind)) for kind in "cs")
+
     def _read_sealed(self, path: str) -> dict:
         return _opened(self.files.read(path), path)
 
     def commits_after(self, number: int) -> Iterator[dict]:
-        """What was committed since, up to the state that is known, in order."""
+        """What was committed since, up to the state that is known, in order; Busy if vacuum() has dropped some of it."""
         for n in range(number + 1, self._state.commit + 1):
+            if not self.files.exists(self._commit_path(n)):
+                raise Busy(f"commit {n} is no longer kept")
             yield self._read_sealed(self._commit_path(n))
 
     def _commit_path(self, number: int, kind: str = "c") -> str:
@@ -718,8 +724,14 @@ class Store:
     def vacuum(self) -> int:
         """Delete folders of runs that nothing names any more: no commit, snapshot or checkpoint; returns how many.
 
-        DataFrames made from older states end to work.
+        DataFrames made from older states end to work. Commits that lie before the last but one written state go as well; a
+        transaction that is older than that is told to start again.
         """
+        there, known = self._commit_numbers()
+        for n in (n for n in there if len(known) > 1 and n <= known[-2]):
+            self.files.delete(self._commit_path(n))
+        for n in known[:-2]:
+            self.files.delete(self._commit_path(n, "s"))
         states = [self._state, *(s.state for s in self._snapshots if s.state)]
         live = {r["path"].rsplit("/", 1)[-1] for state in states for r in state.runs.values()} | {p.rsplit("/", 1)[-1] for p in self._pinned()}
         n = 0
