@@ -20,8 +20,9 @@ and need not meet. Classes of as many copies, at most HOT_PARTS, send from one b
 a task links those that share a hash and sends on one of them for each hash.
 
 Components beyond TIGHT shingles are first reduced in rounds: their shingles are compared with a few leaders each, and what
-the triangle inequality closes around a leader is linked to it and leaves. What then is beyond GROUP is cut into
-blocks, and each pair of blocks is searched. Links meet in a distributed search for components.
+the triangle inequality closes around a leader is linked to it and leaves. Components beyond SPLIT are cut into blocks, up to
+BLOCKS of them, or as many as it takes for a pair to hold no more than GROUP, and each pair of blocks is searched by itself.
+Links meet in a distributed search for components.
 
 Defined results: null and wordless texts have size 0 and no link, component_id is their own doc_id; texts with fewer than
 five words are one shingle; equal rows are linked (their sets are equal); null doc_ids are never a component_id unless all
@@ -43,10 +44,12 @@ from . import bytetext, common
 from .components import Forest, connected_components
 
 WORDS = 5
-#: Shingles of a candidate component that one task searches at once.
+#: Shingles that one task searches at once.
 GROUP = 1 << 22
 #: Shingles of a candidate component from which on it is reduced first, all tasks working on it.
 TIGHT = 1 << 22
+#: Shingles from which on a component is dealt to several tasks, as pairs of at most so many blocks, while a pair keeps GROUP.
+SPLIT, BLOCKS = 1 << 17, 8
 #: Classes that a hash or copies that a class must have, at least, to be hot.
 HOT = 64
 #: Rounds that reduce large components, components in a round, leaders of each, and shingles that a leader may have.
@@ -535,33 +538,36 @@ def join(docs: DataFrame, *, words: int = WORDS, group: int = GROUP, tight: int
     candidates = connected_components(edges)
 
     maybe = common.saved(classes.join(candidates, classes["cid"] == candidates["node"]).select("cid", "rep", "n", F.col("root").alias("comp")))
-    wanted = rows.join(common.maybe_broadcast(maybe.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi")
-    sets = wanted.unionByName(rows.filter("doc_id IS NULL")).mapInArrow(_sets(words, names_of), _SETS)
-    placed = sets.join(common.maybe_broadcast(maybe.select("cid", "comp")), "cid")
-    large = common.saved(_sizes(maybe).filter(F.col("_size") > tight).select("comp"))
-    n_large = large.count()
-    found: list[DataFrame] = []
-    if n_large:
-        placed = common.saved(placed.dropDuplicates(["cid"]))
+    split = min(SPLIT, tight)
+    large = common.saved(_sizes(maybe).filter(F.col("_size") > split).select("comp"))
+
+    def placed_sets(some: DataFrame) -> DataFrame:
+        """comp, cid, n, hashes of classes; the few texts that stand for them are read again."""
+        wanted = rows.join(common.maybe_broadcast(some.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi")
+        sets = wanted.unionByName(rows.filter("doc_id IS NULL")).mapInArrow(_sets(words, names_of), _SETS)
+        return sets.join(common.maybe_broadcast(some.select("cid", "comp")), "cid").select("comp", "cid", "n", "hashes")
+
+    def searched(blocks: DataFrame) -> DataFrame:
+        return common.saved(blocks.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_solve, "a long, b long"))
+
+    if large.isEmpty():
+        solved = searched(placed_sets(maybe).select(F.col("comp").alias("block"), "cid", "hashes")).select(F.col("a").alias("node"), F.col("b").alias("root"))
+    else:
         own = common.maybe_broadcast(large)
-        rest, found = _reduce(common.saved(placed.join(own, "comp").select("comp", "cid", "n", "hashes")), tight)
-        blocks = _sizes(rest).select("comp", F.ceil(F.col("_size") * 2 / group).cast("int").alias("blocks")).withColumn("blocks", F.when(F.col("blocks") > 2, F.col("blocks")).otherwise(1))
-        rest = rest.join(common.maybe_broadcast(blocks), "comp")
+        small = common.saved(maybe.join(own, "comp", "left_anti"))
+        rest, found = _reduce(common.saved(placed_sets(common.saved(maybe.join(own, "comp", "left_semi"))).dropDuplicates(["cid"])), tight)
+        wanted = F.greatest(F.ceil(F.col("_size") * 2 / group), F.least(F.lit(BLOCKS), F.ceil(F.col("_size") * 2 / split))).cast("int")
+        rest = rest.join(common.maybe_broadcast(_sizes(rest).select("comp", F.when(wanted > 2, wanted).otherwise(1).alias("blocks"))), "comp")
         # A class goes to every pair of blocks that has its own: blocks copies of it.
         rest = rest.withColumn("_own", F.pmod(F.xxhash64("cid"), F.col("blocks"))).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
         rest = rest.withColumn("block", F.when(F.col("blocks") == 1, F.col("comp")).otherwise(F.xxhash64("comp", F.least("_own", "_other"), F.greatest("_own", "_other"))))
-        placed = placed.join(own, "comp", "left_anti").select(F.col("comp").alias("block"), "cid", "hashes").unionByName(rest.select("block", "cid", "hashes"))
-    else:
-        placed = placed.select(F.col("comp").alias("block"), "cid", "hashes")
-    links = common.saved(placed.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_solve, "a long, b long"))
-    if n_large:
-        every = links
+        every = searched(rest.select("block", "cid", "hashes"))
         for x in found:
             every = every.unionByName(x)
         roots = connected_components(every)
-        solved = common.saved(every.select(F.col("a").alias("node")).union(every.select("b")).distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
-    else:
-        solved = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        apart = every.select(F.col("a").alias("node")).union(every.select("b")).distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+        solved = searched(placed_sets(small).select(F.col("comp").alias("block"), "cid", "hashes")).select(F.col("a").alias("node"), F.col("b").alias("root"))
+        solved = common.saved(solved.unionByName(apart))
     named = solved.join(maybe.select(F.col("cid").alias("node"), "rep"), "node")
     least = named.groupBy("root").agg(F.min("rep").alias("least"))
     named = named.join(least, "root").select(F.col("node").alias("cid"), "least")
