@@ -111,6 +111,9 @@ def stalls(files: DataFrame, stop: int = L0_STOP) -> DataFrame:
     return files.agg(F.coalesce(n, F.lit(0)).alias("n_l0")).select("n_l0", (F.col("n_l0") >= L0_TRIGGER).alias("trigger"), (F.col("n_l0") >= stop).alias("stall"))
 
 
-def differences(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows that one side has and the other hasn't; empty if compaction changed nothing that a reader sees."""
-    return a.exceptAll(b).unionByName(b.exceptAll(a))
+def differences(after: DataFrame, before: DataFrame) -> DataFrame:
+    """One row: n_after, n_before, n_differences (rows that one side has more often); 0 if a compaction changed nothing that a reader sees."""
+    sides = after.withColumn("_side", F.lit(1)).unionByName(before.withColumn("_side", F.lit(-1)))
+    rows = sides.groupBy(*after.columns).agg(F.sum((F.col("_side") == 1).cast("long")).alias("_a"), F.sum((F.col("_side") == -1).cast("long")).alias("_b"))
+    counts = {"n_after": F.col("_a"), "n_before": F.col("_b"), "n_differences": F.abs(F.col("_a") - F.col("_b"))}
+    return rows.agg(*(F.coalesce(F.sum(x), F.lit(0)).cast("long").alias(n) for n, x in counts.items()))

@@ -310,10 +310,7 @@ def compaction_equivalence(spark, sf_dir):
     columns = ["cf_id", "user_key", "seq", "op", "value"]
     newer = compaction.compact(log.filter("run_id >= 3"), output_level=1).select(*columns)
     mixed = log.filter("run_id < 3").select(*columns).unionByName(newer)
-    after, before = (resolve.latest_wins(x).select(*columns) for x in (mixed, log))
-    sides = after.withColumn("_side", F.lit(1)).unionByName(before.withColumn("_side", F.lit(-1)))
-    rows = sides.groupBy(*columns).agg(F.sum((F.col("_side") == 1).cast("long")).alias("a"), F.sum((F.col("_side") == -1).cast("long")).alias("b"))
-    return rows.agg(*(F.coalesce(F.sum(x), F.lit(0)).cast("long").alias(n) for x, n in (("a", "n_after"), ("b", "n_before"), (F.abs(F.col("a") - F.col("b")), "n_differences"))))
+    return compaction.differences(*(resolve.latest_wins(x).select(*columns) for x in (mixed, log)))
 
 
 @query("""
@@ -556,12 +553,12 @@ def lock_compatibility(spark, sf_dir):
 
 
 @query("""
-SELECT user_key, strlen(user_key) AS n_bytes, starts_with(user_key, 'u0001') AS early, CASE WHEN user_key < 'u000100' THEN -1 WHEN user_key > 'u000100' THEN 1 ELSE 0 END AS cmp,
+SELECT user_key, strlen(user_key) AS n_bytes, strlen(value) = 0 AS no_value, starts_with(user_key, 'u0001') AS early, CASE WHEN user_key < 'u000100' THEN -1 WHEN user_key > 'u000100' THEN 1 ELSE 0 END AS cmp,
        CASE WHEN regexp_full_match(value, '[+-]?[0-9]+') THEN TRY_CAST(value AS BIGINT) END AS number
 FROM rv""")
 def scalar_functions(spark, sf_dir):
     return _live(spark, sf_dir).select(
-        "user_key", scalars.size(F.col("user_key")).cast("long").alias("n_bytes"), scalars.starts_with(F.col("user_key"), "u0001").alias("early"), scalars.compare(F.col("user_key"), F.lit("u000100")).alias("cmp"), scalars.parse_integer(F.col("value")).alias("number")
+        "user_key", scalars.size(F.col("user_key")).cast("long").alias("n_bytes"), scalars.is_empty(F.col("value")).alias("no_value"), scalars.starts_with(F.col("user_key"), "u0001").alias("early"), scalars.compare(F.col("user_key"), F.lit("u000100")).alias("cmp"), scalars.parse_integer(F.col("value")).alias("number")
     )
 
 
