@@ -49,7 +49,9 @@ GROUP = 1 << 22
 #: Shingles of a candidate component from which on it is reduced first, all tasks working on it.
 TIGHT = 1 << 22
 #: Shingles from which on a component is dealt to several tasks, as pairs of at most so many blocks, while a pair keeps GROUP.
-SPLIT, BLOCKS = 1 << 17, 8
+SPLIT, BLOCKS = 1 << 19, 4
+#: Small components are searched together until they have so many shingles.
+TOGETHER = 1 << 19
 #: Classes that a hash or copies that a class must have, at least, to be hot.
 HOT = 64
 #: Rounds that reduce large components, components in a round, leaders of each, and shingles that a leader may have.
@@ -438,7 +440,7 @@ def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size, last = 0, None
     for batch in batches:
         for block, cid, raw in zip(_column(batch, "block"), _column(batch, "cid"), _column(batch, "hashes"), strict=True):
-            if block != last and size >= GROUP:
+            if block != last and size >= TOGETHER:
                 yield finish(rows)
                 rows, size = {}, 0
             last = block
