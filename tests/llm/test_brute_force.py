@@ -664,6 +664,9 @@ def test_line_dedup_of_very_long_texts(spark):
         took.append(time.monotonic() - began)
         assert got[1]["n_deleted"] == n and got[1]["text"] == "end" and got[0]["n_deleted"] == 0
     assert took[1] < 20
+    began = time.monotonic()
+    same = rows_of(lines.dedup(common.saved(data.table(spark, [(0, "the same line\n" * 160_000, "en", "s", 0)]))).select("n_deleted", "text"))
+    assert same[0]["n_deleted"] == 160_000 - 1 and same[0]["text"].strip() == "the same line" and time.monotonic() - began < 20
 
 
 def test_preferences(spark):

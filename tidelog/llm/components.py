@@ -13,7 +13,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of edges (a, b); root is the least node of its component.
 
     Each round is a few aggregations and joins on a written table; rounds grow with the logarithm of the diameter.
-    Keys with many neighbours keep only a minimum, which each task computes for its own part first.
+    Keys with many neighbours keep only a minimum, which each task computes for its own part first; the joins that bring it back
+    to them are sort-merge joins with one row a key on the other side, which AQE splits where a key is hot.
     """
     now = common.saved(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     state = None
