@@ -50,7 +50,7 @@ def tombstones(log: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
 def lookup(log: DataFrame, probes: DataFrame, *, snapshot: int | Column | None = None, key: Sequence[str] = KEY) -> DataFrame:
     """probes with state (found, deleted, miss), seq and value of each key."""
     want = probes.select(*key).distinct()
-    seen = newest(as_of(log.join(F.broadcast(want) if _is_small(want) else want, list(key), "left_semi"), snapshot), key)
+    seen = newest(as_of(log.join(F.broadcast(want) if _is_small(probes.select(*key)) else want, list(key), "left_semi"), snapshot), key)
     state = F.when(F.col("op").isNull(), "miss").when(F.col("op") == DELETE, "deleted").otherwise("found")
     return probes.join(seen, list(key), "left").select(*probes.columns, state.alias("state"), "seq", F.when(F.col("op") != DELETE, F.col("value")).alias("value"))
 
@@ -68,8 +68,9 @@ def _is_small(keys: DataFrame) -> bool:
 
 def multi_get(log: DataFrame, probes: DataFrame, *, snapshot: int | Column | None = None, key: Sequence[str] = KEY) -> DataFrame:
     """Live keys among probes, with seq and value."""
-    found = lookup(log, probes.select(*key).distinct(), snapshot=snapshot, key=key)
-    return found.filter("state = 'found'").drop("state")
+    want = probes.select(*key)
+    seen = latest_wins(log.join(F.broadcast(want) if _is_small(want) else want, list(key), "left_semi"), snapshot=snapshot, key=key)
+    return seen.select(*key, "seq", "value")
 
 
 def existing(log: DataFrame, probes: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
