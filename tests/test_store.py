@@ -229,6 +229,8 @@ def test_files_of_a_run_outside_a_range_are_left_out(spark, path):
     files = s._run_frame([run], b"k000010", b"k000020").inputFiles()
     assert len(files) == 1 and len(s._run_frame([run]).inputFiles()) == 4 and s.get("k003999") == b"3999"
     assert s.get("z") is None and s.statistics.rates()["left_out"] > 0
+    scans = {"k0035": 100, "k": 4000, "k003999": 1, "z": 0, b"\xff": 0, "": 4000}
+    assert all(s.scan(prefix=p).count() == n for p, n in scans.items()) and len(s.scan(prefix="k0035").inputFiles()) == 1
 
 
 def test_column_families(spark, path):

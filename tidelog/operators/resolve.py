@@ -47,37 +47,35 @@ def tombstones(log: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     return newest(log, key).filter(F.col("op") == DELETE)
 
 
-def lookup(log: DataFrame, probes: DataFrame, *, snapshot: int | Column | None = None, key: Sequence[str] = KEY) -> DataFrame:
-    """probes with state (found, deleted, miss), seq and value of each key."""
-    want = probes.select(*key).distinct()
-    seen = newest(as_of(log.join(F.broadcast(want) if _is_small(probes.select(*key)) else want, list(key), "left_semi"), snapshot), key)
-    state = F.when(F.col("op").isNull(), "miss").when(F.col("op") == DELETE, "deleted").otherwise("found")
-    return probes.join(seen, list(key), "left").select(*probes.columns, state.alias("state"), "seq", F.when(F.col("op") != DELETE, F.col("value")).alias("value"))
-
-
 #: Probe keys, and bytes of them, that may be broadcast once counted.
 BROADCAST_KEYS, BROADCAST_BYTES = 1_000_000, 64 << 20
 
 
-def _is_small(keys: DataFrame) -> bool:
-    """Counted while the plan is made: a semi-join of few keys must not shuffle the log."""
-    size = sum((F.octet_length(F.col(k).cast("binary" if t == "binary" else "string")) + 16 for k, t in keys.dtypes), F.lit(0)).cast("long")
-    n, total = keys.limit(BROADCAST_KEYS + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
-    return n <= BROADCAST_KEYS and total <= BROADCAST_BYTES
+def of_keys(log: DataFrame, probes: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
+    """Versions of the probes' keys. Few keys go to the log, which then isn't shuffled as a whole; they are counted while the plan is made."""
+    want = probes.select(*key)
+    size = sum((F.octet_length(F.col(k).cast("binary" if t == "binary" else "string")) + 16 for k, t in want.dtypes), F.lit(0)).cast("long")
+    n, total = want.limit(BROADCAST_KEYS + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return log.join(F.broadcast(want) if n <= BROADCAST_KEYS and total <= BROADCAST_BYTES else want.distinct(), list(key), "left_semi")
+
+
+def lookup(log: DataFrame, probes: DataFrame, *, snapshot: int | Column | None = None, key: Sequence[str] = KEY) -> DataFrame:
+    """probes with state (found, deleted, miss), seq and value of each key."""
+    seen = newest(as_of(of_keys(log, probes, key), snapshot), key)
+    state = F.when(F.col("op").isNull(), "miss").when(F.col("op") == DELETE, "deleted").otherwise("found")
+    return probes.join(seen, list(key), "left").select(*probes.columns, state.alias("state"), "seq", F.when(F.col("op") != DELETE, F.col("value")).alias("value"))
 
 
 def multi_get(log: DataFrame, probes: DataFrame, *, snapshot: int | Column | None = None, key: Sequence[str] = KEY) -> DataFrame:
     """Live keys among probes, with seq and value."""
-    want = probes.select(*key)
-    seen = latest_wins(log.join(F.broadcast(want) if _is_small(want) else want, list(key), "left_semi"), snapshot=snapshot, key=key)
-    return seen.select(*key, "seq", "value")
+    return latest_wins(of_keys(log, probes, key), snapshot=snapshot, key=key).select(*key, "seq", "value")
 
 
 def existing(log: DataFrame, probes: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     """Probes whose key is live."""
-    return probes.join(latest_wins(log, key=key), list(key), "left_semi")
+    return probes.join(latest_wins(of_keys(log, probes, key), key=key), list(key), "left_semi")
 
 
 def missing(log: DataFrame, probes: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     """Probes whose key is not live: never written, or deleted."""
-    return probes.join(latest_wins(log, key=key), list(key), "left_anti")
+    return probes.join(latest_wins(of_keys(log, probes, key), key=key), list(key), "left_anti")

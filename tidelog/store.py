@@ -606,9 +606,8 @@ class Store:
         """Live rows of many keys, in one job; a DataFrame has them as user_key."""
         if not isinstance(keys, DataFrame):
             keys = self.spark.createDataFrame([(bytearray(_bytes(k)),) for k in keys], "user_key binary")
-        want = keys.select(F.lit(self._cf(cf)).alias("cf_id"), F.col("user_key").cast("binary").alias("user_key")).distinct()
-        log = self.changelog(cf, snapshot=snapshot).join(want, list(resolve.KEY), "left_semi")
-        return merge.fold(log, self.options.merge_operator)
+        want = keys.select(F.lit(self._cf(cf)).alias("cf_id"), F.col("user_key").cast("binary").alias("user_key"))
+        return merge.fold(resolve.of_keys(self.changelog(cf, snapshot=snapshot), want), self.options.merge_operator)
 
     def scan(
         self, cf: ColumnFamily | None = None, *, start: bytes | str | None = None, end: bytes | str | None = None, prefix: bytes | str | None = None, reverse: bool = False, snapshot: Snapshot | None = None
@@ -617,6 +616,8 @@ class Store:
         low, high = (None if x is None else bytearray(_bytes(x)) for x in (start, end))
         if prefix is not None:
             low = bytearray(_bytes(prefix))
+            stem = bytes(low).rstrip(b"\xff")  # the least key beyond all that begin so
+            high = bytearray(stem[:-1] + bytes([stem[-1] + 1])) if stem else None
         rows = self.resolved(cf, snapshot=snapshot, smallest=None if low is None else bytes(low), largest=None if high is None else bytes(high))
         if low is not None:
             rows = rows.filter(F.col("user_key") >= F.lit(low))
